@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analyses are batch only: the original programs read whole directories
+of files once per run and have no stream source, watermark or stateful
+operator.  No streaming operator is provided; a new store file is picked up
+by re-running the batch reader over the directory.
+"""
