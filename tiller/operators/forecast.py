@@ -157,7 +157,7 @@ def holt_winters(series: DataFrame, keys: Sequence[str] = (), horizon: int = FOR
     best = cand.groupBy(*_keys(keys)).agg(F.min(F.struct(
         F.col("_st.sse").alias("sse"), F.col("_w.a").alias("a"), F.col("_w.b").alias("b"),
         F.col("_w.g").alias("g"), F.col("_st").alias("st"), F.col("_last").alias("last"),
-        F.size("_y").alias("n"))).alias("_b"))
+        F.size("_y").alias("n"))).alias("_b")).where(F.col("_b").isNotNull())
     steps = F.sequence(F.lit(1), F.lit(horizon))
     fut = best.select(*_keys(keys), "_b", F.explode(steps).alias("_h"))
     st = F.col("_b.st")

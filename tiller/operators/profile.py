@@ -85,11 +85,14 @@ def repeated_keys(df: DataFrame, column: str) -> DataFrame:
 def orphans(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str = "id") -> DataFrame:
     """Fact keys without a dimension row - (key, num_rows).
 
-    Left anti join; Spark picks a broadcast only when its size check allows.
+    The facts are first reduced to one row per key (partial aggregation, so
+    a hot key never travels as raw rows); only then the left anti join runs,
+    between two key-unique sides.  Spark broadcasts a side only when its
+    measured size passes the threshold.
     """
     keys = dim.select(col(dim_key).alias("_k")).distinct()
-    return (facts.join(keys, col(fact_key) == F.col("_k"), "left_anti")
-            .groupBy(col(fact_key)).agg(F.count(F.lit(1)).alias("num_rows")))
+    per_key = facts.groupBy(col(fact_key)).agg(F.count(F.lit(1)).alias("num_rows"))
+    return per_key.join(keys, col(fact_key) == F.col("_k"), "left_anti")
 
 
 def orphan_summary(facts: DataFrame, dim: DataFrame, fact_key: str,

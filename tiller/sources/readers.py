@@ -87,7 +87,7 @@ def typed_transactions(raw: DataFrame) -> DataFrame:
     BIGINT so that identifiers beyond the INT range survive at scale.
     """
     return raw.select(
-        F.try_to_date(F.col("date"), F.lit("yyyy-MM-dd")).alias("date"),
+        F.try_to_date(F.col("date"), "yyyy-MM-dd").alias("date"),
         F.col("store_id").try_cast("bigint").alias("store_id"),
         F.col("customer_id").try_cast("bigint").alias("customer_id"),
         F.col("products"),
