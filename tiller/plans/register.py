@@ -390,12 +390,12 @@ def q_concentration(spark, d):
     return baskets.concentration(fx.basket_lines(spark, d), [5, 10, 30])
 
 
-@query("token_counts", """
+@query("split_tokens", """
 SELECT doc_id,
        CAST(len(string_split(text, ' ')) AS INTEGER) AS raw_tokens,
        CAST(len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS INTEGER) AS nonempty_tokens
 FROM documents""")
-def q_token_counts(spark, d):
+def q_split_tokens(spark, d):
     return baskets.token_counts(fx.table(spark, d, "documents"))
 
 
@@ -754,3 +754,68 @@ def q_transaction_summary(spark, d):
     from tiller.plans.report import transaction_summary
 
     return transaction_summary(fx.transactions(spark, d), fx.basket_lines(spark, d))
+
+
+# ---------------------------------------------------------------------------
+# Holt-Winters twins: the same recursion as a recursive CTE, one row per
+# (series, weight triple, step), identical floating-point operation order.
+# ---------------------------------------------------------------------------
+
+def _hw_sql(src: str, keys: list[str], horizon: int = 6, m: int = 12,
+            min_len: int = 24) -> str:
+    k = ", ".join(keys)
+    kc = (k + ", ") if keys else ""
+    part = f"PARTITION BY {k} " if keys else ""
+    grid = ", ".join(f"({a}, {b}, {g})" for a in forecast.ALPHAS for b in forecast.BETAS
+                     for g in forecast.GAMMAS)
+    return f""",
+arr AS (SELECT {kc}list(CAST(transactions AS DOUBLE) ORDER BY month) AS y, max(month) AS last
+        FROM {src} {('GROUP BY ' + k) if keys else ''} HAVING count(*) >= {min_len}),
+grid AS (SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(g AS DOUBLE) AS g
+         FROM (VALUES {grid}) v(a, b, g)),
+init AS (SELECT arr.*, grid.*,
+                list_reduce(y[1:{m}], lambda acc, x: acc + x) / CAST({m} AS DOUBLE) AS l0,
+                list_reduce(y[{m + 1}:{2 * m}], lambda acc, x: acc + x) / CAST({m} AS DOUBLE) AS m2
+         FROM arr, grid),
+hw AS (
+  SELECT {kc}a, b, g, last, y, len(y) AS n, 0 AS t, l0 AS l, (m2 - l0) / CAST({m} AS DOUBLE) AS tr,
+         list_transform(y[1:{m}], lambda v: v - l0) AS s, CAST(0.0 AS DOUBLE) AS sse
+  FROM init
+  UNION ALL
+  SELECT {kc}a, b, g, last, y, n, t + 1, l2, b * (l2 - l) + (1.0 - b) * tr,
+         list_transform(s, lambda x, i: CASE WHEN i = k + 1 THEN g * (v - l2) + (1.0 - g) * sk ELSE x END),
+         sse + (v - (l + tr + sk)) * (v - (l + tr + sk))
+  FROM (SELECT *, a * (v - sk) + (1.0 - a) * (l + tr) AS l2
+        FROM (SELECT *, y[t + 1] AS v, s[t % {m} + 1] AS sk, t % {m} AS k FROM hw WHERE t < n) q) q2),
+fin AS (SELECT *, row_number() OVER ({part}ORDER BY sse, a, b, g) AS rn FROM hw WHERE t = n),
+best AS (SELECT * FROM fin WHERE rn = 1),
+steps AS (SELECT range AS h FROM range(1, {horizon + 1}))
+SELECT {', '.join('best.' + x for x in keys) + (', ' if keys else '')}
+       CAST(best.last + to_months(CAST(steps.h AS INTEGER)) AS DATE) AS month,
+       {r(f'best.l + CAST(steps.h AS DOUBLE) * best.tr + best.s[(best.n + steps.h - 1) % {m} + 1]')} AS yhat,
+       'ExponentialSmoothing' AS method, best.a AS alpha, best.b AS beta, best.g AS gamma,
+       {r('best.sse')} AS sse
+FROM best, steps"""
+
+
+SQL["forecast_holt_winters_store"] = ("WITH RECURSIVE " + with_(TXL, _STORE_SERIES, _FILLED)[5:-1]
+                                      + _hw_sql("sf", ["store_id"]))
+
+
+def _auto_sql() -> str:
+    short_store = ("(SELECT * FROM sf WHERE store_id IN "
+                   "(SELECT store_id FROM sf GROUP BY store_id HAVING count(*) < 24)) shs")
+    short_global = "(SELECT * FROM gf WHERE (SELECT count(*) FROM gf) < 24) shg"
+    parts = [
+        ("CAST(NULL AS BIGINT)", "WITH RECURSIVE " + _hw_sql("gf", [])[2:]),
+        ("CAST(NULL AS BIGINT)", "WITH " + _naive_sql(short_global, [])[2:]),
+        ("store_id", "WITH RECURSIVE " + _hw_sql("sf", ["store_id"])[2:]),
+        ("store_id", "WITH " + _naive_sql(short_store, ["store_id"])[2:]),
+    ]
+    body = "\nUNION ALL\n".join(
+        f"SELECT {key} AS store_id, month, yhat, method FROM ({sub}) p{i}"
+        for i, (key, sub) in enumerate(parts))
+    return with_(TXL, _MONTHLY, _GLOBAL_FILLED, _STORE_SERIES, _FILLED) + body
+
+
+SQL["forecast_auto"] = _auto_sql()
