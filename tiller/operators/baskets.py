@@ -249,39 +249,56 @@ def running_total(df: DataFrame, order, value: str, out: str,
     """Running sum of ``value`` (and optionally a 1-based rank) in a global
     order, without moving all rows into one task.
 
-    1. range-partition by the order and sort inside partitions;
-    2. a partition-local running sum / row number per range partition;
-    3. per-partition totals (one row per partition - bounded by the
-       partition count) turned into offsets by a window over those rows;
-    4. offsets joined back by partition id (the offset side is as small as
-       the partition count, so the broadcast is size-bounded).
-
-    The range-partitioned, partition-tagged frame is checkpointed so that
-    both uses see the same partition ids even if a stage is recomputed.
+    1. range-partition by the order and sort inside partitions (the only
+       shuffle of the data);
+    2. a partition-local running sum / row number, computed on Arrow
+       batches by ``mapInPandas`` - partitioning is preserved, so no
+       further exchange;
+    3. the tagged frame is checkpointed to the session's checkpoint folder,
+       so partition ids stay fixed even if a stage is recomputed;
+    4. per-partition totals (one row per partition) become offsets through
+       a window over those few rows and reach the data through a broadcast
+       join whose size is bounded by the partition count.
     """
-    spark = df.sparkSession
+    import pandas as pd
+    from pyspark.sql import types as T
+
     from tiller.session import ensure_checkpoint_dir
 
+    spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (df.repartitionByRange(n, *order)
-              .sortWithinPartitions(*order)
-              .withColumn("_pid", F.spark_partition_id()))
-    tagged = tagged.checkpoint(eager=True)
-    wl = Window.partitionBy("_pid").orderBy(*order)
-    local = tagged.withColumn("_lsum", F.sum(value).over(
-        wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    if rank_out:
-        local = local.withColumn("_lrank", F.row_number().over(wl))
-    totals = tagged.groupBy("_pid").agg(F.sum(value).alias("_psum"),
-                                        F.count(F.lit(1)).alias("_pcnt"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    schema = T.StructType(ranged.schema.fields + [
+        T.StructField("_pid", T.IntegerType()),
+        T.StructField("_lsum", T.LongType()),
+        T.StructField("_lrank", T.LongType())])
+
+    def local(batches):
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        acc_sum, acc_cnt = 0, 0
+        for pdf in batches:
+            vals = pd.to_numeric(pdf[value], errors="coerce").fillna(0).astype("int64")
+            pdf["_pid"] = pid
+            pdf["_lsum"] = vals.cumsum() + acc_sum
+            pdf["_lrank"] = pd.RangeIndex(1, len(pdf) + 1).to_numpy() + acc_cnt
+            if len(pdf):
+                acc_sum = int(pdf["_lsum"].iloc[-1])
+                acc_cnt += len(pdf)
+            yield pdf
+
+    tagged = ranged.mapInPandas(local, schema).checkpoint(eager=True)
+    totals = tagged.groupBy("_pid").agg(F.max("_lsum").alias("_psum"),
+                                        F.max("_lrank").alias("_pcnt"))
     wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (totals.withColumn("_osum", F.coalesce(F.sum("_psum").over(wo), F.lit(0)))
                .withColumn("_ocnt", F.coalesce(F.sum("_pcnt").over(wo), F.lit(0)))
                .withColumn("_total", F.sum("_psum").over(Window.partitionBy()))
                .select("_pid", "_osum", "_ocnt", "_total"))
-    res = local.join(F.broadcast(offsets), "_pid")
-    res = res.withColumn(out, F.col("_lsum") + F.col("_osum"))
+    res = tagged.join(F.broadcast(offsets), "_pid")
+    res = res.withColumn(out, (F.col("_lsum") + F.col("_osum")).cast("bigint"))
     if rank_out:
         res = res.withColumn(rank_out, (F.col("_lrank") + F.col("_ocnt")).cast("bigint"))
     return res.drop("_pid", "_lsum", "_lrank", "_osum", "_ocnt")
