@@ -32,16 +32,18 @@ def with_category_name(dist: DataFrame, cat: DataFrame, code: str = "code") -> D
             .drop("_id"))
 
 
+def _distribution(pc: DataFrame, cat: DataFrame) -> DataFrame:
+    dist = pc.groupBy("code").agg(F.count(F.lit(1)).alias("num_products"))
+    dist = with_share_of_total(dist, "num_products")
+    return with_category_name(dist, cat).select("code", "category_name", "num_products", "pct")
+
+
 def category_distribution(pc: DataFrame, cat: DataFrame) -> DataFrame:
     """Rows per category code with share and name, largest first.
 
     (code, category_name, num_products, pct)
     """
-    dist = pc.groupBy("code").agg(F.count(F.lit(1)).alias("num_products"))
-    dist = with_share_of_total(dist, "num_products")
-    return (with_category_name(dist, cat)
-            .select("code", "category_name", "num_products", "pct")
-            .orderBy(F.desc("num_products"), F.asc_nulls_last("code")))
+    return _distribution(pc, cat).orderBy(F.desc("num_products"), F.asc_nulls_last("code"))
 
 
 def head_tail_categories(pc: DataFrame, cat: DataFrame, head: int = HEAD_CATEGORIES,
@@ -51,7 +53,7 @@ def head_tail_categories(pc: DataFrame, cat: DataFrame, head: int = HEAD_CATEGOR
     (part, position, code, category_name, num_products, pct); ties are broken
     by code ascending in both lists.
     """
-    dist = category_distribution(pc, cat)
+    dist = _distribution(pc, cat)
     w_head = Window.orderBy(F.desc("num_products"), F.asc_nulls_last("code"))
     w_tail = Window.orderBy(F.asc("num_products"), F.asc_nulls_last("code"))
     ranked = (dist.withColumn("_h", F.row_number().over(w_head))

@@ -46,18 +46,21 @@ def cohort_sizes(tx: DataFrame, customer: str = "customer_id", date: str = "date
             .orderBy("cohort_month"))
 
 
-def retention(tx: DataFrame, customer: str = "customer_id", date: str = "date") -> DataFrame:
-    """A24 + J3: (cohort_month, cohort_index, active_customers, cohort_size,
-    retention_rate).  The cohort size reaches every index through a window
-    over the cohort's grid row, not a join."""
+def _retention(tx: DataFrame, customer: str, date: str) -> DataFrame:
     act = cohort_activity(tx, customer, date)
     size = F.max(F.when(F.col("cohort_index") == 0, F.col("active_customers"))).over(
         Window.partitionBy("cohort_month"))
     return (act.withColumn("cohort_size", size)
             .withColumn("retention_rate",
                         F.try_divide(F.col("active_customers").cast("double"),
-                                     F.col("cohort_size").cast("double")))
-            .orderBy("cohort_month", "cohort_index"))
+                                     F.col("cohort_size").cast("double"))))
+
+
+def retention(tx: DataFrame, customer: str = "customer_id", date: str = "date") -> DataFrame:
+    """A24 + J3: (cohort_month, cohort_index, active_customers, cohort_size,
+    retention_rate).  The cohort size reaches every index through a window
+    over the cohort's grid row, not a join."""
+    return _retention(tx, customer, date).orderBy("cohort_month", "cohort_index")
 
 
 def retention_matrix(tx: DataFrame, customer: str = "customer_id", date: str = "date",
@@ -67,7 +70,7 @@ def retention_matrix(tx: DataFrame, customer: str = "customer_id", date: str = "
     Columns: cohort_month, then one column per cohort index named by the
     index.  Pass ``indices`` to skip the distinct-values job of ``pivot``.
     """
-    r = retention(tx, customer, date)
+    r = _retention(tx, customer, date)
     g = r.groupBy("cohort_month")
     p = g.pivot("cohort_index", indices) if indices is not None else g.pivot("cohort_index")
     return p.agg(F.avg("retention_rate")).orderBy("cohort_month")

@@ -90,14 +90,14 @@ def series_arrays(series: DataFrame, keys: Sequence[str] = (), month: str = "mon
     number of months, not by the number of transactions.
     """
     filled = fill_months(series, keys, month, value)
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(month).alias("m"),
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(month).alias("m"),
                                                    F.col(value).cast("double").alias("v"))))
     return (filled.groupBy(*_keys(keys))
             .agg(ordered.alias("_pts"))
             .select(*_keys(keys),
                     F.col("_pts")[0]["m"].alias("_first"),
                     F.element_at("_pts", -1)["m"].alias("_last"),
-                    F.transform("_pts", lambda p: p["v"]).alias("_y")))
+                    F.col("_pts")["v"].alias("_y")))
 
 
 def _mean_of(arr: Column) -> Column:

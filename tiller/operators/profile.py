@@ -172,7 +172,12 @@ def quality_scorecard(tx: DataFrame, keys: Sequence[str] = ("date", "customer_id
         ("exact_duplicates_pct", F.coalesce(share_pct("dups", "rows"), F.lit(0.0))),
         ("dates_outside_pct", F.coalesce(share_pct("outside", "rows"), F.lit(0.0))),
     ])]
-    kd = duplicates_on(tx, keys)
+    # Key duplicates re-aggregate the already grouped rows (keys are a subset
+    # of all columns), so the table is shuffled once for both checks.
+    kd = (g.groupBy(*[col(k) for k in keys]).agg(F.sum("_n").alias("_k"))
+          .agg(F.coalesce(F.sum("_k"), F.lit(0)).alias("_rows"),
+               F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("duplicates"))
+          .withColumn("duplicate_pct", F.coalesce(share_pct("duplicates", "_rows"), F.lit(0.0))))
     parts.append(metric_rows(kd, [("key_duplicates", F.col("duplicates")),
                                   ("key_duplicates_pct", F.col("duplicate_pct"))]))
     if facts is not None and dim is not None:

@@ -41,7 +41,7 @@ def fit(baskets: DataFrame, min_support: float = RULES_MIN_SUPPORT,
 
 
 def _joined(c):
-    return F.array_join(F.array_sort(c), ITEM_SEP)
+    return F.array_join(F.sort_array(c), ITEM_SEP)
 
 
 def _with_basket_count(df: DataFrame, baskets: DataFrame) -> DataFrame:

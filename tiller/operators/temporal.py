@@ -53,19 +53,22 @@ def monthly_growth(tx: DataFrame, date: str = "date") -> DataFrame:
             .drop("_first"))
 
 
-def weekday_distribution(tx: DataFrame, date: str = "date") -> DataFrame:
-    """(day_of_week, day_name, transactions, pct), Sunday (1) first."""
+def _weekdays(tx: DataFrame, date: str) -> DataFrame:
     agg = (tx.groupBy(F.dayofweek(F.col(date)).alias("day_of_week"))
            .agg(F.count(F.lit(1)).alias("transactions")))
     agg = with_share_of_total(agg, "transactions")
-    return (agg.select("day_of_week", weekday_label("day_of_week").alias("day_name"),
-                       "transactions", "pct")
-            .orderBy(F.asc_nulls_last("day_of_week")))
+    return agg.select("day_of_week", weekday_label("day_of_week").alias("day_name"),
+                      "transactions", "pct")
+
+
+def weekday_distribution(tx: DataFrame, date: str = "date") -> DataFrame:
+    """(day_of_week, day_name, transactions, pct), Sunday (1) first."""
+    return _weekdays(tx, date).orderBy(F.asc_nulls_last("day_of_week"))
 
 
 def weekday_ranking(tx: DataFrame, date: str = "date") -> DataFrame:
     """W4 for weekdays: (rank, day_of_week, day_name, transactions)."""
-    d = weekday_distribution(tx, date)
+    d = _weekdays(tx, date)
     w = Window.orderBy(F.desc("transactions"))
     return d.select(F.rank().over(w).alias("rank"), "day_of_week", "day_name", "transactions")
 
@@ -78,16 +81,19 @@ def weekend_share(tx: DataFrame, date: str = "date") -> DataFrame:
         .withColumn("weekend_pct", share_pct("weekend_transactions", "transactions"))
 
 
+def _stores(tx: DataFrame, store: str) -> DataFrame:
+    agg = tx.groupBy(F.col(store).alias("store_id")).agg(F.count(F.lit(1)).alias("transactions"))
+    return with_share_of_total(agg, "transactions")
+
+
 def store_distribution(tx: DataFrame, store: str = "store_id") -> DataFrame:
     """(store_id, transactions, pct), largest first (ties: store asc)."""
-    agg = tx.groupBy(F.col(store).alias("store_id")).agg(F.count(F.lit(1)).alias("transactions"))
-    return (with_share_of_total(agg, "transactions")
-            .orderBy(F.desc("transactions"), F.asc_nulls_last("store_id")))
+    return _stores(tx, store).orderBy(F.desc("transactions"), F.asc_nulls_last("store_id"))
 
 
 def store_ranking(tx: DataFrame, store: str = "store_id") -> DataFrame:
     """(rank, store_id, transactions); equal counts share a rank."""
-    d = store_distribution(tx, store)
+    d = _stores(tx, store)
     return d.select(F.rank().over(Window.orderBy(F.desc("transactions"))).alias("rank"),
                     "store_id", "transactions")
 
@@ -101,7 +107,7 @@ def store_gaps(tx: DataFrame, store: str = "store_id") -> DataFrame:
     lower) / next lower; in percent, neighbours by (transactions desc,
     store asc).
     """
-    d = store_distribution(tx, store)
+    d = _stores(tx, store)
     w = Window.orderBy(F.desc("transactions"), F.asc_nulls_last("store_id"))
     leader = F.max("transactions").over(Window.partitionBy())
     higher = F.lag("transactions").over(w)

@@ -33,10 +33,9 @@ def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     so each collected list is one basket.
     """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    ordered = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
     return lines.groupBy(F.col("l_orderkey").alias("tx_id")).agg(
-        F.array_join(F.transform(ordered, lambda s: s["l_partkey"].cast("string")), " ")
-        .alias("products"))
+        F.array_join(ordered["l_partkey"].cast("array<string>"), " ").alias("products"))
 
 
 def transactions(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFrame:
