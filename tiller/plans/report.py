@@ -121,3 +121,29 @@ def run_report(spark: SparkSession, transactions_dir: str | None, out_dir: str,
         finally:
             tx.unpersist()
     return written
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Command line: ``python -m tiller.plans.report --transactions DIR --out DIR
+    [--categories FILE --product-category FILE] [--format parquet|json|csv]``."""
+    import argparse
+
+    from pyspark.sql import SparkSession
+
+    from tiller.session import ensure_checkpoint_dir
+
+    p = argparse.ArgumentParser(prog="tiller-report")
+    p.add_argument("--transactions")
+    p.add_argument("--categories")
+    p.add_argument("--product-category")
+    p.add_argument("--out", required=True)
+    p.add_argument("--format", default="parquet", choices=["parquet", "json", "csv"])
+    a = p.parse_args(argv)
+    spark = SparkSession.builder.appName("tiller-report").getOrCreate()
+    ensure_checkpoint_dir(spark)
+    for name in run_report(spark, a.transactions, a.out, a.categories, a.product_category, a.format):
+        print(name)
+
+
+if __name__ == "__main__":
+    main()
