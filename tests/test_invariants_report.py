@@ -92,4 +92,9 @@ def test_report_job_end_to_end(spark, scratch):
     assert set(written) == expected
     summary = spark.read.json(os.path.join(out, "summary")).collect()[0]
     assert summary["transactions"] == len(tx)
+    assert summary["num_files"] == len(by_store)
+    assert summary["source_files"].split(", ") == sorted(f"{s}_Tran.csv" for s in by_store)
+    cs = {r["table_name"]: r["source_file"]
+          for r in spark.read.json(os.path.join(out, "catalogue_summary")).collect()}
+    assert cs == {"categories": cat, "product_category": pc}
     assert spark.read.json(os.path.join(out, "top_products")).count() == 30

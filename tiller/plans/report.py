@@ -27,9 +27,11 @@ from tiller.operators._util import combine_rows
 from tiller.sources.sinks import write_sections
 
 
-def transaction_summary(tx: DataFrame, items: DataFrame) -> DataFrame:
+def transaction_summary(tx: DataFrame, items: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """A27 (global): one row - stores, transactions, customers, date_start,
-    date_end, avg_basket_size, exact_duplicates, nulls, unique_products.
+    date_end, avg_basket_size, exact_duplicates, nulls, unique_products
+    and, when ``files`` (``source_files`` output) is given, source_files
+    (names sorted, comma-separated) and num_files.
 
     Distinct counts treat NULL as a value, as ``distinct().count()`` does.
     The transactions are shuffled once: every metric but the product count
@@ -56,22 +58,38 @@ def transaction_summary(tx: DataFrame, items: DataFrame) -> DataFrame:
                  F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("exact_duplicates"),
                  F.coalesce(F.sum(miss), F.lit(0)).cast("bigint").alias("nulls"))
     prods = items.agg(F.count_distinct("item").alias("unique_products"))
-    return combine_rows([main, prods]).select(
-        "stores", "transactions", "customers", "date_start", "date_end", "avg_basket_size",
-        "exact_duplicates", "nulls", "unique_products")
-
-
-def catalogue_sections(pc: DataFrame, cat: DataFrame) -> dict[str, DataFrame]:
-    """Sections of the catalogue report: summary, distribution, relations."""
+    cols = ["stores", "transactions", "customers", "date_start", "date_end", "avg_basket_size",
+            "exact_duplicates", "nulls", "unique_products"]
+    parts = [main, prods]
+    if files is not None:
+        # one row per input file: the list is bounded by the number of files
+        parts.append(files.agg(
+            F.array_join(F.sort_array(F.collect_list("file_name")), ", ").alias("source_files"),
+            F.count(F.lit(1)).alias("num_files")))
+        cols = ["source_files", "num_files"] + cols
+    return combine_rows(parts).select(*cols)
+
+
+def catalogue_sections(pc: DataFrame, cat: DataFrame,
+                       paths: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Sections of the catalogue report: summary (with each table's source
+    path when ``paths`` is given), distribution, relations."""
+    summary = profile.catalogue_summary({"categories": cat, "product_category": pc})
+    if paths:
+        pairs = []
+        for k, v in paths.items():
+            pairs += [F.lit(k), F.lit(v)]
+        summary = summary.withColumn("source_file", F.create_map(*pairs)[F.col("table_name")])
     return {
-        "catalogue_summary": profile.catalogue_summary({"categories": cat, "product_category": pc}),
+        "catalogue_summary": summary,
         "category_distribution": catalogue.category_distribution(pc, cat),
         "category_relations": catalogue.category_relations(pc),
     }
 
 
 def transaction_sections(tx: DataFrame, items: DataFrame | None = None,
-                         with_rules: bool = True, with_forecast: bool = True) -> dict[str, DataFrame | None]:
+                         with_rules: bool = True, with_forecast: bool = True,
+                         files: DataFrame | None = None) -> dict[str, DataFrame | None]:
     """Sections of the transaction report.
 
     ``items`` defaults to the exploded baskets of ``tx``.  Association rules
@@ -79,7 +97,7 @@ def transaction_sections(tx: DataFrame, items: DataFrame | None = None,
     """
     items = items if items is not None else baskets.basket_items(tx)
     sec: dict[str, DataFrame | None] = {
-        "summary": transaction_summary(tx, items),
+        "summary": transaction_summary(tx, items, files),
         "basket_statistics": baskets.basket_statistics(tx),
         "top_products": baskets.top_products(items),
         "monthly": temporal.monthly_distribution(tx),
@@ -107,17 +125,24 @@ def run_report(spark: SparkSession, transactions_dir: str | None, out_dir: str,
 
     Returns the names of the written sections.
     """
-    from tiller.sources.readers import read_categories, read_product_category, read_transactions
+    from tiller.sources.readers import (
+        read_categories,
+        read_product_category,
+        read_transactions,
+        source_files,
+    )
 
     written: list[str] = []
     if categories_path and product_category_path:
         cat = read_categories(spark, categories_path)
         pc = read_product_category(spark, product_category_path)
-        written += write_sections(catalogue_sections(pc, cat), out_dir, fmt)
+        paths = {"categories": categories_path, "product_category": product_category_path}
+        written += write_sections(catalogue_sections(pc, cat, paths), out_dir, fmt)
     if transactions_dir:
         tx = read_transactions(spark, transactions_dir).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            written += write_sections(transaction_sections(tx), out_dir, fmt)
+            files = source_files(spark, transactions_dir)
+            written += write_sections(transaction_sections(tx, files=files), out_dir, fmt)
         finally:
             tx.unpersist()
     return written
