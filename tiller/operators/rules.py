@@ -10,7 +10,7 @@ joined by ``,`` so the output does not depend on mining order.
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth, FPGrowthModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiller.functions.columns import basket_tokens
@@ -44,25 +44,17 @@ def _joined(c):
     return F.array_join(F.sort_array(c), ITEM_SEP)
 
 
-def _with_basket_count(df: DataFrame, baskets: DataFrame) -> DataFrame:
-    """Attach the number of baskets (support denominator) without a join."""
-    n = baskets.agg(F.count(F.lit(1)).alias("_baskets")).withColumn("_is_n", F.lit(True))
-    u = df.withColumn("_is_n", F.lit(False)).unionByName(n, allowMissingColumns=True)
-    return (u.withColumn("_baskets", F.max("_baskets").over(Window.partitionBy()))
-            .where(~F.col("_is_n")).drop("_is_n"))
-
-
 def frequent_itemsets(baskets: DataFrame, min_support: float = RULES_MIN_SUPPORT,
                       num_partitions: int | None = None,
                       model: FPGrowthModel | None = None) -> DataFrame:
     """ML1: (itemset, size, freq, support) for every frequent itemset."""
     model = model or fit(baskets, min_support, RULES_MIN_CONFIDENCE, num_partitions)
-    fi = model.freqItemsets.select(_joined(F.col("items")).alias("itemset"),
-                                   F.size("items").alias("size"), F.col("freq"))
-    fi = _with_basket_count(fi, baskets)
-    return fi.select("itemset", "size", "freq",
-                     (F.col("freq").cast("double") / F.col("_baskets").cast("double"))
-                     .alias("support"))
+    # The support denominator is one number; fitting runs jobs anyway, so
+    # it is counted once and enters the plan as a literal.
+    n = baskets.count()
+    return model.freqItemsets.select(
+        _joined(F.col("items")).alias("itemset"), F.size("items").alias("size"), F.col("freq"),
+        (F.col("freq").cast("double") / F.lit(float(n))).alias("support"))
 
 
 def association_rules(baskets: DataFrame, min_support: float = RULES_MIN_SUPPORT,
