@@ -267,8 +267,10 @@ def running_total(df: DataFrame, order, value: str, out: str,
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Without an explicit count AQE may merge adjacent ranges; merged ranges
+    # are still contiguous, so partition ids keep the global order.
+    ranged = (df.repartitionByRange(num_partitions, *order) if num_partitions
+              else df.repartitionByRange(*order)).sortWithinPartitions(*order)
     schema = T.StructType(ranged.schema.fields + [
         T.StructField("_pid", T.IntegerType()),
         T.StructField("_lsum", T.LongType()),
