@@ -49,6 +49,29 @@ def _rows(records, columns):
                                            for x in t))
 
 
+_SPARK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "tinyint": "TINYINT",
+                "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "date": "DATE",
+                "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
+
+
+def _spark_type(t) -> str:
+    s = t.simpleString()
+    if s.startswith("decimal"):
+        return "DECIMAL"
+    if s.startswith("array"):
+        return "LIST"
+    return _SPARK_TYPES.get(s, s.upper())
+
+
+def _duck_type(t: str) -> str:
+    t = t.upper()
+    if t.startswith("DECIMAL"):
+        return "DECIMAL"
+    if t.endswith("[]") or t.startswith("LIST"):
+        return "LIST"
+    return {"NUMBER": "DOUBLE", "STRING": "VARCHAR"}.get(t, t)
+
+
 @dataclass
 class Result:
     name: str
@@ -78,6 +101,12 @@ def compare(name: str, spark, sf_dir: str, con=None, spark_df=None) -> Result:
         res.ok = False
         res.problems.append(f"columns differ: spark={sorted(s_cols)} sql={sorted(q_cols)}")
         return res
+    s_types = {f.name: _spark_type(f.dataType) for f in sdf.schema.fields}
+    q_types = {d[0]: _duck_type(str(d[1])) for d in cur.description}
+    diff_types = {c: (s_types[c], q_types[c]) for c in s_cols if s_types[c] != q_types.get(c)}
+    if diff_types:
+        res.ok = False
+        res.problems.append(f"types differ: {diff_types}")
     if len(s_recs) != len(q_recs):
         res.ok = False
         res.problems.append(f"row count differs: spark={len(s_recs)} sql={len(q_recs)}")
