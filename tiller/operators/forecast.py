@@ -64,27 +64,10 @@ def _future_months(last: Column, horizon: int) -> Column:
                       F.expr("INTERVAL 1 MONTH"))
 
 
-def seasonal_naive(series: DataFrame, keys: Sequence[str] = (), horizon: int = FORECAST_HORIZON,
-                   month: str = "month", value: str = "transactions") -> DataFrame:
-    """ML4: (keys..., month, yhat, method)."""
-    filled = fill_months(series, keys, month, value)
-    by_moy = filled.groupBy(*_keys(keys), F.month(month).alias("_moy")).agg(
-        F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_c"), F.max(month).alias("_last"))
-    per = by_moy.groupBy(*_keys(keys)).agg(
-        F.map_from_entries(F.collect_list(F.struct(
-            "_moy", (F.col("_s").cast("double") / F.col("_c").cast("double"))))).alias("_means"),
-        (F.sum("_s").cast("double") / F.sum("_c").cast("double")).alias("_mean"),
-        F.max("_last").alias("_last"))
-    fut = per.select(*_keys(keys), "_means", "_mean",
-                     F.explode(_future_months(F.col("_last"), horizon)).alias(month))
-    yhat = F.coalesce(F.col("_means")[F.month(month)], F.col("_mean"))
-    return fut.select(*_keys(keys), month, yhat.alias("yhat"),
-                      F.lit(METHOD_SEASONAL_NAIVE).alias("method"))
-
-
 def series_arrays(series: DataFrame, keys: Sequence[str] = (), month: str = "month",
                   value: str = "transactions") -> DataFrame:
-    """(keys..., _first, _last, _y): each filled series as one ordered array.
+    """(keys..., _first, _last, _y): each gap-filled series as one ordered
+    array of doubles.
 
     A series holds one value per month, so the array is bounded by the
     number of months, not by the number of transactions.
@@ -95,11 +78,38 @@ def series_arrays(series: DataFrame, keys: Sequence[str] = (), month: str = "mon
     return (filled.groupBy(*_keys(keys))
             .agg(ordered.alias("_pts"))
             .select(*_keys(keys),
-                    F.col("_pts")[0]["m"].alias("_first"),
-                    F.element_at("_pts", -1)["m"].alias("_last"),
+                    F.try_element_at("_pts", F.lit(1))["m"].alias("_first"),
+                    F.try_element_at("_pts", F.lit(-1))["m"].alias("_last"),
                     F.col("_pts")["v"].alias("_y")))
 
 
+def _naive_from_arrays(arr: DataFrame, keys: Sequence[str], horizon: int,
+                       month: str) -> DataFrame:
+    pts = arr.select(*_keys(keys), "_first", "_last",
+                     F.posexplode("_y").alias("_i", "_v"))
+    by_moy = pts.groupBy(*_keys(keys), F.month(F.add_months("_first", "_i")).alias("_moy")).agg(
+        F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_c"), F.max("_last").alias("_last"))
+    per = by_moy.groupBy(*_keys(keys)).agg(
+        F.map_from_entries(F.collect_list(F.struct(
+            "_moy", (F.col("_s") / F.col("_c").cast("double"))))).alias("_means"),
+        (F.sum("_s") / F.sum("_c").cast("double")).alias("_mean"),
+        F.max("_last").alias("_last"))
+    fut = per.select(*_keys(keys), "_means", "_mean",
+                     F.explode(_future_months(F.col("_last"), horizon)).alias(month))
+    yhat = F.coalesce(F.col("_means")[F.month(month)], F.col("_mean"))
+    return fut.select(*_keys(keys), month, yhat.alias("yhat"),
+                      F.lit(METHOD_SEASONAL_NAIVE).alias("method"))
+
+
+def seasonal_naive(series: DataFrame, keys: Sequence[str] = (), horizon: int = FORECAST_HORIZON,
+                   month: str = "month", value: str = "transactions") -> DataFrame:
+    """ML4: (keys..., month, yhat, method) - mean of the same calendar month
+    over the gap-filled series, else the overall mean; each series continues
+    after its own last month.  The per-month means of a series are a map of
+    at most 12 entries."""
+    return _naive_from_arrays(series_arrays(series, keys, month, value), keys, horizon, month)
+
+
 def _mean_of(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x) / F.size(arr).cast("double")
 
@@ -138,16 +148,9 @@ def _hw_state(y: Column, a: Column, b: Column, g: Column, m: int) -> Column:
     return F.aggregate(y, init, step)
 
 
-def holt_winters(series: DataFrame, keys: Sequence[str] = (), horizon: int = FORECAST_HORIZON,
-                 month: str = "month", value: str = "transactions",
-                 season: int = SEASON_LENGTH, alphas: Sequence[float] = ALPHAS,
-                 betas: Sequence[float] = BETAS, gammas: Sequence[float] = GAMMAS,
-                 min_seasons: int = 2) -> DataFrame:
-    """ML5: (keys..., month, yhat, method, alpha, beta, gamma, sse).
-
-    Only series with at least ``min_seasons`` full seasons are fitted.
-    """
-    arr = series_arrays(series, keys, month, value).where(F.size("_y") >= min_seasons * season)
+def _hw_from_arrays(arr: DataFrame, keys: Sequence[str], horizon: int, month: str,
+                    season: int, alphas: Sequence[float], betas: Sequence[float],
+                    gammas: Sequence[float]) -> DataFrame:
     grid = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g"))
                      for a in alphas for b in betas for g in gammas])
     cand = arr.select(*_keys(keys), "_last", "_y", F.explode(grid).alias("_w"))
@@ -170,37 +173,32 @@ def holt_winters(series: DataFrame, keys: Sequence[str] = (), horizon: int = FOR
                       F.col("_b.g").alias("gamma"), F.col("_b.sse").alias("sse"))
 
 
+def holt_winters(series: DataFrame, keys: Sequence[str] = (), horizon: int = FORECAST_HORIZON,
+                 month: str = "month", value: str = "transactions",
+                 season: int = SEASON_LENGTH, alphas: Sequence[float] = ALPHAS,
+                 betas: Sequence[float] = BETAS, gammas: Sequence[float] = GAMMAS,
+                 min_seasons: int = 2) -> DataFrame:
+    """ML5: (keys..., month, yhat, method, alpha, beta, gamma, sse).
+
+    Only series with at least ``min_seasons`` full seasons (after gap
+    filling) are fitted; each (series, weight triple) is one row.
+    """
+    arr = series_arrays(series, keys, month, value).where(F.size("_y") >= min_seasons * season)
+    return _hw_from_arrays(arr, keys, horizon, month, season, alphas, betas, gammas)
+
+
 def forecast(series: DataFrame, keys: Sequence[str] = (), horizon: int = FORECAST_HORIZON,
              month: str = "month", value: str = "transactions",
              season: int = SEASON_LENGTH, min_seasons: int = 2) -> DataFrame:
     """ML6: Holt-Winters where a series has ``min_seasons`` full seasons
     after gap filling, the seasonal-naive mean elsewhere.
 
-    (keys..., month, yhat, method)
+    (keys..., month, yhat, method).  The series are filled and collected
+    once; the gate is a filter on the array length, so no join is needed.
     """
-    lengths = (fill_months(series, keys, month, value).groupBy(*_keys(keys))
-               .agg(F.count(F.lit(1)).alias("_len")))
-    long_keys = lengths.where(F.col("_len") >= min_seasons * season).drop("_len")
-    short_keys = lengths.where(F.col("_len") < min_seasons * season).drop("_len")
-    if keys:
-        long_s = series.join(long_keys, list(keys), "left_semi")
-        short_s = series.join(short_keys, list(keys), "left_semi")
-    else:
-        long_s = _gate(series, lengths, season * min_seasons, True)
-        short_s = _gate(series, lengths, season * min_seasons, False)
-    hw = holt_winters(long_s, keys, horizon, month, value, season,
-                      min_seasons=min_seasons).select(*keys, month, "yhat", "method")
-    nv = seasonal_naive(short_s, keys, horizon, month, value)
+    arr = series_arrays(series, keys, month, value)
+    need = min_seasons * season
+    hw = _hw_from_arrays(arr.where(F.size("_y") >= need), keys, horizon, month, season,
+                         ALPHAS, BETAS, GAMMAS).select(*keys, month, "yhat", "method")
+    nv = _naive_from_arrays(arr.where(F.size("_y") < need), keys, horizon, month)
     return hw.unionByName(nv)
-
-
-def _gate(series: DataFrame, lengths: DataFrame, need: int, long: bool) -> DataFrame:
-    """Keyless series: keep all rows when the single series' length passes
-    (or fails, ``long=False``) the gate - via a window over the union."""
-    from pyspark.sql import Window
-
-    u = (series.withColumn("_is_len", F.lit(False))
-         .unionByName(lengths.withColumn("_is_len", F.lit(True)), allowMissingColumns=True)
-         .withColumn("_len", F.max("_len").over(Window.partitionBy())))
-    cond = (F.col("_len") >= need) if long else (F.col("_len") < need)
-    return u.where(~F.col("_is_len") & cond).drop("_is_len", "_len")
