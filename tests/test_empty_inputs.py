@@ -38,6 +38,7 @@ CASES = {
     "category_relations": lambda e: catalogue.category_relations(e(PC)),
     "basket_statistics": lambda e: baskets.basket_statistics(e(TX)),
     "basket_summary": lambda e: baskets.basket_summary(e(TX)),
+    "basket_statistics_from_lines": lambda e: baskets.basket_statistics_from_lines(e(ITEMS)),
     "basket_quantiles": lambda e: baskets.basket_quantiles(e(TX)),
     "basket_quantiles_approx": lambda e: baskets.basket_quantiles_approx(e(TX)),
     "basket_mode": lambda e: baskets.basket_mode(e(TX)),
@@ -78,7 +79,7 @@ CASES = {
     "association_rules": lambda e: rules.association_rules(e("items array<string>")),
 }
 
-ONE_ROW = {"null_counts", "exact_duplicates", "duplicates_on", "distinct_count", "repeated_keys",
+ONE_ROW = {"basket_statistics_from_lines", "null_counts", "exact_duplicates", "duplicates_on", "distinct_count", "repeated_keys",
            "orphan_summary", "basket_statistics", "basket_summary", "basket_mode",
            "basket_outliers", "units_sold", "weekend_share", "new_customer_share",
            "inter_purchase_days", "multi_category_products", "relation_averages",

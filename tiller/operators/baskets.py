@@ -37,6 +37,17 @@ def size_histogram(tx: DataFrame, products: str = "products") -> DataFrame:
             .groupBy("basket_size").agg(F.count(F.lit(1)).alias("baskets")))
 
 
+def size_histogram_from_lines(lines: DataFrame, tx: str = "tx_id") -> DataFrame:
+    """(basket_size, baskets) from exploded baskets (one row per line).
+
+    Sizes are a partially aggregated count per transaction, so even a
+    transaction holding a third of all lines costs one row per map task, and
+    no basket is ever materialised as a string or list.
+    """
+    sizes = lines.groupBy(F.col(tx)).agg(F.count(F.lit(1)).cast("int").alias("basket_size"))
+    return sizes.groupBy("basket_size").agg(F.count(F.lit(1)).alias("baskets"))
+
+
 def _histogram_stats(hist: DataFrame, probs: Sequence[float],
                      fences: tuple[int, int] | None = None) -> DataFrame:
     """Moments, exact quantiles (smallest value whose cumulative count
@@ -110,6 +121,20 @@ def basket_statistics(tx: DataFrame, products: str = "products") -> DataFrame:
         "outliers")
 
 
+def basket_statistics_from_lines(lines: DataFrame, tx: str = "tx_id") -> DataFrame:
+    """``basket_statistics`` for baskets given as lines (tx_id, item): the
+    same row, computed from ``size_histogram_from_lines``."""
+    st = _histogram_stats(size_histogram_from_lines(lines, tx), QUARTILES, fences=(0, 2))
+    iqr = F.col("q2") - F.col("q0")
+    return st.select(
+        "baskets", "mean_size", "stddev_size", "min_size", "max_size", "mode_size",
+        F.col("q0").alias("p25"), F.col("q1").alias("median"), F.col("q2").alias("p75"),
+        iqr.alias("iqr"),
+        (F.col("q0") - F.lit(1.5) * iqr).alias("lower_fence"),
+        (F.col("q2") + F.lit(1.5) * iqr).alias("upper_fence"),
+        "outliers")
+
+
 def basket_summary(tx: DataFrame, products: str = "products") -> DataFrame:
     """A10: (baskets, mean_size, stddev_size, min_size, max_size)."""
     st = _histogram_stats(size_histogram(tx, products), ())

@@ -302,6 +302,24 @@ def q_basket_statistics(spark, d):
     return baskets.basket_statistics(fx.transactions(spark, d))
 
 
+_LINE_SIZES = """s AS (SELECT CAST(count(*) AS INTEGER) AS basket_size FROM lineitem GROUP BY l_orderkey)"""
+
+
+@query("basket_statistics_lines", with_(_LINE_SIZES, _QUART, _MODE) + f"""
+SELECT count(*) AS baskets, {r('avg(s.basket_size)')} AS mean_size,
+       {r('stddev_samp(s.basket_size)')} AS stddev_size,
+       min(s.basket_size) AS min_size, max(s.basket_size) AS max_size,
+       any_value(m.mode_size) AS mode_size, q.p25, q.median, q.p75, q.p75 - q.p25 AS iqr,
+       {r('CAST(q.p25 AS DOUBLE) - 1.5 * CAST(q.p75 - q.p25 AS DOUBLE)')} AS lower_fence,
+       {r('CAST(q.p75 AS DOUBLE) + 1.5 * CAST(q.p75 - q.p25 AS DOUBLE)')} AS upper_fence,
+       count(*) FILTER (WHERE s.basket_size < CAST(q.p25 AS DOUBLE) - 1.5 * CAST(q.p75 - q.p25 AS DOUBLE)
+                           OR s.basket_size > CAST(q.p75 AS DOUBLE) + 1.5 * CAST(q.p75 - q.p25 AS DOUBLE))
+         AS outliers
+FROM s, q, m GROUP BY q.p25, q.median, q.p75""")
+def q_basket_statistics_lines(spark, d):
+    return baskets.basket_statistics_from_lines(fx.basket_lines(spark, d))
+
+
 @query("basket_summary", with_(TX, _SIZES) + f"""
 SELECT count(*) AS baskets, {r('avg(basket_size)')} AS mean_size,
        {r('stddev_samp(basket_size)')} AS stddev_size,
