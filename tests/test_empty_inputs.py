@@ -79,8 +79,8 @@ CASES = {
     "association_rules": lambda e: rules.association_rules(e("items array<string>")),
 }
 
-ONE_ROW = {"basket_statistics_from_lines", "null_counts", "exact_duplicates", "duplicates_on", "distinct_count", "repeated_keys",
-           "orphan_summary", "basket_statistics", "basket_summary", "basket_mode",
+ONE_ROW = {"null_counts", "exact_duplicates", "duplicates_on", "distinct_count", "repeated_keys",
+           "basket_statistics_from_lines", "orphan_summary", "basket_statistics", "basket_summary", "basket_mode",
            "basket_outliers", "units_sold", "weekend_share", "new_customer_share",
            "inter_purchase_days", "multi_category_products", "relation_averages",
            "transaction_summary", "schema_profile", "catalogue_summary", "quality_scorecard",
