@@ -254,15 +254,12 @@ def concentration(items: DataFrame, cuts: Sequence[int] = CONCENTRATION_CUTS,
            .withColumn("_cum", F.sum("units").over(w.rowsBetween(Window.unboundedPreceding,
                                                                  Window.currentRow))))
     top = top.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy()))
-    out = []
-    for n in cuts:
-        out.append(top.where(F.col("_r") == F.least(F.lit(n), F.col("_rows"))).select(
-            F.lit(n).alias("top_n"), F.col("_cum").alias("units"),
-            share_pct("_cum", "_total").alias("pct")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    # every cut-off reads the same (at most max(cuts)) ranked rows
+    cut = F.explode(F.array(*[F.lit(int(n)) for n in cuts])).alias("top_n")
+    return (top.select("*", cut)
+            .where(F.col("_r") == F.least(F.col("top_n"), F.col("_rows")))
+            .select("top_n", F.col("_cum").alias("units"),
+                    share_pct("_cum", "_total").alias("pct")))
 
 
 # --------------------------------------------------------------------------

@@ -68,6 +68,16 @@ def distinct_count(df: DataFrame, column: str, alias: str | None = None) -> Data
                   .cast("bigint").alias(alias or f"distinct_{column}"))
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str],
+                    aliases: Sequence[str] | None = None) -> DataFrame:
+    """A5 for several columns of one table in one aggregation (one scan;
+    Spark expands the rows once per distinct column before the shuffle).
+    NULL counts as one value, as in ``distinct().count()``."""
+    aliases = list(aliases) if aliases is not None else [f"distinct_{c}" for c in columns]
+    return df.agg(*[(F.count_distinct(col(c)) + F.max(F.when(col(c).isNull(), 1).otherwise(0)))
+                    .cast("bigint").alias(a) for c, a in zip(columns, aliases)])
+
+
 def approx_distinct_count(df: DataFrame, column: str, rsd: float = 0.01,
                           alias: str | None = None) -> DataFrame:
     """A5 for very large inputs: HyperLogLog++ estimate (NULL not counted)."""
@@ -90,16 +100,28 @@ def orphans(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str = "id"
     between two key-unique sides.  Spark broadcasts a side only when its
     measured size passes the threshold.
     """
+    return _orphans_of(_rows_per_key(facts, fact_key), dim, fact_key, dim_key)
+
+
+def _rows_per_key(facts: DataFrame, fact_key: str) -> DataFrame:
+    return facts.groupBy(col(fact_key)).agg(F.count(F.lit(1)).alias("num_rows"))
+
+
+def _orphans_of(per_key: DataFrame, dim: DataFrame, fact_key: str, dim_key: str) -> DataFrame:
     keys = dim.select(col(dim_key).alias("_k")).distinct()
-    per_key = facts.groupBy(col(fact_key)).agg(F.count(F.lit(1)).alias("num_rows"))
     return per_key.join(keys, col(fact_key) == F.col("_k"), "left_anti")
 
 
 def orphan_summary(facts: DataFrame, dim: DataFrame, fact_key: str,
                    dim_key: str = "id") -> DataFrame:
-    """Referential integrity: (total_rows, orphan_rows, orphan_keys, integrity_pct)."""
-    total = facts.agg(F.count(F.lit(1)).alias("total_rows"))
-    orph = orphans(facts, dim, fact_key, dim_key).agg(
+    """Referential integrity: (total_rows, orphan_rows, orphan_keys, integrity_pct).
+
+    The facts are aggregated once per key; the total and the orphans both
+    read that aggregate.
+    """
+    per_key = _rows_per_key(facts, fact_key)
+    total = per_key.agg(F.coalesce(F.sum("num_rows"), F.lit(0)).cast("bigint").alias("total_rows"))
+    orph = _orphans_of(per_key, dim, fact_key, dim_key).agg(
         F.coalesce(F.sum("num_rows"), F.lit(0)).cast("bigint").alias("orphan_rows"),
         F.count(F.lit(1)).alias("orphan_keys"))
     out = combine_rows([total, orph])

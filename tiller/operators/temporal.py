@@ -33,6 +33,17 @@ def monthly_series(tx: DataFrame, date: str = "date", by: tuple[str, ...] = ())
             .groupBy(*by, m).agg(F.count(F.lit(1)).alias("transactions")))
 
 
+def total_series(series: DataFrame, month: str = "month",
+                 value: str = "transactions") -> DataFrame:
+    """The chain-wide series from per-store series: (month, value).
+
+    Per-store counts add up to the chain's, so the global series is a small
+    aggregate of an already aggregated frame instead of a second pass over
+    the transactions.
+    """
+    return series.groupBy(month).agg(F.sum(value).cast("bigint").alias(value))
+
+
 def monthly_growth(tx: DataFrame, date: str = "date") -> DataFrame:
     """Month-over-month growth and growth since the first month.
 

@@ -127,10 +127,8 @@ def q_distinct_counts(spark, d):
     tx = fx.transactions_light(spark, d)
     items = fx.basket_lines(spark, d)
     return combine_rows([
-        profile.distinct_count(pc, "code_pr", "distinct_products"),
-        profile.distinct_count(pc, "code", "distinct_categories"),
-        profile.distinct_count(tx, "store_id", "distinct_stores"),
-        profile.distinct_count(tx, "customer_id", "distinct_customers"),
+        profile.distinct_counts(pc, ["code_pr", "code"], ["distinct_products", "distinct_categories"]),
+        profile.distinct_counts(tx, ["store_id", "customer_id"], ["distinct_stores", "distinct_customers"]),
         profile.distinct_count(items, "item", "distinct_sold_items"),
     ]).select("distinct_products", "distinct_categories", "distinct_stores",
               "distinct_customers", "distinct_sold_items")
@@ -744,9 +742,10 @@ def q_forecast_holt_winters_store(spark, d):
 @query("forecast_auto")
 def q_forecast_auto(spark, d):
     tx = fx.transactions_light(spark, d)
-    g = forecast.forecast(temporal.monthly_series(tx)).withColumn(
+    by_store = temporal.monthly_series(tx, by=("store_id",))
+    g = forecast.forecast(temporal.total_series(by_store)).withColumn(
         "store_id", F.lit(None).cast("bigint"))
-    s = forecast.forecast(temporal.monthly_series(tx, by=("store_id",)), ("store_id",))
+    s = forecast.forecast(by_store, ("store_id",))
     return g.unionByName(s).select("store_id", "month", "yhat", "method")
 
 

@@ -110,9 +110,9 @@ def transaction_sections(tx: DataFrame, items: DataFrame | None = None,
         "retention_matrix": cohorts.retention_matrix(tx),
     }
     if with_forecast:
-        sec["forecast_global"] = forecast.forecast(temporal.monthly_series(tx))
-        sec["forecast_stores"] = forecast.forecast(
-            temporal.monthly_series(tx, by=("store_id",)), ("store_id",))
+        by_store = temporal.monthly_series(tx, by=("store_id",))
+        sec["forecast_global"] = forecast.forecast(temporal.total_series(by_store))
+        sec["forecast_stores"] = forecast.forecast(by_store, ("store_id",))
     if with_rules:
         sec["association_rules"] = rules.association_rules(rules.baskets_from_products(tx))
     return sec
