@@ -1,9 +1,10 @@
-"""Plan audit: one line per registered query with the shape of its physical
-plan (shuffles, broadcasts, windows, Python stages, scanned columns).
+"""Plan audit: one line per registered query with the shape of its final
+physical plan (shuffles, reused shuffles, broadcasts, windows, Python
+stages, scans and their widest column list).
 
-``python -m tiller.plans.audit [sf_dir]`` prints a markdown table; the
-numbers come from Spark's own plans (before adaptive re-planning, so a join
-the planner may still turn into a broadcast at runtime counts as a shuffle).
+``python -m tiller.plans.audit [sf_dir]`` runs every query once (inside the
+JVM, nothing is collected) so that adaptive execution has settled its
+decisions, then prints a markdown table from Spark's final plans.
 """
 
 from __future__ import annotations
@@ -14,18 +15,24 @@ import sys
 from pyspark.sql import DataFrame
 
 
-def plan_text(df: DataFrame) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+def plan_text(df: DataFrame, execute: bool = False) -> str:
+    qe = df._jdf.queryExecution()
+    if execute:
+        qe.toRdd().count()
+    text = qe.executedPlan().toString()
+    # a finished adaptive plan prints the final plan, then the initial one
+    return text.split("== Initial Plan ==")[0]
 
 
-def shape(df: DataFrame) -> dict:
-    p = plan_text(df)
+def shape(df: DataFrame, execute: bool = True) -> dict:
+    p = plan_text(df, execute)
     scans = re.findall(r"FileScan parquet [^\[]*\[([^\]]*)\]", p) or re.findall(
         r"ReadSchema: struct<([^>]*)>", p)
     return {
         "hash_shuffles": len(re.findall(r"Exchange hashpartitioning", p)),
         "range_shuffles": len(re.findall(r"Exchange rangepartitioning", p)),
         "single_partition": len(re.findall(r"Exchange SinglePartition", p)),
+        "reused": len(re.findall(r"ReusedExchange", p)),
         "broadcasts": len(re.findall(r"BroadcastExchange", p)),
         "windows": len(re.findall(r"\bWindow \[", p)),
         "python": bool(re.search(r"MapInPandas|ArrowEvalPython|BatchEvalPython", p)),
@@ -37,13 +44,13 @@ def shape(df: DataFrame) -> dict:
 def table(spark, sf_dir: str) -> str:
     from tiller.plans import register
 
-    head = ("| query | hash shuffles | range shuffles | single-partition | broadcasts "
+    head = ("| query | hash shuffles | range shuffles | single-partition | reused | broadcasts "
             "| windows | python | scans | widest scan (cols) |")
-    lines = [head, "|" + " --- |" * 9]
+    lines = [head, "|" + " --- |" * 10]
     for name in sorted(register.SPARK):
         s = shape(register.SPARK[name](spark, sf_dir))
         lines.append(f"| {name} | {s['hash_shuffles']} | {s['range_shuffles']} | "
-                     f"{s['single_partition']} | {s['broadcasts']} | {s['windows']} | "
+                     f"{s['single_partition']} | {s['reused']} | {s['broadcasts']} | {s['windows']} | "
                      f"{'yes' if s['python'] else ''} | {s['scans']} | {s['max_scan_cols']} |")
     return "\n".join(lines)
 
