@@ -86,6 +86,7 @@ def test_report_job_end_to_end(spark, scratch):
     out = os.path.join(scratch, "report")
     written = run_report(spark, tdir, out, cat, pc, fmt="json")
     expected = {"catalogue_summary", "category_distribution", "category_relations", "summary",
+                "catalogue_schema", "catalogue_nulls", "schema", "nulls", "quality", "document",
                 "basket_statistics", "top_products", "monthly", "weekday", "stores",
                 "purchase_frequency", "days_between_purchases", "cohort_sizes", "retention",
                 "retention_matrix", "forecast_global", "forecast_stores", "association_rules"}
@@ -98,3 +99,7 @@ def test_report_job_end_to_end(spark, scratch):
           for r in spark.read.json(os.path.join(out, "catalogue_summary")).collect()}
     assert cs == {"categories": cat, "product_category": pc}
     assert spark.read.json(os.path.join(out, "top_products")).count() == 30
+    doc = spark.read.json(os.path.join(out, "document")).collect()
+    assert len(doc) == 1 and len(doc[0]["top_products"]) == 30
+    assert doc[0]["summary"][0]["transactions"] == len(tx)
+    assert {r["column_name"] for r in doc[0]["nulls"]} == {"date", "store_id", "customer_id", "products"}

@@ -24,7 +24,16 @@ from tiller.operators import (
     temporal,
 )
 from tiller.operators._util import combine_rows
-from tiller.sources.sinks import write_sections
+from tiller.sources.sinks import write_document, write_sections
+
+# Sections small enough for the one-file JSON document (bounded by the
+# calendar, a top-k or the category list).
+DOCUMENT_SECTIONS = ("schema", "nulls", "quality", "summary", "basket_statistics",
+                     "top_products", "monthly", "weekday", "stores", "purchase_frequency",
+                     "days_between_purchases", "cohort_sizes", "retention",
+                     "forecast_global", "forecast_stores", "association_rules",
+                     "catalogue_schema", "catalogue_nulls", "catalogue_summary",
+                     "category_distribution", "category_relations")
 
 
 def transaction_summary(tx: DataFrame, items: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -80,7 +89,16 @@ def catalogue_sections(pc: DataFrame, cat: DataFrame,
         for k, v in paths.items():
             pairs += [F.lit(k), F.lit(v)]
         summary = summary.withColumn("source_file", F.create_map(*pairs)[F.col("table_name")])
+    nulls = None
+    schema = None
+    for name, df in (("categories", cat), ("product_category", pc)):
+        n = profile.null_counts(df).select(F.lit(name).alias("table_name"), "*")
+        s = profile.schema_profile(df).select(F.lit(name).alias("table_name"), "*")
+        nulls = n if nulls is None else nulls.unionByName(n)
+        schema = s if schema is None else schema.unionByName(s)
     return {
+        "catalogue_schema": schema,
+        "catalogue_nulls": nulls,
         "catalogue_summary": summary,
         "category_distribution": catalogue.category_distribution(pc, cat),
         "category_relations": catalogue.category_relations(pc),
@@ -97,6 +115,9 @@ def transaction_sections(tx: DataFrame, items: DataFrame | None = None,
     """
     items = items if items is not None else baskets.basket_items(tx)
     sec: dict[str, DataFrame | None] = {
+        "schema": profile.schema_profile(tx),
+        "nulls": profile.null_counts(tx),
+        "quality": profile.quality_scorecard(tx),
         "summary": transaction_summary(tx, items, files),
         "basket_statistics": baskets.basket_statistics(tx),
         "top_products": baskets.top_products(items),
@@ -133,18 +154,29 @@ def run_report(spark: SparkSession, transactions_dir: str | None, out_dir: str,
     )
 
     written: list[str] = []
+    small: dict[str, DataFrame] = {}
     if categories_path and product_category_path:
         cat = read_categories(spark, categories_path)
         pc = read_product_category(spark, product_category_path)
         paths = {"categories": categories_path, "product_category": product_category_path}
-        written += write_sections(catalogue_sections(pc, cat, paths), out_dir, fmt)
+        sec = catalogue_sections(pc, cat, paths)
+        written += write_sections(sec, out_dir, fmt)
+        small.update({k: v for k, v in sec.items() if k in DOCUMENT_SECTIONS})
     if transactions_dir:
         tx = read_transactions(spark, transactions_dir).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             files = source_files(spark, transactions_dir)
-            written += write_sections(transaction_sections(tx, files=files), out_dir, fmt)
+            sec = transaction_sections(tx, files=files)
+            written += write_sections(sec, out_dir, fmt)
+            small.update({k: v for k, v in sec.items() if k in DOCUMENT_SECTIONS and v is not None})
+            if small:
+                write_document(small, f"{out_dir.rstrip('/')}/document")
+                written.append("document")
         finally:
             tx.unpersist()
+    if small and "document" not in written:
+        write_document(small, f"{out_dir.rstrip('/')}/document")
+        written.append("document")
     return written
 
 

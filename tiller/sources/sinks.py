@@ -30,6 +30,33 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(*cols).write.mode(mode).option("header", True).csv(path)
 
 
+def document(sections: Mapping[str, DataFrame]) -> DataFrame:
+    """One row, one array-of-structs column per section - the nested
+    JSON document of a report.
+
+    Only for sections whose size is bounded by the calendar, a top-k or the
+    category list (summaries, distributions, retention grid, forecasts):
+    each section is gathered into one list.  Per-customer or per-item
+    outputs belong in ``write_sections``.
+    """
+    from pyspark.sql import functions as F
+
+    from tiller.operators._util import combine_rows
+
+    parts = []
+    for name, df in sections.items():
+        if df is None:
+            continue
+        row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        parts.append(df.agg(F.collect_list(row).alias(name)))
+    return combine_rows(parts)
+
+
+def write_document(sections: Mapping[str, DataFrame], path: str, mode: str = "overwrite") -> None:
+    """Write ``document(sections)`` as a single JSON file in ``path``."""
+    document(sections).coalesce(1).write.mode(mode).json(path)
+
+
 def write_sections(sections: Mapping[str, DataFrame | None], root: str,
                    fmt: str = "parquet", mode: str = "overwrite") -> list[str]:
     """One directory per report section; absent sections are skipped.
