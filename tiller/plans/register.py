@@ -594,18 +594,25 @@ def q_inter_purchase_days(spark, d):
 # cohorts
 # ---------------------------------------------------------------------------
 
-_COHORT = """cm AS (SELECT DISTINCT customer_id, CAST(date_trunc('month', date) AS DATE) AS month
-       FROM txl WHERE customer_id IS NOT NULL AND date IS NOT NULL),
-fm AS (SELECT customer_id, month, min(month) OVER (PARTITION BY customer_id) AS cohort_month FROM cm),
-act AS (SELECT cohort_month, CAST(date_diff('month', cohort_month, month) AS INTEGER) AS cohort_index,
-               count(*) AS active_customers FROM fm GROUP BY 1, 2),
-ret AS (SELECT cohort_month, cohort_index, active_customers,
-               max(CASE WHEN cohort_index = 0 THEN active_customers END) OVER (PARTITION BY cohort_month)
-                 AS cohort_size FROM act)"""
+# The twin follows the original formulation: first month per customer by
+# aggregate, joined back, then distinct customers per (cohort, index) - an
+# independent route to the Spark plan's window over distinct pairs.
+_COHORT = """t AS (SELECT customer_id, CAST(date_trunc('month', date) AS DATE) AS month
+      FROM txl WHERE customer_id IS NOT NULL AND date IS NOT NULL),
+fp AS (SELECT customer_id, min(month) AS cohort_month FROM t GROUP BY customer_id),
+j AS (SELECT t.customer_id, fp.cohort_month,
+             CAST(floor(date_diff('month', fp.cohort_month, t.month)) AS INTEGER) AS cohort_index
+      FROM t JOIN fp ON t.customer_id = fp.customer_id),
+act AS (SELECT cohort_month, cohort_index, count(DISTINCT customer_id) AS active_customers
+        FROM j GROUP BY cohort_month, cohort_index),
+sizes AS (SELECT cohort_month, count(DISTINCT customer_id) AS cohort_size
+          FROM j WHERE cohort_index = 0 GROUP BY cohort_month),
+ret AS (SELECT act.cohort_month, act.cohort_index, act.active_customers, sizes.cohort_size
+        FROM act LEFT JOIN sizes ON act.cohort_month = sizes.cohort_month)"""
 
 
 @query("cohort_sizes", with_(TXL, _COHORT) + """
-SELECT cohort_month, active_customers AS cohort_size FROM act WHERE cohort_index = 0""")
+SELECT cohort_month, cohort_size FROM sizes""")
 def q_cohort_sizes(spark, d):
     return cohorts.cohort_sizes(fx.transactions_light(spark, d))
 
