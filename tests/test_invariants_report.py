@@ -103,3 +103,18 @@ def test_report_job_end_to_end(spark, scratch):
     assert len(doc) == 1 and len(doc[0]["top_products"]) == 30
     assert doc[0]["summary"][0]["transactions"] == len(tx)
     assert {r["column_name"] for r in doc[0]["nulls"]} == {"date", "store_id", "customer_id", "products"}
+
+
+def test_report_command_line(spark, scratch, capsys):
+    from tiller.plans.report import main
+
+    tdir = os.path.join(scratch, "Transactions")
+    os.makedirs(tdir)
+    _write(os.path.join(tdir, "7_Tran.csv"), ["2013-01-01|7|1|1 2", "2013-02-01|7|1|2 3",
+                                              "2013-02-05|7|2|1"])
+    out = os.path.join(scratch, "out")
+    main(["--transactions", tdir, "--out", out, "--format", "parquet"])
+    printed = capsys.readouterr().out.split()
+    assert "summary" in printed and "document" in printed
+    s = spark.read.parquet(os.path.join(out, "summary")).collect()[0]
+    assert (s["transactions"], s["customers"], s["num_files"]) == (3, 2, 1)
