@@ -76,3 +76,23 @@ def test_literal_window_form_concentrates_the_hot_customer(spark, skewed):
     a = customers.customer_gaps(skewed).where("customer_id = 1").collect()[0]["mean_gap_days"]
     b = customers.customer_gaps_window(skewed).where("customer_id = 1").collect()[0]["mean_gap_days"]
     assert abs(a - b) < 1e-9
+
+
+def test_hot_product_and_category(spark, skewed):
+    from tiller.operators import baskets, catalogue, profile
+
+    rnd = random.Random(4)
+    items = spark.createDataFrame(
+        [(i, 7 if i < HOT else rnd.randint(1, 2000)) for i in range(N)],
+        "tx_id bigint, item bigint").repartition(8).cache()
+    pc = spark.createDataFrame(
+        [(rnd.randint(1, 5000), 3 if i < HOT else rnd.randint(0, 40)) for i in range(N)],
+        "code_pr int, code int").repartition(8).cache()
+    cat = spark.createDataFrame([(c, f"c{c}") for c in range(30)], "id int, category_name string")
+    items.count(), pc.count()
+    for df in (baskets.top_products(items), baskets.pareto_products(items),
+               baskets.concentration(items), baskets.units_sold(items),
+               catalogue.category_distribution(pc, cat), profile.orphans(pc, cat, "code"),
+               profile.orphan_summary(pc, cat, "code"), catalogue.category_relations(pc)):
+        most = _max_task_shuffle_read(spark, _noop(df))
+        assert most < HOT // 3, most
