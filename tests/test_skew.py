@@ -12,6 +12,10 @@ from tiller.operators import cohorts, customers
 
 N = 30000
 HOT = N // 3
+# Criterion: if a hot key's rows were routed to one task, that task would
+# read at least HOT records; a spread plan reads about N / 8 per task
+# (~3.75k here, for operators whose shuffled rows are nearly all distinct).
+# HOT // 2 separates the two cases.
 
 
 @pytest.fixture(scope="module")
