@@ -18,6 +18,8 @@ WEEKDAY_LABELS = {
 UNKNOWN_WEEKDAY = "Desconocido"
 # Name given to a category code that has no row in the category table.
 UNKNOWN_CATEGORY = "Desconocida"
+# Scope label of the one-row global transaction summary.
+SUMMARY_SCOPE = "Global"
 # Forecast method labels.
 METHOD_HOLT_WINTERS = "ExponentialSmoothing"
 METHOD_SEASONAL_NAIVE = "Naive-Seasonal-Avg"

@@ -768,7 +768,8 @@ a AS (SELECT count(DISTINCT store_id) + max(CASE WHEN store_id IS NULL THEN 1 EL
              min(date) AS date_start, max(date) AS date_end,
              avg(CASE WHEN products IS NOT NULL THEN len(string_split(products, ' ')) END) AS avg_basket
       FROM tx)
-SELECT CAST(a.stores AS BIGINT) AS stores, a.transactions, CAST(a.customers AS BIGINT) AS customers,
+SELECT 'Global' AS scope, CAST(a.stores AS BIGINT) AS stores, a.transactions,
+       CAST(a.customers AS BIGINT) AS customers,
        a.date_start, a.date_end, {r('a.avg_basket')} AS avg_basket_size,
        (SELECT CAST(sum(n - 1) AS BIGINT) FROM g) AS exact_duplicates,
        (SELECT CAST(sum(n * m) AS BIGINT) FROM g) AS nulls,

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiller.functions.columns import basket_size, is_missing
+from tiller.functions.labels import SUMMARY_SCOPE
 from tiller.operators import (
     baskets,
     catalogue,
@@ -37,7 +38,7 @@ DOCUMENT_SECTIONS = ("schema", "nulls", "quality", "summary", "basket_statistics
 
 
 def transaction_summary(tx: DataFrame, items: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """A27 (global): one row - stores, transactions, customers, date_start,
+    """A27 (global): one row - scope, stores, transactions, customers, date_start,
     date_end, avg_basket_size, exact_duplicates, nulls, unique_products
     and, when ``files`` (``source_files`` output) is given, source_files
     (names sorted, comma-separated) and num_files.
@@ -76,7 +77,7 @@ def transaction_summary(tx: DataFrame, items: DataFrame, files: DataFrame | None
             F.array_join(F.sort_array(F.collect_list("file_name")), ", ").alias("source_files"),
             F.count(F.lit(1)).alias("num_files")))
         cols = ["source_files", "num_files"] + cols
-    return combine_rows(parts).select(*cols)
+    return combine_rows(parts).select(F.lit(SUMMARY_SCOPE).alias("scope"), *cols)
 
 
 def catalogue_sections(pc: DataFrame, cat: DataFrame,
