@@ -101,6 +101,18 @@ def _histogram_stats(hist: DataFrame, probs: Sequence[float],
     )
 
 
+def _statistics_row(hist: DataFrame) -> DataFrame:
+    st = _histogram_stats(hist, QUARTILES, fences=(0, 2))
+    iqr = F.col("q2") - F.col("q0")
+    return st.select(
+        "baskets", "mean_size", "stddev_size", "min_size", "max_size", "mode_size",
+        F.col("q0").alias("p25"), F.col("q1").alias("median"), F.col("q2").alias("p75"),
+        iqr.alias("iqr"),
+        (F.col("q0") - F.lit(1.5) * iqr).alias("lower_fence"),
+        (F.col("q2") + F.lit(1.5) * iqr).alias("upper_fence"),
+        "outliers")
+
+
 def basket_statistics(tx: DataFrame, products: str = "products") -> DataFrame:
     """A10-A13 + P8 in one row.
 
@@ -110,29 +122,13 @@ def basket_statistics(tx: DataFrame, products: str = "products") -> DataFrame:
     NULL baskets are ignored.  Quantiles are exact (``percentile_disc``
     semantics); ``basket_quantiles_approx`` gives the sketch-based variant.
     """
-    st = _histogram_stats(size_histogram(tx, products), QUARTILES, fences=(0, 2))
-    iqr = F.col("q2") - F.col("q0")
-    return st.select(
-        "baskets", "mean_size", "stddev_size", "min_size", "max_size", "mode_size",
-        F.col("q0").alias("p25"), F.col("q1").alias("median"), F.col("q2").alias("p75"),
-        iqr.alias("iqr"),
-        (F.col("q0") - F.lit(1.5) * iqr).alias("lower_fence"),
-        (F.col("q2") + F.lit(1.5) * iqr).alias("upper_fence"),
-        "outliers")
+    return _statistics_row(size_histogram(tx, products))
 
 
 def basket_statistics_from_lines(lines: DataFrame, tx: str = "tx_id") -> DataFrame:
     """``basket_statistics`` for baskets given as lines (tx_id, item): the
     same row, computed from ``size_histogram_from_lines``."""
-    st = _histogram_stats(size_histogram_from_lines(lines, tx), QUARTILES, fences=(0, 2))
-    iqr = F.col("q2") - F.col("q0")
-    return st.select(
-        "baskets", "mean_size", "stddev_size", "min_size", "max_size", "mode_size",
-        F.col("q0").alias("p25"), F.col("q1").alias("median"), F.col("q2").alias("p75"),
-        iqr.alias("iqr"),
-        (F.col("q0") - F.lit(1.5) * iqr).alias("lower_fence"),
-        (F.col("q2") + F.lit(1.5) * iqr).alias("upper_fence"),
-        "outliers")
+    return _statistics_row(size_histogram_from_lines(lines, tx))
 
 
 def basket_summary(tx: DataFrame, products: str = "products") -> DataFrame:
