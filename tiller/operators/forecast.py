@@ -123,6 +123,11 @@ def _hw_state(y: Column, a: Column, b: Column, g: Column, m: int) -> Column:
     level' = a (y - s) + (1 - a)(level + trend); trend' = b (level' -
     level) + (1 - b) trend; season[t mod m] = g (y - level') + (1 - g) s;
     sse += (y - prediction)^2.
+
+    The seasonal state is kept as a rotating queue: its head is the
+    seasonal of the current step; each step drops the head and appends the
+    updated value (``slice`` + ``concat``), so after the last step the head
+    belongs to the first forecast month.
     """
     first = F.slice(y, 1, m)
     second = F.slice(y, m + 1, m)
@@ -134,15 +139,14 @@ def _hw_state(y: Column, a: Column, b: Column, g: Column, m: int) -> Column:
     one = F.lit(1.0)
 
     def step(st, v):
-        k = st["i"] % F.lit(m)
-        s = F.element_at(st["s"], k + 1)
+        s = F.element_at(st["s"], 1)
         pred = st["l"] + st["t"] + s
         err = v - pred
         lvl = a * (v - s) + (one - a) * (st["l"] + st["t"])
         trd = b * (lvl - st["l"]) + (one - b) * st["t"]
         sea = g * (v - lvl) + (one - g) * s
         return F.struct(lvl.alias("l"), trd.alias("t"),
-                        F.transform(st["s"], lambda x, j: F.when(j == k, sea).otherwise(x)).alias("s"),
+                        F.concat(F.slice(st["s"], 2, m - 1), F.array(sea)).alias("s"),
                         (st["sse"] + err * err).alias("sse"), (st["i"] + 1).alias("i"))
 
     return F.aggregate(y, init, step)
@@ -164,7 +168,7 @@ def _hw_from_arrays(arr: DataFrame, keys: Sequence[str], horizon: int, month: st
     steps = F.sequence(F.lit(1), F.lit(horizon))
     fut = best.select(*_keys(keys), "_b", F.explode(steps).alias("_h"))
     st = F.col("_b.st")
-    idx = (F.col("_b.n") + F.col("_h") - 1) % F.lit(season)
+    idx = (F.col("_h") - 1) % F.lit(season)  # queue head = first forecast month
     yhat = st["l"] + F.col("_h").cast("double") * st["t"] + F.element_at(st["s"], idx + 1)
     return fut.select(*_keys(keys),
                       F.add_months(F.col("_b.last"), F.col("_h")).alias(month),
