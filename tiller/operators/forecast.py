@@ -158,6 +158,12 @@ def _hw_from_arrays(arr: DataFrame, keys: Sequence[str], horizon: int, month: st
     grid = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g"))
                      for a in alphas for b in betas for g in gammas])
     cand = arr.select(*_keys(keys), "_last", "_y", F.explode(grid).alias("_w"))
+    # The series arrays are a few bytes per store, so adaptive execution
+    # packs them into very few partitions; the recursion that follows is CPU
+    # work per (series, weights) row, so the candidates are spread over the
+    # session's shuffle partitions first (an explicit count is not coalesced).
+    parts = int(arr.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cand = cand.repartition(parts, *_keys(keys), F.col("_w"))
     cand = cand.select(*_keys(keys), "_last", "_y", "_w",
                        _hw_state(F.col("_y"), F.col("_w.a"), F.col("_w.b"), F.col("_w.g"),
                                  season).alias("_st"))
