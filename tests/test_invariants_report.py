@@ -99,6 +99,10 @@ def test_report_job_end_to_end(spark, scratch):
           for r in spark.read.json(os.path.join(out, "catalogue_summary")).collect()}
     assert cs == {"categories": cat, "product_category": pc}
     assert spark.read.json(os.path.join(out, "top_products")).count() == 30
+    for r in spark.read.json(os.path.join(out, "top_products")).collect():
+        assert round(r["pct"], 2) == r["pct"]
+    for r in spark.read.json(os.path.join(out, "retention")).collect():
+        assert round(r["retention_rate"], 4) == r["retention_rate"]
     doc = spark.read.json(os.path.join(out, "document")).collect()
     assert len(doc) == 1 and len(doc[0]["top_products"]) == 30
     assert doc[0]["summary"][0]["transactions"] == len(tx)

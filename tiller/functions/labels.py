@@ -42,6 +42,11 @@ RULES_TOP_K = 100
 QUANTILE_ACCURACY = 10000
 FORECAST_HORIZON = 6
 SEASON_LENGTH = 12
+# Report rounding: decimals for shares, means and deviations; rule
+# measures and retention rates keep four.
+REPORT_DECIMALS = 2
+REPORT_DECIMALS_FINE = 4
+FINE_COLUMNS = ("confidence", "lift", "support", "retention_rate")
 # Concentration cut-offs (top-N products) of the written report.
 CONCENTRATION_CUTS = [5, 10, 30]
 # Head / tail sizes of the category report.

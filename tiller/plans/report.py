@@ -13,7 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiller.functions.columns import basket_size, is_missing
-from tiller.functions.labels import SUMMARY_SCOPE
+from tiller.functions.labels import (
+    FINE_COLUMNS,
+    REPORT_DECIMALS,
+    REPORT_DECIMALS_FINE,
+    SUMMARY_SCOPE,
+)
 from tiller.operators import (
     baskets,
     catalogue,
@@ -37,6 +42,24 @@ DOCUMENT_SECTIONS = ("schema", "nulls", "quality", "summary", "basket_statistics
                      "category_distribution", "category_relations")
 
 
+def report_rounded(df: DataFrame) -> DataFrame:
+    """Round floating columns for presentation (S5-S7 only; operators return
+    unrounded values): rule measures and retention rates to four decimals,
+    every other floating column (shares, means, deviations, forecasts) to
+    two.  Pivoted retention columns count as retention rates."""
+    from pyspark.sql import types as T
+
+    cols = []
+    fine_all = "cohort_month" in df.columns and "retention_rate" not in df.columns
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            digits = REPORT_DECIMALS_FINE if (f.name in FINE_COLUMNS or fine_all) else REPORT_DECIMALS
+            c = F.round(c, digits).alias(f.name)
+        cols.append(c)
+    return df.select(*cols)
+
+
 def transaction_summary(tx: DataFrame, items: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """A27 (global): one row - scope, stores, transactions, customers, date_start,
     date_end, avg_basket_size, exact_duplicates, nulls, unique_products
@@ -160,14 +183,15 @@ def run_report(spark: SparkSession, transactions_dir: str | None, out_dir: str,
         cat = read_categories(spark, categories_path)
         pc = read_product_category(spark, product_category_path)
         paths = {"categories": categories_path, "product_category": product_category_path}
-        sec = catalogue_sections(pc, cat, paths)
+        sec = {k: report_rounded(v) for k, v in catalogue_sections(pc, cat, paths).items()}
         written += write_sections(sec, out_dir, fmt)
         small.update({k: v for k, v in sec.items() if k in DOCUMENT_SECTIONS})
     if transactions_dir:
         tx = read_transactions(spark, transactions_dir).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             files = source_files(spark, transactions_dir)
-            sec = transaction_sections(tx, files=files)
+            sec = {k: (report_rounded(v) if v is not None else None)
+                   for k, v in transaction_sections(tx, files=files).items()}
             written += write_sections(sec, out_dir, fmt)
             small.update({k: v for k, v in sec.items() if k in DOCUMENT_SECTIONS and v is not None})
             if small:
