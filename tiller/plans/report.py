@@ -179,13 +179,20 @@ def run_report(spark: SparkSession, transactions_dir: str | None, out_dir: str,
 
     written: list[str] = []
     small: dict[str, DataFrame] = {}
+    root = out_dir.rstrip("/")
+
+    def small_view(name: str, df: DataFrame) -> DataFrame:
+        # Parquet and JSON sections are read back from what was just written,
+        # so the document does not recompute them (FP-growth would mine again).
+        return spark.read.format(fmt).load(f"{root}/{name}") if fmt in ("parquet", "json") else df
+
     if categories_path and product_category_path:
         cat = read_categories(spark, categories_path)
         pc = read_product_category(spark, product_category_path)
         paths = {"categories": categories_path, "product_category": product_category_path}
         sec = {k: report_rounded(v) for k, v in catalogue_sections(pc, cat, paths).items()}
         written += write_sections(sec, out_dir, fmt)
-        small.update({k: v for k, v in sec.items() if k in DOCUMENT_SECTIONS})
+        small.update({k: small_view(k, v) for k, v in sec.items() if k in DOCUMENT_SECTIONS})
     if transactions_dir:
         tx = read_transactions(spark, transactions_dir).persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -193,14 +200,15 @@ def run_report(spark: SparkSession, transactions_dir: str | None, out_dir: str,
             sec = {k: (report_rounded(v) if v is not None else None)
                    for k, v in transaction_sections(tx, files=files).items()}
             written += write_sections(sec, out_dir, fmt)
-            small.update({k: v for k, v in sec.items() if k in DOCUMENT_SECTIONS and v is not None})
+            small.update({k: small_view(k, v) for k, v in sec.items()
+                          if k in DOCUMENT_SECTIONS and v is not None})
             if small:
-                write_document(small, f"{out_dir.rstrip('/')}/document")
+                write_document(small, f"{root}/document")
                 written.append("document")
         finally:
             tx.unpersist()
     if small and "document" not in written:
-        write_document(small, f"{out_dir.rstrip('/')}/document")
+        write_document(small, f"{root}/document")
         written.append("document")
     return written
 
