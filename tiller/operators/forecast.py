@@ -18,6 +18,10 @@ parallel; nothing is collected to the driver.
                           alpha, beta, gamma);
 * ``forecast``          - Holt-Winters for series with at least two full
                           seasons, seasonal-naive otherwise.
+
+Each series is gap-filled and gathered once into an ordered array
+(``series_arrays``: one value per month, so bounded by the calendar, not by
+the transactions); both methods and the length gate read those arrays.
 """
 
 from __future__ import annotations
