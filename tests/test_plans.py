@@ -35,3 +35,11 @@ def test_scans_read_only_needed_columns(spark, name):
     # no scan of orders or lineitem reads every column
     for s in schemas:
         assert "o_totalprice" not in s and "l_extendedprice" not in s, s
+
+
+def test_audit_shape(spark):
+    from tiller.plans import audit
+
+    s = audit.shape(register.SPARK["retention"](spark, SF001))
+    assert s["scans"] == 1 and s["max_scan_cols"] == 2
+    assert s["hash_shuffles"] >= 2 and not s["python"]
