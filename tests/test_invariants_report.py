@@ -89,7 +89,10 @@ def test_report_job_end_to_end(spark, scratch):
                 "catalogue_schema", "catalogue_nulls", "schema", "nulls", "quality", "document",
                 "basket_statistics", "top_products", "monthly", "weekday", "stores",
                 "purchase_frequency", "days_between_purchases", "cohort_sizes", "retention",
-                "retention_matrix", "forecast_global", "forecast_stores", "association_rules"}
+                "retention_matrix", "forecast_global", "forecast_stores", "association_rules",
+                "head_tail_categories", "units_sold", "concentration", "monthly_growth",
+                "weekend_share", "store_gaps", "top_customer", "customer_segments",
+                "new_customer_share", "segment_rate"}
     assert set(written) == expected
     summary = spark.read.json(os.path.join(out, "summary")).collect()[0]
     assert summary["transactions"] == len(tx)

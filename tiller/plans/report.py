@@ -35,11 +35,13 @@ from tiller.sources.sinks import write_document, write_sections
 # Sections small enough for the one-file JSON document (bounded by the
 # calendar, a top-k or the category list).
 DOCUMENT_SECTIONS = ("schema", "nulls", "quality", "summary", "basket_statistics",
-                     "top_products", "monthly", "weekday", "stores", "purchase_frequency",
-                     "days_between_purchases", "cohort_sizes", "retention",
+                     "units_sold", "top_products", "concentration", "monthly", "monthly_growth",
+                     "weekday", "weekend_share", "stores", "store_gaps", "top_customer",
+                     "purchase_frequency", "customer_segments", "new_customer_share",
+                     "segment_rate", "days_between_purchases", "cohort_sizes", "retention",
                      "forecast_global", "forecast_stores", "association_rules",
                      "catalogue_schema", "catalogue_nulls", "catalogue_summary",
-                     "category_distribution", "category_relations")
+                     "category_distribution", "head_tail_categories", "category_relations")
 
 
 def report_rounded(df: DataFrame) -> DataFrame:
@@ -125,6 +127,7 @@ def catalogue_sections(pc: DataFrame, cat: DataFrame,
         "catalogue_nulls": nulls,
         "catalogue_summary": summary,
         "category_distribution": catalogue.category_distribution(pc, cat),
+        "head_tail_categories": catalogue.head_tail_categories(pc, cat),
         "category_relations": catalogue.category_relations(pc),
     }
 
@@ -144,11 +147,20 @@ def transaction_sections(tx: DataFrame, items: DataFrame | None = None,
         "quality": profile.quality_scorecard(tx),
         "summary": transaction_summary(tx, items, files),
         "basket_statistics": baskets.basket_statistics(tx),
+        "units_sold": baskets.units_sold(items),
         "top_products": baskets.top_products(items),
+        "concentration": baskets.concentration(items),
         "monthly": temporal.monthly_distribution(tx),
+        "monthly_growth": temporal.monthly_growth(tx),
         "weekday": temporal.weekday_distribution(tx),
+        "weekend_share": temporal.weekend_share(tx),
         "stores": temporal.store_distribution(tx),
+        "store_gaps": temporal.store_gaps(tx),
+        "top_customer": customers.top_customer(tx),
         "purchase_frequency": customers.purchase_frequency(tx),
+        "customer_segments": customers.customer_segments(tx),
+        "new_customer_share": customers.new_customer_share(tx),
+        "segment_rate": customers.segment_rate(tx),
         "days_between_purchases": customers.inter_purchase_days(tx),
         "cohort_sizes": cohorts.cohort_sizes(tx),
         "retention": cohorts.retention(tx),
