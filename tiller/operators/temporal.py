@@ -47,21 +47,21 @@ def total_series(series: DataFrame, month: str = "month",
 def monthly_growth(tx: DataFrame, date: str = "date") -> DataFrame:
     """Month-over-month growth and growth since the first month.
 
-    (month, transactions, prev_transactions, growth_pct, growth_from_first_pct)
+    (month, transactions, growth_pct, growth_from_first_pct); growth_pct is
+    NULL for the first month.
     """
     s = monthly_series(tx, date)
     w = Window.orderBy("month")
     first = F.first("transactions").over(w.rowsBetween(Window.unboundedPreceding,
                                                        Window.unboundedFollowing))
     prev = F.lag("transactions").over(w)
-    return (s.withColumn("prev_transactions", prev)
+    return (s.withColumn("_prev", prev)
             .withColumn("_first", first)
             .withColumn("growth_pct",
-                        share_pct(F.col("transactions") - F.col("prev_transactions"),
-                                  F.col("prev_transactions")))
+                        share_pct(F.col("transactions") - F.col("_prev"), F.col("_prev")))
             .withColumn("growth_from_first_pct",
                         share_pct(F.col("transactions") - F.col("_first"), F.col("_first")))
-            .drop("_first"))
+            .drop("_prev", "_first"))
 
 
 def _weekdays(tx: DataFrame, date: str) -> DataFrame:

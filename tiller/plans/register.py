@@ -444,7 +444,7 @@ def q_monthly_series_by_store(spark, d):
 
 
 @query("monthly_growth", with_(TXL, _MONTHLY) + f"""
-SELECT month, transactions, lag(transactions) OVER (ORDER BY month) AS prev_transactions,
+SELECT month, transactions,
        {r(pct('transactions - lag(transactions) OVER (ORDER BY month)', 'lag(transactions) OVER (ORDER BY month)'))}
          AS growth_pct,
        {r(pct('transactions - first_value(transactions) OVER (ORDER BY month)', 'first_value(transactions) OVER (ORDER BY month)'))}
@@ -750,10 +750,10 @@ def q_forecast_holt_winters_store(spark, d):
 def q_forecast_auto(spark, d):
     tx = fx.transactions_light(spark, d)
     by_store = temporal.monthly_series(tx, by=("store_id",))
-    g = forecast.forecast(temporal.total_series(by_store)).withColumn(
-        "store_id", F.lit(None).cast("bigint"))
-    s = forecast.forecast(by_store, ("store_id",))
-    return g.unionByName(s).select("store_id", "month", "yhat", "method")
+    g = forecast.forecast(temporal.total_series(by_store)).withColumn("series", F.lit("global"))
+    s = forecast.forecast(by_store, ("store_id",)).withColumn(
+        "series", F.col("store_id").cast("string"))
+    return g.unionByName(s.drop("store_id")).select("series", "month", "yhat", "method")
 
 
 # ---------------------------------------------------------------------------
@@ -832,13 +832,13 @@ def _auto_sql() -> str:
                    "(SELECT store_id FROM sf GROUP BY store_id HAVING count(*) < 24)) shs")
     short_global = "(SELECT * FROM gf WHERE (SELECT count(*) FROM gf) < 24) shg"
     parts = [
-        ("CAST(NULL AS BIGINT)", "WITH RECURSIVE " + _hw_sql("gf", [])[2:]),
-        ("CAST(NULL AS BIGINT)", "WITH " + _naive_sql(short_global, [])[2:]),
-        ("store_id", "WITH RECURSIVE " + _hw_sql("sf", ["store_id"])[2:]),
-        ("store_id", "WITH " + _naive_sql(short_store, ["store_id"])[2:]),
+        ("'global'", "WITH RECURSIVE " + _hw_sql("gf", [])[2:]),
+        ("'global'", "WITH " + _naive_sql(short_global, [])[2:]),
+        ("CAST(store_id AS VARCHAR)", "WITH RECURSIVE " + _hw_sql("sf", ["store_id"])[2:]),
+        ("CAST(store_id AS VARCHAR)", "WITH " + _naive_sql(short_store, ["store_id"])[2:]),
     ]
     body = "\nUNION ALL\n".join(
-        f"SELECT {key} AS store_id, month, yhat, method FROM ({sub}) p{i}"
+        f"SELECT {key} AS series, month, yhat, method FROM ({sub}) p{i}"
         for i, (key, sub) in enumerate(parts))
     return with_(TXL, _MONTHLY, _GLOBAL_FILLED, _STORE_SERIES, _FILLED) + body
 
