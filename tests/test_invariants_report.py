@@ -87,6 +87,7 @@ def test_report_job_end_to_end(spark, scratch):
     written = run_report(spark, tdir, out, cat, pc, fmt="json")
     expected = {"catalogue_summary", "category_distribution", "category_relations", "summary",
                 "catalogue_schema", "catalogue_nulls", "schema", "nulls", "quality", "document",
+                "product_keys",
                 "basket_statistics", "top_products", "monthly", "weekday", "stores",
                 "purchase_frequency", "days_between_purchases", "cohort_sizes", "retention",
                 "retention_matrix", "forecast_global", "forecast_stores", "association_rules",
@@ -101,6 +102,9 @@ def test_report_job_end_to_end(spark, scratch):
     cs = {r["table_name"]: r["source_file"]
           for r in spark.read.json(os.path.join(out, "catalogue_summary")).collect()}
     assert cs == {"categories": cat, "product_category": pc}
+    pk = spark.read.json(os.path.join(out, "product_keys")).collect()[0]
+    assert (pk["total_rows"], pk["unique_keys"], pk["repeated_keys"], pk["unique_categories"]) == (
+        200, 200, 0, 25)
     assert spark.read.json(os.path.join(out, "top_products")).count() == 30
     for r in spark.read.json(os.path.join(out, "top_products")).collect():
         assert round(r["pct"], 2) == r["pct"]

@@ -40,7 +40,7 @@ DOCUMENT_SECTIONS = ("schema", "nulls", "quality", "summary", "basket_statistics
                      "purchase_frequency", "customer_segments", "new_customer_share",
                      "segment_rate", "days_between_purchases", "cohort_sizes", "retention",
                      "forecast_global", "forecast_stores", "association_rules",
-                     "catalogue_schema", "catalogue_nulls", "catalogue_summary",
+                     "catalogue_schema", "catalogue_nulls", "catalogue_summary", "product_keys",
                      "category_distribution", "head_tail_categories", "category_relations")
 
 
@@ -126,6 +126,9 @@ def catalogue_sections(pc: DataFrame, cat: DataFrame,
         "catalogue_schema": schema,
         "catalogue_nulls": nulls,
         "catalogue_summary": summary,
+        "product_keys": combine_rows([
+            profile.repeated_keys(pc, "code_pr"),
+            profile.distinct_count(pc, "code", "unique_categories")]),
         "category_distribution": catalogue.category_distribution(pc, cat),
         "head_tail_categories": catalogue.head_tail_categories(pc, cat),
         "category_relations": catalogue.category_relations(pc),
