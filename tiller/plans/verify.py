@@ -116,3 +116,34 @@ def compare(name: str, spark, sf_dir: str, con=None, spark_df=None) -> Result:
         diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
         res.problems.append(f"values differ, first: {diff}")
     return res
+
+
+def main(argv: list[str] | None = None) -> int:
+    """``python -m tiller.plans.verify SF_DIR [query ...]``: compare every (or
+    the named) registered query with its SQL twin; exit status 1 on any
+    mismatch."""
+    import sys
+    import time
+
+    from tiller.plans import register
+    from tiller.session import local_session
+
+    args = sys.argv[1:] if argv is None else argv
+    sf_dir = args[0] if args else "/root/testdata/sf0.01"
+    names = args[1:] or sorted(register.SPARK)
+    spark = local_session()
+    con = duckdb_connection(sf_dir)
+    bad = 0
+    for name in names:
+        t0 = time.perf_counter()
+        res = compare(name, spark, sf_dir, con)
+        bad += not res.ok
+        status = "ok " if res.ok else "BAD"
+        print(f"{status} {name:32s} {time.perf_counter() - t0:6.2f}s "
+              f"rows={res.spark_rows}/{res.sql_rows} {'; '.join(res.problems)}", flush=True)
+    print(f"{len(names) - bad}/{len(names)} queries match their SQL twins")
+    return 1 if bad else 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())
