@@ -100,3 +100,27 @@ def test_hot_product_and_category(spark, skewed):
                profile.orphan_summary(pc, cat, "code"), catalogue.category_relations(pc)):
         most = _max_task_shuffle_read(spark, _noop(df))
         assert most < HOT // 2, most
+
+
+def test_hot_duplicate_row(spark):
+    """A single row repeated for a third of the table (exact duplicates)."""
+    from tiller.operators import baskets, profile
+    from tiller.plans.report import transaction_summary
+
+    rnd = random.Random(6)
+    start = dt.date(2023, 1, 1)
+    rows = [(start, 1, 1, "1 2 3") if i < HOT else
+            (start + dt.timedelta(days=rnd.randint(0, 400)), 2, rnd.randint(2, 5000),
+             " ".join(str(rnd.randint(1, 50)) for _ in range(rnd.randint(1, 6))))
+            for i in range(N)]
+    tx = spark.createDataFrame(rows, "date date, store_id bigint, customer_id bigint, products string")
+    tx = tx.repartition(8).cache()
+    tx.count()
+    items = baskets.basket_items(tx)
+    for df in (profile.exact_duplicates(tx), profile.quality_scorecard(tx),
+               transaction_summary(tx, items), baskets.basket_statistics(tx),
+               profile.duplicates_on(tx, ["date", "customer_id"])):
+        most = _max_task_shuffle_read(spark, _noop(df))
+        assert most < HOT // 2, most
+    r = profile.exact_duplicates(tx).collect()[0]
+    assert r["duplicates"] >= HOT - 1
