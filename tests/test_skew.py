@@ -18,6 +18,17 @@ HOT = N // 3
 # HOT // 2 separates the two cases.
 
 
+@pytest.fixture(scope="module", autouse=True)
+def no_coalescing(spark):
+    """Keep AQE from merging small reduce partitions, so per-task reads show
+    where a key's rows go rather than how small partitions were packed."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, old)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     rnd = random.Random(9)
@@ -27,13 +38,7 @@ def skewed(spark):
         cust = 1 if i < HOT else rnd.randint(2, 3000)
         rows.append((start + dt.timedelta(days=rnd.randint(0, 540)), 1, cust, "1 2"))
     df = spark.createDataFrame(rows, "date date, store_id bigint, customer_id bigint, products string")
-    # Keep AQE from merging small reduce partitions, so per-task reads show
-    # where a key's rows go rather than how partitions were packed.
-    key = "spark.sql.adaptive.coalescePartitions.enabled"
-    old = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    yield df.repartition(8).cache()
-    spark.conf.set(key, old)
+    return df.repartition(8).cache()
 
 
 _PROBES = iter(range(10**6))
