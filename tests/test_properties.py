@@ -90,3 +90,30 @@ def test_basket_statistics_match_lists(spark, data):
                             abs_tol=1e-12)
     counts = pd.Series(s).value_counts()
     assert stats["mode_size"] == min(counts[counts == counts.max()].index)
+
+
+def _naive_pandas(months, values, horizon=6):
+    """Seasonal-naive forecast with pandas: month-start calendar, gaps as 0,
+    mean per calendar month, else the overall mean."""
+    s = pd.Series(values, index=pd.DatetimeIndex(months)).sort_index()
+    s = s.reindex(pd.date_range(s.index.min(), s.index.max(), freq="MS"), fill_value=0.0)
+    by_month = s.groupby(s.index.month).mean()
+    future = pd.date_range(s.index.max() + pd.DateOffset(months=1), periods=horizon, freq="MS")
+    return [(d.date(), float(by_month.get(d.month, s.mean()))) for d in future]
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 500)), min_size=1, max_size=30,
+                unique_by=lambda t: t[0]))
+def test_seasonal_naive_matches_pandas(spark, points):
+    from tiller.operators import forecast
+
+    base = dt.date(2020, 1, 1)
+    months = [dt.date(base.year + (base.month - 1 + k) // 12, (base.month - 1 + k) % 12 + 1, 1)
+              for k, _ in points]
+    series = spark.createDataFrame([(m, v) for m, (_, v) in zip(months, points)],
+                                   "month date, transactions bigint")
+    got = sorted((r["month"], r["yhat"]) for r in forecast.seasonal_naive(series).collect())
+    expected = _naive_pandas([pd.Timestamp(m) for m in months], [float(v) for _, v in points])
+    assert [g[0] for g in got] == [e[0] for e in expected]
+    assert all(math.isclose(g[1], e[1], rel_tol=1e-12, abs_tol=1e-9) for g, e in zip(got, expected))
