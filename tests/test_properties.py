@@ -117,3 +117,25 @@ def test_seasonal_naive_matches_pandas(spark, points):
     expected = _naive_pandas([pd.Timestamp(m) for m in months], [float(v) for _, v in points])
     assert [g[0] for g in got] == [e[0] for e in expected]
     assert all(math.isclose(g[1], e[1], rel_tol=1e-12, abs_tol=1e-9) for g, e in zip(got, expected))
+
+
+@settings(**SETTINGS)
+@given(st.lists(row, min_size=1, max_size=80))
+def test_customer_frequency_matches_pandas(spark, data):
+    from tiller.functions.labels import CUSTOMER_SEGMENTS
+
+    pdf = pd.DataFrame(data, columns=["date", "store_id", "customer_id", "products"])
+    per = pdf.dropna(subset=["customer_id"]).groupby("customer_id").size()
+    tx = _frame(spark, data)
+    freq = {r["num_purchases"]: r["num_customers"] for r in customers.purchase_frequency(tx, 20).collect()}
+    expected = per.value_counts().sort_index()
+    assert freq == {int(k): int(v) for k, v in expected.items() if k in sorted(expected.index)[:20]}
+    seg = {r["segment"]: r["customers"] for r in customers.customer_segments(tx).collect()}
+    exp_seg = {}
+    for n in per:
+        for lab, lo, hi, _ in CUSTOMER_SEGMENTS:
+            if n >= lo and (hi is None or n <= hi):
+                exp_seg[lab] = exp_seg.get(lab, 0) + 1
+    assert seg == exp_seg
+    new = customers.new_customer_share(tx).collect()[0]
+    assert (new["customers"], new["new_customers"]) == (len(per), int((per == 1).sum()))
