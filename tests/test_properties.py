@@ -139,3 +139,32 @@ def test_customer_frequency_matches_pandas(spark, data):
     assert seg == exp_seg
     new = customers.new_customer_share(tx).collect()[0]
     assert (new["customers"], new["new_customers"]) == (len(per), int((per == 1).sum()))
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.integers(1, 30), st.one_of(st.none(), st.integers(0, 8))),
+                min_size=1, max_size=80))
+def test_catalogue_matches_pandas(spark, pairs):
+    from tiller.operators import catalogue
+
+    pc = spark.createDataFrame(pairs, "code_pr int, code int")
+    cat = spark.createDataFrame([(c, f"n{c}") for c in range(0, 6)] + [(2, "a-dup")],
+                                "id int, category_name string")
+    pdf = pd.DataFrame(pairs, columns=["code_pr", "code"])
+    counts = pdf["code"].value_counts(dropna=False)
+    got = {r["code"]: (r["category_name"], r["num_products"])
+           for r in catalogue.category_distribution(pc, cat).collect()}
+    names = {c: f"n{c}" for c in range(6)}
+    names[2] = min("n2", "a-dup")
+    exp = {(None if pd.isna(k) else int(k)): (names.get(None if pd.isna(k) else int(k), "Desconocida"),
+                                              int(v)) for k, v in counts.items()}
+    assert got == exp
+    distinct = pdf.drop_duplicates()
+    per_product = distinct.groupby("code_pr", dropna=False)["code"].count()
+    m = catalogue.multi_category_products(pc).collect()[0]
+    assert (m["unique_products"], m["multi_category_products"]) == (
+        len(per_product), int((per_product > 1).sum()))
+    a = catalogue.relation_averages(pc).collect()[0]
+    assert math.isclose(a["avg_categories_per_product"], per_product.mean())
+    per_cat = distinct.groupby("code", dropna=False)["code_pr"].count()
+    assert math.isclose(a["avg_products_per_category"], per_cat.mean())
