@@ -49,6 +49,7 @@ CASES = {
     "pareto_products": lambda e: baskets.pareto_products(e(ITEMS)),
     "concentration": lambda e: baskets.concentration(e(ITEMS)),
     "token_counts": lambda e: baskets.token_counts(e("doc_id bigint, text string")),
+    "date_range": lambda e: temporal.date_range(e(TX)),
     "monthly_distribution": lambda e: temporal.monthly_distribution(e(TX)),
     "monthly_series": lambda e: temporal.monthly_series(e(TX), by=("store_id",)),
     "monthly_growth": lambda e: temporal.monthly_growth(e(TX)),
@@ -84,7 +85,7 @@ ONE_ROW = {"null_counts", "exact_duplicates", "duplicates_on", "distinct_count",
            "basket_outliers", "units_sold", "weekend_share", "new_customer_share",
            "inter_purchase_days", "multi_category_products", "relation_averages",
            "transaction_summary", "schema_profile", "catalogue_summary", "quality_scorecard",
-           "category_relations", "basket_quantiles", "basket_quantiles_approx"}
+           "category_relations", "basket_quantiles", "basket_quantiles_approx", "date_range"}
 
 
 @pytest.mark.parametrize("name", sorted(CASES))

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from tiller.functions.columns import month_start, share_pct, weekday_label, with_share_of_total
 
 
+def date_range(tx: DataFrame, date: str = "date") -> DataFrame:
+    """(min_date, max_date) - one partial aggregate, no shuffle of rows."""
+    return tx.agg(F.min(date).alias("min_date"), F.max(date).alias("max_date"))
+
+
 def monthly_distribution(tx: DataFrame, date: str = "date") -> DataFrame:
     """(year, month, transactions, pct) ordered by year, month."""
     d = F.col(date)

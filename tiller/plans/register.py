@@ -361,8 +361,7 @@ def q_basket_outliers(spark, d):
 
 @query("date_range", with_(TXL) + "SELECT min(date) AS min_date, max(date) AS max_date FROM txl")
 def q_date_range(spark, d):
-    tx = fx.transactions_light(spark, d)
-    return tx.agg(F.min("date").alias("min_date"), F.max("date").alias("max_date"))
+    return temporal.date_range(fx.transactions_light(spark, d))
 
 
 @query("units_sold", with_(TX) + """,
