@@ -63,6 +63,8 @@ def test_top_products_pareto_concentration(spark):
     assert [(r["rank"], r["item"], r["units"]) for r in top] == [
         (i + 1, k, v) for i, (k, v) in enumerate(ordered[:3])]
     assert math.isclose(top[0]["pct"], ordered[0][1] * 100 / total)
+    top_cum = np.cumsum([v for _, v in ordered[:3]])
+    assert all(math.isclose(r["cum_pct"], c * 100 / total) for r, c in zip(top, top_cum))
     par = baskets.pareto_products(df).orderBy("rank").collect()
     cum = np.cumsum([v for _, v in ordered])
     assert [r["item"] for r in par] == [k for k, _ in ordered]

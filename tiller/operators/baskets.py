@@ -206,17 +206,22 @@ def _with_total(top: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def top_products(items: DataFrame, k: int = TOP_PRODUCTS_K, item: str = "item") -> DataFrame:
-    """The ``k`` best-selling items with their share of all units.
+    """The ``k`` best-selling items with their share of all units and
+    the cumulative share down the list.
 
-    (rank, item, units, pct); ties by item ascending.  The limit is the
-    feature (a top-k report) and runs as a TakeOrderedAndProject.
+    (rank, item, units, pct, cum_pct); ties by item ascending.  The limit is
+    the feature (a top-k report) and runs as a TakeOrderedAndProject; the
+    rank and running sum are windows over those k rows only.
     """
     counts = item_counts(items, item)
     top = counts.orderBy(F.desc("units"), F.asc("item")).limit(k)
     top = _with_total(top, counts)
-    ranked = top.withColumn("rank", F.row_number().over(
-        Window.orderBy(F.desc("units"), F.asc("item"))))
-    return ranked.select("rank", "item", "units", share_pct("units", "_total").alias("pct"))
+    w = Window.orderBy(F.desc("units"), F.asc("item"))
+    ranked = (top.withColumn("rank", F.row_number().over(w))
+              .withColumn("_cum", F.sum("units").over(
+                  w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    return ranked.select("rank", "item", "units", share_pct("units", "_total").alias("pct"),
+                         share_pct("_cum", "_total").alias("cum_pct"))
 
 
 def pareto_products(items: DataFrame, item: str = "item") -> DataFrame:

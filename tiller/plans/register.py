@@ -377,8 +377,11 @@ _ITEM_COUNTS = """ic AS (SELECT item, count(*) AS units FROM items GROUP BY item
 
 @query("top_products", with_(ITEMS, _ITEM_COUNTS) + f"""
 SELECT * FROM (
-  SELECT CAST(row_number() OVER (ORDER BY units DESC, item) AS INTEGER) AS rank, item, units,
-         {r(pct('units', 'sum(units) OVER ()'))} AS pct FROM ic) t
+  SELECT CAST(row_number() OVER w AS INTEGER) AS rank, item, units,
+         {r(pct('units', 'sum(units) OVER ()'))} AS pct,
+         {r(pct('sum(units) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 'sum(units) OVER ()'))}
+           AS cum_pct
+  FROM ic WINDOW w AS (ORDER BY units DESC, item)) t
 WHERE rank <= 30""")
 def q_top_products(spark, d):
     return baskets.top_products(fx.basket_lines(spark, d), 30)
