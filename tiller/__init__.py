@@ -1,7 +1,9 @@
 """tiller: retail analytics as Spark DataFrame operators.
 
 Every operator takes DataFrames and returns a DataFrame; no operator runs an
-action except where noted (FP-growth fitting).  Sub-packages:
+action except where noted: FP-growth fitting and its basket count
+(``operators.rules``) and the checkpoint of the distributed running total
+(``operators.baskets.running_total``).  Sub-packages:
 
 * ``sources``   - readers for the pipe-separated inputs, the star-schema
                   stand-ins used by tests and benchmarks, and sinks;
