@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, as ``--py-files`` would; once an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp()) / f"corpus_operators_{uuid.uuid4().hex[:8]}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for name in [package.parent / "__init__.py", *package.glob("*.py")]:
+                z.write(name, name.relative_to(package.parent.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

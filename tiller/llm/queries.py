@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiller.llm import op1_token_counts, op10_token_files
-from tiller.llm.common import table
+from tiller.llm import op1_token_counts, op5_mixing, op6_line_dedup, op10_token_files
+from tiller.llm.common import ship, table
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -22,6 +23,27 @@ def op1_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op5_mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; its one source is its membership."""
+    words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))
+    taken, targets = op5_mixing.mix(table(spark, sf_dir, "documents"), "doc_id",
+                                    F.coalesce(words, F.lit(0)), F.array("source"))
+    source = F.col("pattern")[0]
+    sizes = taken.groupBy(source.alias("source")).agg(F.sum("size").alias("source_size"))
+    goals = spark.createDataFrame(list(targets.items()), "source string, target double")
+    per_source = sizes.join(goals, sizes.source.eqNullSafe(goals.source)).select(
+        sizes.source, "source_size", "target")
+    return (taken.withColumn("of", source)
+            .join(per_source, F.col("of").eqNullSafe(F.col("source")))
+            .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+def op6_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document before and after, and the digest of what stays."""
+    kept = op6_line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and checksum in the token files, read back."""
     path = op10_token_files.new_path(spark)
@@ -30,9 +52,21 @@ def op10_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_token_files.document_index(spark, path)
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]):
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts_query,
+    "op5_mixing": op5_mixing_query,
+    "op6_line_dedup": op6_line_dedup_query,
     "op10_token_files": op10_token_files_query,
 }
+SPARK = {name: _shipped(query) for name, query in SPARK.items()}
 
 SQL: dict[str, str] = {}
