@@ -9,7 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiller.llm import op1_token_counts, op5_mixing, op6_line_dedup, op10_token_files
+from tiller.llm import (
+    op1_token_counts,
+    op3_quality_rules,
+    op5_mixing,
+    op6_line_dedup,
+    op10_token_files,
+)
 from tiller.llm.common import ship, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -23,6 +29,13 @@ def op1_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op3_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and whether the rules keep it."""
+    judged = op3_quality_rules.judge(table(spark, sf_dir, "documents"),
+                                     table(spark, sf_dir, "labels"))
+    return judged.drop("stratum")
+
+
 def op5_mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document; its one source is its membership."""
     words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))
@@ -63,6 +76,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]):
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts_query,
+    "op3_quality_rules": op3_quality_rules_query,
     "op5_mixing": op5_mixing_query,
     "op6_line_dedup": op6_line_dedup_query,
     "op10_token_files": op10_token_files_query,
