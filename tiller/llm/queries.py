@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tiller.llm import (
     op1_token_counts,
     op3_quality_rules,
+    op4_secret_scan,
     op5_mixing,
     op6_line_dedup,
+    op7_decontamination,
     op10_token_files,
 )
 from tiller.llm.common import ship, table
@@ -36,6 +38,26 @@ def op3_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("stratum")
 
 
+def op4_secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts and digest of the fixed kinds, and all spans."""
+    found = op4_secret_scan.scan(table(spark, sf_dir, "documents"))
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*op4_secret_scan.BASE))
+
+    def count(kind):
+        own = F.filter("spans", lambda s: s["kind"] == kind)
+        return F.size(own).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in op4_secret_scan.BASE]
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"),
+                        written(F.col("spans")).alias("spans"),
+                        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"))
+
+
 def op5_mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document; its one source is its membership."""
     words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))
@@ -57,6 +79,15 @@ def op6_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a benchmark item shares."""
+    marked = op7_decontamination.contamination(table(spark, sf_dir, "documents"),
+                                               table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                         op7_decontamination.contaminated().alias("contaminated"))
+
+
 def op10_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and checksum in the token files, read back."""
     path = op10_token_files.new_path(spark)
@@ -77,8 +108,10 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]):
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts_query,
     "op3_quality_rules": op3_quality_rules_query,
+    "op4_secret_scan": op4_secret_scan_query,
     "op5_mixing": op5_mixing_query,
     "op6_line_dedup": op6_line_dedup_query,
+    "op7_decontamination": op7_decontamination_query,
     "op10_token_files": op10_token_files_query,
 }
 SPARK = {name: _shipped(query) for name, query in SPARK.items()}
