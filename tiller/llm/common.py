@@ -66,6 +66,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that may be broadcast: some tens of MB at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table, broadcast if it is counted and small; shuffled beyond that."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def lower_az(col):
     """A-Z in lower case, every other character as it is."""
     ascii_only = F.octet_length(col) == F.char_length(col)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tiller.llm import (
     op1_token_counts,
+    op2_near_dedup,
     op3_quality_rules,
     op4_secret_scan,
     op5_mixing,
@@ -31,6 +32,11 @@ def op1_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share most of their 4-word shingles."""
+    return op2_near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op3_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document and whether the rules keep it."""
     judged = op3_quality_rules.judge(table(spark, sf_dir, "documents"),
@@ -107,6 +113,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]):
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts_query,
+    "op2_near_dedup": op2_near_dedup_query,
     "op3_quality_rules": op3_quality_rules_query,
     "op4_secret_scan": op4_secret_scan_query,
     "op5_mixing": op5_mixing_query,
