@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiller.llm.common import lower_az, staged, text_or_empty
+from tiller.llm.common import lower_az, sized, staged, text_or_empty
 
 WINDOW = 13
 GRAM = 6
@@ -54,12 +54,15 @@ def _prints(words: DataFrame, short: list[int], keep: list[str]) -> DataFrame:
 def _windows(words: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
     """(keep, width, at, hash) of all windows of the given widths."""
     arrays = words.select(*keep, *(grams(F.col("words"), k).alias(f"of_{k}") for k in lengths))
-    parts = [arrays.select(*keep, F.lit(k).alias("width"), F.posexplode(f"of_{k}").alias("at", "hash"))
+    # an inner explode would put a filter on the array's size below the step that
+    # makes its words, which would then be split again for every window
+    parts = [arrays.select(*keep, F.lit(k).alias("width"),
+                           F.posexplode_outer(f"of_{k}").alias("at", "hash"))
              for k in lengths]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return out.where("hash is not null")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
@@ -86,14 +89,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     prints = staged(_prints(words, short, ["id", "key"]), "document-prints")
 
     whole = item_words.where(F.size("words") >= WINDOW)
-    item_prints = _prints(whole, [], []).select(F.explode("prints").alias("print"))
+    item_prints = _prints(whole, [], []).select(F.explode_outer("prints").alias("print"))
     for k in short:
         item_prints = item_prints.unionByName(item_words.where(F.size("words") == k).select(
-            F.explode(grams(F.col("words"), k)).alias("print")))
+            F.explode_outer(grams(F.col("words"), k)).alias("print")))
     suspects = (prints.select("key", F.explode("prints").alias("print"))
-                .join(item_prints.distinct(), "print", "left_semi").select("key").distinct())
+                .join(sized(staged(item_prints.distinct(), "item-prints")), "print", "left_semi")
+                .select("key").distinct())
 
-    suspect_words = (rows.select("key", "text").join(suspects, "key", "left_semi")
+    suspects = staged(suspects, "suspects")
+    suspect_words = (rows.select("key", "text").join(sized(suspects), "key", "left_semi")
                      .dropDuplicates(["key"]).select("key", words_of(F.col("text")).alias("words")))
     lengths = [*short, WINDOW]
     item_windows = _windows(whole, ["item"], [WINDOW])
@@ -103,7 +108,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     item_windows = item_windows.groupBy("width", "hash").agg(
         F.collect_set("item").alias("items"))
     hits = staged(_windows(suspect_words, ["key"], lengths)
-                  .join(item_windows, ["width", "hash"]).select("key", "at", "width", "items"),
+                  .join(sized(staged(item_windows, "item-windows")), ["width", "hash"]).select("key", "at", "width", "items"),
                   "window-hits")
     spans = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(
         "at", (F.col("at") + F.col("width")).alias("stop")))).alias("spans"))
