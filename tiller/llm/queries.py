@@ -17,6 +17,7 @@ from tiller.llm import (
     op5_mixing,
     op6_line_dedup,
     op7_decontamination,
+    op8_quality_classifier,
     op10_token_files,
 )
 from tiller.llm.common import ship, table
@@ -94,6 +95,21 @@ def op7_decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                          op7_decontamination.contaminated().alias("contaminated"))
 
 
+def held_out(doc_id):
+    """Rows whose labels are never learnt."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
+def op8_quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels not held out."""
+    scored = op8_quality_classifier.score_quality(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+        ~held_out(F.col("id")))
+    cutoff = op8_quality_classifier.CUTOFF
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= cutoff).cast("int").alias("predicted"))
+
+
 def op10_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and checksum in the token files, read back."""
     path = op10_token_files.new_path(spark)
@@ -119,6 +135,7 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing_query,
     "op6_line_dedup": op6_line_dedup_query,
     "op7_decontamination": op7_decontamination_query,
+    "op8_quality_classifier": op8_quality_classifier_query,
     "op10_token_files": op10_token_files_query,
 }
 SPARK = {name: _shipped(query) for name, query in SPARK.items()}
