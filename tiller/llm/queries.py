@@ -18,6 +18,7 @@ from tiller.llm import (
     op6_line_dedup,
     op7_decontamination,
     op8_quality_classifier,
+    op9_substring_dedup,
     op10_token_files,
 )
 from tiller.llm.common import ship, table
@@ -110,6 +111,11 @@ def op8_quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= cutoff).cast("int").alias("predicted"))
 
 
+def op9_substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without 400-byte strings that occur elsewhere."""
+    return op9_substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and checksum in the token files, read back."""
     path = op10_token_files.new_path(spark)
@@ -136,6 +142,7 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup_query,
     "op7_decontamination": op7_decontamination_query,
     "op8_quality_classifier": op8_quality_classifier_query,
+    "op9_substring_dedup": op9_substring_dedup_query,
     "op10_token_files": op10_token_files_query,
 }
 SPARK = {name: _shipped(query) for name, query in SPARK.items()}
