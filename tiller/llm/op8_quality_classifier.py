@@ -10,7 +10,7 @@ letters, capitals, digits, each sign), and both have vectors.
 A document is the mean and spread of its vectors and the likeness of neighbours.
 A two-layer network is fitted on a bounded, seeded sample of labelled documents,
 its temperature on a part of them that the fit leaves out, and every document is
-scored where its features lie.
+scored where it is read.
 """
 
 from __future__ import annotations
@@ -229,41 +229,52 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.exp(-np.logaddexp(0, -x))
 
 
-def _scored(model):
+def _scored(shared, model):
     def emit(batches):
+        vectors = shared.value
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("features").to_pylist()), "<f4")
-            scores = model.scores(x.reshape(-1, N_FEATURES).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores)],
-                                             ["id", "score"])
+            raw = [t.encode() for t in batch.column("text").to_pylist()]
+            scores = [model.scores(document_features(raw[a:b], vectors).astype(np.float64))
+                      for a, b in slices(raw)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(np.concatenate(scores) if scores else [], pa.float64())],
+                ["row", "score"])
 
     return emit
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc_id",
-                  text_col: str = "text", label_col: str = "quality",
-                  train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``(id, score)`` of every row of ``docs``: the calibrated probability of label 1.
+def add_scores(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc_id",
+               text_col: str = "text", label_col: str = "quality", score_col: str = "score",
+               train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``docs`` with ``score_col``: the calibrated probability of label 1.
 
     ``trains`` tells, from the column ``id``, the documents whose labels may be
     learnt; at most ``train_rows`` of them are, in the order of a seeded hash.
     Labels other than 0 and 1 are ignored; of several for one document the
     smallest holds.  Without labels of both kinds every score is their share of
     ones, 0.5 if there are none.  NULL and empty texts have a score like any;
-    repeated rows each give a row.  Only the text is an input of a score.
+    repeated rows each give a row.  Only the text is an input of a score.  All
+    columns stay; one that is named as ``score_col`` is replaced.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text"))
     vectors = spark.sparkContext.broadcast(word_vectors(rows))
-    kind = rows.schema["id"].dataType.simpleString()
-    features = staged(rows.mapInArrow(_features(vectors), f"id {kind}, features binary"),
-                      "quality-features")
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(
         F.col("label").isin(0, 1) & trains).groupBy("id").agg(F.min("label").alias("label"))
-    sample = (features.join(known, "id").orderBy(F.xxhash64(F.lit(SEED), "id"), "id", "features")
-              .limit(train_rows).select("features", "label").collect())
+    # at most train_rows rows
+    chosen = staged(known.join(rows.select("id").distinct(), "id", "left_semi")
+                    .orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(train_rows), "train-labels")
+    kind = rows.schema["id"].dataType.simpleString()
+    sample = (rows.join(F.broadcast(chosen.select("id")), "id", "left_semi")
+              .mapInArrow(_features(vectors), f"id {kind}, features binary")
+              .join(F.broadcast(chosen), "id").groupBy("id")
+              .agg(F.min("features").alias("features"), F.first("label").alias("label"))
+              .orderBy("id").collect())
     x = np.frombuffer(b"".join(bytes(r["features"]) for r in sample), "<f4")
     x, y = x.reshape(-1, N_FEATURES).astype(np.float64), np.asarray([r["label"] for r in sample], float)
     model = Network(x, y) if len(set(y)) == 2 else Constant(y)
-    return features.mapInArrow(_scored(model), f"id {kind}, score double").withColumnRenamed(
-        "id", id_col)
+    names = [c for c in docs.columns if c != score_col]
+    packed = docs.select(F.struct(*names).alias("row"), text_or_empty(F.col(text_col)).alias("text"))
+    kind = packed.schema["row"].dataType.simpleString()
+    scored = packed.mapInArrow(_scored(vectors, model), f"row {kind}, score double")
+    return scored.select("row.*", F.col("score").alias(score_col))

@@ -66,11 +66,15 @@ def op4_secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"))
 
 
+def word_count(text):
+    """Words of a text; none for NULL."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+
+
 def op5_mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document; its one source is its membership."""
-    words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))
     taken, targets = op5_mixing.mix(table(spark, sf_dir, "documents"), "doc_id",
-                                    F.coalesce(words, F.lit(0)), F.array("source"))
+                                    word_count(F.col("text")), F.array("source"))
     source = F.col("pattern")[0]
     sizes = taken.groupBy(source.alias("source")).agg(F.sum("size").alias("source_size"))
     goals = spark.createDataFrame(list(targets.items()), "source string, target double")
@@ -103,7 +107,7 @@ def held_out(doc_id):
 
 def op8_quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from the labels not held out."""
-    scored = op8_quality_classifier.score_quality(
+    scored = op8_quality_classifier.add_scores(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
         ~held_out(F.col("id")))
     cutoff = op8_quality_classifier.CUTOFF
