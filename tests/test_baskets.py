@@ -73,18 +73,20 @@ def test_top_products_pareto_concentration(spark):
     assert conc == {2: int(cum[1]), 5: int(cum[4]), 50: int(cum[-1])}
 
 
-def test_running_total_many_partitions(spark):
+def test_pareto_many_ties_and_strings(spark):
     rnd = random.Random(11)
-    data = [(k, rnd.randint(1, 20)) for k in range(3000)]
-    df = spark.createDataFrame(data, "item long, units long")
-    from pyspark.sql import functions as F
-
-    out = baskets.running_total(df, order=[F.desc("units"), F.asc("item")], value="units",
-                                out="cum", rank_out="rank", num_partitions=7)
-    got = sorted((r["rank"], r["item"], r["cum"]) for r in out.collect())
-    ordered = sorted(data, key=lambda kv: (-kv[1], kv[0]))
-    cum = np.cumsum([u for _, u in ordered])
-    assert got == [(i + 1, k, int(c)) for i, ((k, _), c) in enumerate(zip(ordered, cum))]
+    for kind, name in (("long", lambda k: k), ("string", lambda k: f"p{k:05d}")):
+        data = [(i, name(rnd.randint(0, 300))) for i in range(2000)]
+        counts = {}
+        for _, k in data:
+            counts[k] = counts.get(k, 0) + 1
+        df = spark.createDataFrame(data, f"tx_id long, item {kind}")
+        out = baskets.pareto_products(df).orderBy("rank").collect()
+        ordered = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))
+        assert [(r["rank"], r["item"], r["units"]) for r in out] == [
+            (i + 1, k, u) for i, (k, u) in enumerate(ordered)]
+        cum = np.cumsum([u for _, u in ordered]) * 100 / len(data)
+        assert all(math.isclose(r["cum_pct"], c) for r, c in zip(out, cum))
 
 
 def test_units_sold_and_items(spark):

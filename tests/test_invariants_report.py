@@ -2,11 +2,13 @@
 0 is 1, cohort sizes add up to the customers, ...) and an end-to-end run of
 the report job over pipe-separated files."""
 
+import json
 import math
 import os
 
 import pytest
 from conftest import SF01
+from pyspark.sql import functions as F
 
 from tiller.operators import baskets, catalogue, cohorts, customers, forecast, rules, temporal
 from tiller.plans.report import run_report
@@ -15,7 +17,7 @@ from tiller.sources import fixtures as fx
 
 @pytest.fixture(scope="module")
 def tx(spark):
-    return fx.transactions_light(spark, SF01).cache()
+    return fx.store_purchases(spark, SF01).cache()
 
 
 def test_shares_sum_to_100(spark, tx):
@@ -71,7 +73,12 @@ def test_report_job_end_to_end(spark, scratch):
     """Pipe files derived from the sf0.001 tables -> every report section."""
     tdir = os.path.join(scratch, "Transactions")
     os.makedirs(tdir)
-    tx = fx.transactions(spark, "/root/testdata/sf0.001").collect()
+    baskets_ = (fx.table(spark, "/root/testdata/sf0.001", "lineitem").groupBy("l_orderkey")
+                .agg(F.concat_ws(" ", F.collect_list("l_partkey")).alias("products")))
+    orders = fx.table(spark, "/root/testdata/sf0.001", "orders")
+    tx = (orders.join(baskets_, orders.o_orderkey == baskets_.l_orderkey, "left")
+          .select(F.to_date("o_orderdate").alias("date"), (F.col("o_custkey") % 25).alias("store_id"),
+                  F.col("o_custkey").alias("customer_id"), "products").collect())
     by_store = {}
     for r in tx:
         line = "|".join("" if v is None else str(v) for v in (r["date"], r["store_id"],
@@ -93,12 +100,13 @@ def test_report_job_end_to_end(spark, scratch):
                 "retention_matrix", "forecast_global", "forecast_stores", "association_rules",
                 "head_tail_categories", "units_sold", "concentration", "monthly_growth",
                 "weekend_share", "store_gaps", "top_customer", "customer_segments",
-                "new_customer_share", "segment_rate"}
+                "new_customer_share", "segment_rate", "source_files", "forecast_settings"}
     assert set(written) == expected
     summary = spark.read.json(os.path.join(out, "summary")).collect()[0]
     assert summary["transactions"] == len(tx)
     assert summary["num_files"] == len(by_store)
-    assert summary["source_files"].split(", ") == sorted(f"{s}_Tran.csv" for s in by_store)
+    files = spark.read.json(os.path.join(out, "source_files")).collect()
+    assert sorted(r["file_name"] for r in files) == sorted(f"{s}_Tran.csv" for s in by_store)
     cs = {r["table_name"]: r["source_file"]
           for r in spark.read.json(os.path.join(out, "catalogue_summary")).collect()}
     assert cs == {"categories": cat, "product_category": pc}
@@ -110,10 +118,29 @@ def test_report_job_end_to_end(spark, scratch):
         assert round(r["pct"], 2) == r["pct"]
     for r in spark.read.json(os.path.join(out, "retention")).collect():
         assert round(r["retention_rate"], 4) == r["retention_rate"]
-    doc = spark.read.json(os.path.join(out, "document")).collect()
-    assert len(doc) == 1 and len(doc[0]["top_products"]) == 30
-    assert doc[0]["summary"][0]["transactions"] == len(tx)
-    assert {r["column_name"] for r in doc[0]["nulls"]} == {"date", "store_id", "customer_id", "products"}
+    doc = {}
+    for r in spark.read.text(os.path.join(out, "document")).collect():
+        doc.setdefault(r["section"], []).append(json.loads(r["value"]))
+    doc = {k: [json.loads(x["json"]) for x in v] for k, v in doc.items()}
+    assert len(doc["top_products"]) == 30
+    assert doc["summary"][0]["transactions"] == len(tx)
+    assert doc["forecast_settings"] == [{"horizon_months": 6}]
+    assert {r["column_name"] for r in doc["nulls"]} == {"date", "store_id", "customer_id", "products"}
+
+
+def test_transactions_are_held_while_sections_run(spark, scratch, monkeypatch):
+    """The report's sections read the persisted table; it is released after."""
+    from tiller.plans import report
+
+    tdir = os.path.join(scratch, "Transactions")
+    os.makedirs(tdir)
+    _write(os.path.join(tdir, "7_Tran.csv"), ["2013-01-01|7|1|1 2", "2013-02-01|7|1|2 3"])
+    plans = []
+    original = report.write_sections
+    monkeypatch.setattr(report, "write_sections", lambda sec, *a: (plans.append(
+        sec["monthly"]._jdf.queryExecution().executedPlan().toString()), original(sec, *a))[1])
+    run_report(spark, tdir, os.path.join(scratch, "out"))
+    assert "InMemoryTableScan" in plans[0]
 
 
 def test_report_command_line(spark, scratch, capsys):

@@ -9,8 +9,6 @@ from conftest import SF001
 
 from tiller.plans import register
 
-# Queries allowed to run Arrow-batched pandas code inside tasks.
-PANDAS_OK = {"pareto_products"}
 
 
 def _plan(df) -> str:
@@ -23,8 +21,33 @@ def test_plan_shape(spark, name):
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan  # row-at-a-time Python UDF
-    if name not in PANDAS_OK:
-        assert "ArrowEvalPython" not in plan and "MapInPandas" not in plan
+    assert "ArrowEvalPython" not in plan and "MapInPandas" not in plan
+
+
+ORDERS_ONLY = ["customer_date_duplicates", "monthly_distribution", "monthly_series",
+               "monthly_growth", "weekday_distribution", "weekday_ranking", "weekend_share",
+               "purchase_frequency", "customer_segments", "new_customer_share", "segment_rate",
+               "top_customer", "customer_gaps", "inter_purchase_days", "forecast_naive_global",
+               "schema_profile", "retention", "cohort_sizes"]
+
+
+@pytest.mark.parametrize("name", ORDERS_ONLY)
+def test_no_join_and_one_scan(spark, name):
+    plan = _plan(register.SPARK[name](spark, SF001))
+    assert "Join" not in plan and plan.count("FileScan") == 1
+
+
+def test_facts_are_scanned_once(spark):
+    plan = _plan(register.SPARK["referential_integrity"](spark, SF001))
+    assert plan.count("FileScan") == 2  # facts and dimension
+    plan = _plan(register.SPARK["forecast_auto"](spark, SF001))
+    assert plan.count("FileScan") == 2  # orders and customer
+
+
+@pytest.mark.parametrize("name", sorted(set(register.SPARK) - {"frequent_itemsets", "association_rules"}))
+def test_no_list_for_each_order(spark, name):
+    for line in _plan(register.SPARK[name](spark, SF001)).splitlines():
+        assert not ("l_orderkey" in line and "collect_list" in line), line
 
 
 @pytest.mark.parametrize("name", ["customer_gaps", "retention", "store_distribution",

@@ -130,3 +130,22 @@ def test_empty_series(spark):
     s = spark.createDataFrame([], "store_id long, month date, transactions long")
     assert forecast.forecast(s, ("store_id",)).count() == 0
     assert forecast.seasonal_naive(s, ("store_id",)).columns == ["store_id", "month", "yhat", "method"]
+
+
+def test_input_is_read_once(spark):
+    """Each mining query passes over its input once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    data = [(["a", "b"],), (["a", "b", "c"],), (["b"],), (["a", "c"],)] * 5
+    for mine in (rules.frequent_itemsets, rules.association_rules):
+        start = seen.value
+        df = spark.createDataFrame(data, "items array<string>").mapInPandas(
+            counted, "items array<string>")
+        assert mine(rules.clean_baskets(df), 0.1).count() > 0
+        assert seen.value - start == len(data)
+        rules.release()

@@ -77,14 +77,39 @@ def test_skewed_customer_aggregates_stay_spread(spark, skewed):
         assert most < HOT // 2, (op.__name__, most)
 
 
-def test_literal_window_form_concentrates_the_hot_customer(spark, skewed):
-    skewed.count()
-    most = _max_task_shuffle_read(spark, _noop(customers.customer_gaps_window(skewed)))
-    assert most >= HOT
-    # and both forms agree on the hot customer's mean gap
-    a = customers.customer_gaps(skewed).where("customer_id = 1").collect()[0]["mean_gap_days"]
-    b = customers.customer_gaps_window(skewed).where("customer_id = 1").collect()[0]["mean_gap_days"]
-    assert abs(a - b) < 1e-9
+def test_hot_customer_mean_gap(spark, skewed):
+    days = sorted(r["date"] for r in skewed.where("customer_id = 1").select("date").collect())
+    expected = sum((b - a).days for a, b in zip(days, days[1:])) / (len(days) - 1)
+    got = customers.customer_gaps(skewed).where("customer_id = 1").collect()[0]["mean_gap_days"]
+    assert abs(got - expected) < 1e-9
+
+
+def test_hot_order(spark):
+    """An order with a third of all lines never lands in one task."""
+    from tiller.operators import baskets
+
+    rnd = random.Random(8)
+    lines = spark.createDataFrame(
+        [(1 if i < HOT else rnd.randint(2, 4000), i) for i in range(N)],
+        "tx_id bigint, item bigint").repartition(8).cache()
+    lines.count()
+    for df in (baskets.basket_statistics_from_lines(lines),
+               baskets.basket_summary(lines, lines="tx_id"),
+               baskets.basket_quantiles_approx(lines, lines="tx_id")):
+        assert _max_task_shuffle_read(spark, _noop(df)) < HOT // 2
+    assert baskets.basket_summary(lines, lines="tx_id").collect()[0]["max_size"] == HOT
+
+
+def test_hot_tie(spark):
+    """Most products with the same number of units: the running sum stays spread."""
+    from tiller.operators import baskets
+
+    items = spark.createDataFrame([(i, i) for i in range(N)] + [(i, 5) for i in range(9)],
+                                  "tx_id bigint, item bigint").repartition(8).cache()
+    items.count()
+    assert _max_task_shuffle_read(spark, _noop(baskets.pareto_products(items))) < HOT
+    got = {r["rank"]: r["item"] for r in baskets.pareto_products(items).collect()}
+    assert [got[i] for i in (1, 2, 6, 7, N)] == [5, 0, 4, 6, N - 1] and len(got) == N
 
 
 def test_hot_product_and_category(spark, skewed):

@@ -4,7 +4,9 @@ file filter, empty input)."""
 import datetime as dt
 import os
 
+import pytest
 from conftest import rows
+from pyspark.errors import AnalysisException
 
 from tiller.operators import baskets, profile
 from tiller.sources import readers
@@ -56,9 +58,31 @@ def test_empty_directory_keeps_schema(spark, scratch):
     assert st["baskets"] == 0 and st["mean_size"] is None
 
 
-def test_missing_path_is_empty(spark, scratch):
-    tx = readers.read_transactions(spark, os.path.join(scratch, "does-not-exist"))
-    assert tx.count() == 0
+def test_missing_inputs_are_errors(spark, scratch):
+    with pytest.raises(AnalysisException):
+        readers.read_transactions(spark, os.path.join(scratch, "does-not-exist")).count()
+    with pytest.raises(AnalysisException):
+        readers.read_categories(spark, os.path.join(scratch, "no.csv")).count()
+    with pytest.raises(AnalysisException):
+        readers.source_files(spark, os.path.join(scratch, "does-not-exist")).count()
+
+
+def test_wrong_header_is_an_error(spark, scratch):
+    p = os.path.join(scratch, "Categories.csv")
+    _write(p, ["category_name|id", "FRUTAS|1"])
+    with pytest.raises(Exception, match="header"):
+        readers.read_categories(spark, p).collect()
+    q = os.path.join(scratch, "ProductCategory.csv")
+    _write(q, ["v.code|v.code_pr", "1|10"])
+    with pytest.raises(Exception, match="header"):
+        readers.read_product_category(spark, q).collect()
+
+
+def test_parse_lines(spark):
+    lines = spark.createDataFrame([("2013-01-01|1|2|4 5",), ("x||y|",), ("",)], "value string")
+    got = rows(readers.typed_transactions(readers.parse_lines(lines)))
+    assert (dt.date(2013, 1, 1), 1, 2, "4 5") in got and len(got) == 3
+    assert sum(r[0] is None and r[1] is None and r[2] is None for r in got) == 2
 
 
 def test_null_counts_on_hand_made_rows(spark, scratch):
@@ -110,24 +134,20 @@ def test_typed_projection_dates(spark):
 
 
 def test_round_trip_equals_fixture(spark, scratch):
-    """Fixture transactions -> one pipe file per store -> S2 reader: same rows."""
+    """Purchases -> one pipe file per store -> S2 reader: same rows."""
+    from pyspark.sql import functions as F
+
     from tiller.sources import fixtures as fx
 
-    original = fx.transactions(spark, "/root/testdata/sf0.001")
+    original = fx.store_purchases(spark, "/root/testdata/sf0.001").withColumn(
+        "products", F.concat_ws(" ", "customer_id", "store_id"))
+    by_store = {}
+    for r in original.collect():
+        by_store.setdefault(r["store_id"], []).append(
+            "|".join("" if v is None else str(v) for v in r))
     d = os.path.join(scratch, "Transactions")
-    (original.selectExpr("store_id", "concat_ws('|', cast(date as string), cast(store_id as string),"
-                         " cast(customer_id as string), coalesce(products, '')) AS line")
-     .repartition("store_id").write.partitionBy("store_id").text(os.path.join(scratch, "staged")))
     os.makedirs(d)
-    for sub in os.listdir(os.path.join(scratch, "staged")):
-        if not sub.startswith("store_id="):
-            continue
-        store = sub.split("=", 1)[1]
-        lines = []
-        for part in sorted(os.listdir(os.path.join(scratch, "staged", sub))):
-            if part.startswith("part-"):
-                with open(os.path.join(scratch, "staged", sub, part), encoding="utf-8") as f:
-                    lines += [ln.rstrip("\n") for ln in f if ln.strip()]
+    for store, lines in by_store.items():
         _write(os.path.join(d, f"{store}_Tran.csv"), lines)
     back = readers.read_transactions(spark, d)
     assert original.exceptAll(back).count() == 0 and back.exceptAll(original).count() == 0

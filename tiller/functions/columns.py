@@ -9,8 +9,6 @@ from pyspark.sql import types as T
 from tiller.functions.labels import UNKNOWN_WEEKDAY, WEEKDAY_LABELS
 
 _FLOATING = (T.FloatType, T.DoubleType)
-_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
-            T.DoubleType, T.DecimalType)
 
 
 def is_missing(field: T.StructField) -> Column:
@@ -28,10 +26,6 @@ def is_missing(field: T.StructField) -> Column:
     return c.isNull()
 
 
-def is_numeric(field: T.StructField) -> bool:
-    return isinstance(field.dataType, _NUMERIC)
-
-
 def basket_tokens(products: str | Column = "products") -> Column:
     """Raw tokens of a basket string: split on one space, empty tokens kept."""
     c = F.col(products) if isinstance(products, str) else products

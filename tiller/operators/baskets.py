@@ -13,11 +13,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tiller.functions.columns import basket_size, basket_tokens, share_pct
 from tiller.functions.labels import CONCENTRATION_CUTS, QUANTILE_ACCURACY, TOP_PRODUCTS_K
 
 QUARTILES = (0.25, 0.5, 0.75)
+# Ranges that spread products with the same number of units.
+RANGES = 64
 
 
 # --------------------------------------------------------------------------
@@ -48,6 +51,12 @@ def size_histogram_from_lines(lines: DataFrame, tx: str = "tx_id") -> DataFrame:
     return sizes.groupBy("basket_size").agg(F.count(F.lit(1)).alias("baskets"))
 
 
+def _histogram(frame: DataFrame, products: str, lines: str | None) -> DataFrame:
+    """The histogram of basket strings or, when ``lines`` names the transaction
+    column, of exploded baskets."""
+    return size_histogram_from_lines(frame, lines) if lines else size_histogram(frame, products)
+
+
 def _histogram_stats(hist: DataFrame, probs: Sequence[float],
                      fences: tuple[int, int] | None = None) -> DataFrame:
     """Moments, exact quantiles (smallest value whose cumulative count
@@ -131,16 +140,17 @@ def basket_statistics_from_lines(lines: DataFrame, tx: str = "tx_id") -> DataFra
     return _statistics_row(size_histogram_from_lines(lines, tx))
 
 
-def basket_summary(tx: DataFrame, products: str = "products") -> DataFrame:
+def basket_summary(tx: DataFrame, products: str = "products",
+                   lines: str | None = None) -> DataFrame:
     """A10: (baskets, mean_size, stddev_size, min_size, max_size)."""
-    st = _histogram_stats(size_histogram(tx, products), ())
+    st = _histogram_stats(_histogram(tx, products, lines), ())
     return st.select("baskets", "mean_size", "stddev_size", "min_size", "max_size")
 
 
 def basket_quantiles(tx: DataFrame, probs: Sequence[float] = QUARTILES,
-                     products: str = "products") -> DataFrame:
+                     products: str = "products", lines: str | None = None) -> DataFrame:
     """A11 (exact): one row (p, value) per probability."""
-    st = _histogram_stats(size_histogram(tx, products), probs)
+    st = _histogram_stats(_histogram(tx, products, lines), probs)
     rows = [F.struct(F.lit(float(p)).alias("p"), F.col(f"q{i}").alias("value"))
             for i, p in enumerate(probs)]
     return st.select(F.inline(F.array(*rows)))
@@ -148,26 +158,29 @@ def basket_quantiles(tx: DataFrame, probs: Sequence[float] = QUARTILES,
 
 def basket_quantiles_approx(tx: DataFrame, probs: Sequence[float] = QUARTILES,
                             accuracy: int = QUANTILE_ACCURACY,
-                            products: str = "products") -> DataFrame:
+                            products: str = "products", lines: str | None = None) -> DataFrame:
     """A11 as in the original analysis: ``percentile_approx`` sketch."""
-    q = F.percentile_approx(basket_size(products), [float(p) for p in probs], accuracy)
-    st = tx.agg(q.alias("_q"))
+    sizes = (tx.groupBy(lines).agg(F.count(F.lit(1)).cast("int").alias("basket_size")) if lines
+             else with_basket_size(tx, products))
+    q = F.percentile_approx(F.col("basket_size"), [float(p) for p in probs], accuracy)
+    st = sizes.agg(q.alias("_q"))
     rows = [F.struct(F.lit(float(p)).alias("p"), F.col("_q")[i].alias("value"))
             for i, p in enumerate(probs)]
     return st.select(F.inline(F.array(*rows)))
 
 
-def basket_mode(tx: DataFrame, products: str = "products") -> DataFrame:
+def basket_mode(tx: DataFrame, products: str = "products", lines: str | None = None) -> DataFrame:
     """Most frequent basket size (ties: smallest size) and its count."""
-    hist = size_histogram(tx, products)
+    hist = _histogram(tx, products, lines)
     m = hist.agg(F.min(F.struct((-F.col("baskets")).alias("neg"),
                                 F.col("basket_size").alias("v"))).alias("m"))
     return m.select(F.col("m.v").alias("mode_size"), (-F.col("m.neg")).alias("baskets"))
 
 
-def basket_outliers(tx: DataFrame, products: str = "products") -> DataFrame:
+def basket_outliers(tx: DataFrame, products: str = "products",
+                    lines: str | None = None) -> DataFrame:
     """A12 + P8: (p25, p75, iqr, lower_fence, upper_fence, outliers)."""
-    return basket_statistics(tx, products).select(
+    return _statistics_row(_histogram(tx, products, lines)).select(
         "p25", "p75", "iqr", "lower_fence", "upper_fence", "outliers")
 
 
@@ -227,17 +240,47 @@ def top_products(items: DataFrame, k: int = TOP_PRODUCTS_K, item: str = "item")
 def pareto_products(items: DataFrame, item: str = "item") -> DataFrame:
     """Every product with its rank, share and cumulative share.
 
-    (rank, item, units, pct, cum_pct).  The input is pre-aggregated to one
-    row per product; the running sum is a distributed prefix sum
-    (``running_total``) so no single task sorts the product universe.
+    (rank, item, units, pct, cum_pct).  One row per product after aggregation;
+    the running sum adds prefix sums of three levels, all in the JVM:
+
+    1. products with the same units - one row per distinct number, of which
+       there are at most about the square root of twice the lines;
+    2. within those, ranges of items between ``RANGES`` quantiles, so that a tie
+       of most products is spread;
+    3. within a range, a row number in item order.
+
+    Products of one group have equal units, so a sum is units times a rank.
     """
     counts = item_counts(items, item)
-    ranked = running_total(counts, order=[F.desc("units"), F.asc("item")],
-                           value="units", out="_cum", rank_out="rank")
-    return ranked.select(
-        "rank", "item", "units",
+    kind = counts.schema["item"].dataType
+    if isinstance(kind, T.NumericType):
+        # one row: the quantiles, read where they are needed
+        edges = counts.agg(F.percentile_approx(
+            "item", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("e")).scalar()
+        part = sum(((edges[i] < F.col("item")).cast("int") for i in range(RANGES - 1)), F.lit(0))
+    else:
+        part = F.substring(F.col("item").cast("string"), 1, 2)
+    parted = counts.withColumn("_part", F.when(F.col("item").isNotNull(), part))
+    by_part = parted.groupBy("units", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    by_units = by_part.groupBy("units").agg(F.sum("_n").alias("_n"))
+    w = Window.orderBy(F.desc("units"))
+    above = by_units.select(
+        "units", (F.sum("_n").over(w) - F.col("_n")).alias("_items_above"),
+        (F.sum(F.col("_n") * F.col("units")).over(w) - F.col("_n") * F.col("units")).alias("_sum_above"),
+        F.sum(F.col("_n") * F.col("units")).over(Window.partitionBy()).alias("_total"))
+    w = Window.partitionBy("units").orderBy("_part")
+    before = by_part.select("units", "_part", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
+    w = Window.partitionBy("units", "_part").orderBy("item")
+    rows = (parted.withColumn("_nth", F.row_number().over(w)).alias("r")
+            .join(before.alias("b"), (F.col("r.units") == F.col("b.units"))
+                  & F.col("r._part").eqNullSafe(F.col("b._part")))
+            .select("r.item", "r.units", (F.col("_before") + F.col("_nth")).alias("_in"))
+            .join(above, "units"))
+    return rows.select(
+        (F.col("_items_above") + F.col("_in")).cast("bigint").alias("rank"), "item", "units",
         share_pct("units", "_total").alias("pct"),
-        share_pct("_cum", "_total").alias("cum_pct"))
+        share_pct(F.col("_sum_above") + F.col("units") * F.col("_in"), F.col("_total"))
+        .alias("cum_pct"))
 
 
 def concentration(items: DataFrame, cuts: Sequence[int] = CONCENTRATION_CUTS,
@@ -263,72 +306,6 @@ def concentration(items: DataFrame, cuts: Sequence[int] = CONCENTRATION_CUTS,
                     share_pct("_cum", "_total").alias("pct")))
 
 
-# --------------------------------------------------------------------------
-# distributed running total
-# --------------------------------------------------------------------------
-
-def running_total(df: DataFrame, order, value: str, out: str,
-                  rank_out: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Running sum of ``value`` (and optionally a 1-based rank) in a global
-    order, without moving all rows into one task.
-
-    1. range-partition by the order and sort inside partitions (the only
-       shuffle of the data);
-    2. a partition-local running sum / row number, computed on Arrow
-       batches by ``mapInPandas`` - partitioning is preserved, so no
-       further exchange;
-    3. the tagged frame is checkpointed to the session's checkpoint folder,
-       so partition ids stay fixed even if a stage is recomputed;
-    4. per-partition totals (one row per partition) become offsets through
-       a window over those few rows and reach the data through a broadcast
-       join whose size is bounded by the partition count.
-    """
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    from tiller.session import ensure_checkpoint_dir
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    # Without an explicit count AQE may merge adjacent ranges; merged ranges
-    # are still contiguous, so partition ids keep the global order.
-    ranged = (df.repartitionByRange(num_partitions, *order) if num_partitions
-              else df.repartitionByRange(*order)).sortWithinPartitions(*order)
-    schema = T.StructType(ranged.schema.fields + [
-        T.StructField("_pid", T.IntegerType()),
-        T.StructField("_lsum", T.LongType()),
-        T.StructField("_lrank", T.LongType())])
-
-    def local(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        acc_sum, acc_cnt = 0, 0
-        for pdf in batches:
-            vals = pd.to_numeric(pdf[value], errors="coerce").fillna(0).astype("int64")
-            pdf["_pid"] = pid
-            pdf["_lsum"] = vals.cumsum() + acc_sum
-            pdf["_lrank"] = pd.RangeIndex(1, len(pdf) + 1).to_numpy() + acc_cnt
-            if len(pdf):
-                acc_sum = int(pdf["_lsum"].iloc[-1])
-                acc_cnt += len(pdf)
-            yield pdf
-
-    tagged = ranged.mapInPandas(local, schema).checkpoint(eager=True)
-    totals = tagged.groupBy("_pid").agg(F.max("_lsum").alias("_psum"),
-                                        F.max("_lrank").alias("_pcnt"))
-    wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (totals.withColumn("_osum", F.coalesce(F.sum("_psum").over(wo), F.lit(0)))
-               .withColumn("_ocnt", F.coalesce(F.sum("_pcnt").over(wo), F.lit(0)))
-               .withColumn("_total", F.sum("_psum").over(Window.partitionBy()))
-               .select("_pid", "_osum", "_ocnt", "_total"))
-    res = tagged.join(F.broadcast(offsets), "_pid")
-    res = res.withColumn(out, (F.col("_lsum") + F.col("_osum")).cast("bigint"))
-    if rank_out:
-        res = res.withColumn(rank_out, (F.col("_lrank") + F.col("_ocnt")).cast("bigint"))
-    return res.drop("_pid", "_lsum", "_lrank", "_osum", "_ocnt")
-
-
 # --------------------------------------------------------------------------
 # text tokens
 # --------------------------------------------------------------------------

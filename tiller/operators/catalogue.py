@@ -53,17 +53,22 @@ def head_tail_categories(pc: DataFrame, cat: DataFrame, head: int = HEAD_CATEGOR
     (part, position, code, category_name, num_products, pct); ties are broken
     by code ascending in both lists.
     """
-    dist = _distribution(pc, cat)
-    w_head = Window.orderBy(F.desc("num_products"), F.asc_nulls_last("code"))
-    w_tail = Window.orderBy(F.asc("num_products"), F.asc_nulls_last("code"))
-    ranked = (dist.withColumn("_h", F.row_number().over(w_head))
-              .withColumn("_t", F.row_number().over(w_tail)))
-    cols = ["code", "category_name", "num_products", "pct"]
-    heads = ranked.where(F.col("_h") <= head).select(
-        F.lit("head").alias("part"), F.col("_h").alias("position"), *cols)
-    tails = ranked.where(F.col("_t") <= tail).select(
-        F.lit("tail").alias("part"), F.col("_t").alias("position"), *cols)
-    return heads.unionByName(tails)
+    dist = pc.groupBy("code").agg(F.count(F.lit(1)).alias("num_products"))
+    total = dist.agg(F.sum("num_products")).scalar()
+
+    def part(name: str, size: int, order: list) -> DataFrame:
+        # a top-k first; the window numbers those rows only
+        top = dist.orderBy(*order).limit(size)
+        return top.select(F.lit(name).alias("part"),
+                          F.row_number().over(Window.orderBy(*order)).alias("position"),
+                          "code", "num_products",
+                          share_pct(F.col("num_products"), total).alias("pct"))
+
+    code = F.asc_nulls_last("code")
+    both = part("head", head, [F.desc("num_products"), code]).unionByName(
+        part("tail", tail, [F.asc("num_products"), code]))
+    return with_category_name(both, cat).select("part", "position", "code", "category_name",
+                                                "num_products", "pct")
 
 
 def _pairs(pc: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
 """Monthly cohorts and retention.
 
-Plan: one partially aggregated shuffle reduces the transactions to distinct
-(customer, month) pairs - at most one row per customer and month, whatever
-the customer's volume.  The cohort (first month) is a window minimum over
-those few rows per customer; activity counts, cohort sizes and retention are
-aggregates and windows over the (cohort, index) grid.  No self-join.
+Plan: one partially aggregated shuffle by customer gathers each customer's
+distinct months - at most one per month of the calendar, whatever the
+customer's volume.  The cohort is the earliest of them; activity counts, cohort
+sizes and retention are aggregates and windows over the (cohort, index) grid.
+No self-join.
 """
 
 from __future__ import annotations
@@ -15,19 +15,14 @@ from pyspark.sql import functions as F
 from tiller.functions.columns import month_start, months_apart
 
 
-def customer_months(tx: DataFrame, customer: str = "customer_id",
-                    date: str = "date") -> DataFrame:
-    """Distinct (customer_id, month) for rows with both keys."""
-    return (tx.where(F.col(customer).isNotNull() & F.col(date).isNotNull())
-            .select(F.col(customer).alias("customer_id"), month_start(date).alias("month"))
-            .distinct())
-
-
 def with_cohort(tx: DataFrame, customer: str = "customer_id", date: str = "date") -> DataFrame:
-    """(customer_id, month, cohort_month, cohort_index)."""
-    cm = customer_months(tx, customer, date)
-    first = F.min("month").over(Window.partitionBy("customer_id"))
-    return (cm.withColumn("cohort_month", first)
+    """(customer_id, month, cohort_month, cohort_index), one row per
+    customer and month, for rows with both keys (M10)."""
+    months = (tx.where(F.col(customer).isNotNull() & F.col(date).isNotNull())
+              .groupBy(F.col(customer).alias("customer_id"))
+              .agg(F.collect_set(month_start(date)).alias("_months")))
+    return (months.select("customer_id", F.explode("_months").alias("month"),
+                          F.array_min("_months").alias("cohort_month"))
             .withColumn("cohort_index", months_apart(F.col("month"), F.col("cohort_month"))))
 
 
@@ -67,10 +62,20 @@ def retention_matrix(tx: DataFrame, customer: str = "customer_id", date: str = "
                      indices: list[int] | None = None) -> DataFrame:
     """Cohort x index pivot of the retention rate (mean per cell).
 
-    Columns: cohort_month, then one column per cohort index named by the
-    index.  Pass ``indices`` to skip the distinct-values job of ``pivot``.
+    Columns: cohort_month, then one column per cohort index named by the index.
+    Without ``indices`` they run from 0 to the months between the first and the
+    last month of the data, which one min/max aggregate (a job) finds, so no cell
+    can be missing.  With ``indices``, a cell outside them is an error when the
+    plan runs.
     """
-    r = _retention(tx, customer, date)
-    g = r.groupBy("cohort_month")
-    p = g.pivot("cohort_index", indices) if indices is not None else g.pivot("cohort_index")
-    return p.agg(F.avg("retention_rate")).orderBy("cohort_month")
+    if indices is None:
+        ends = tx.where(F.col(customer).isNotNull() & F.col(date).isNotNull()).agg(
+            months_apart(month_start(F.max(date)), month_start(F.min(date))).alias("n")).first()
+        indices = list(range((-1 if ends["n"] is None else ends["n"]) + 1))
+    index = F.col("cohort_index")
+    inside = index.isin(indices) if indices else F.lit(False)
+    r = _retention(tx, customer, date).withColumn("cohort_index", F.when(inside, index).otherwise(
+        F.raise_error(F.concat(F.lit("cohort index not listed: "), index.cast("string"))).cast("int")))
+    return (r.groupBy("cohort_month").pivot("cohort_index", indices)
+            .agg(F.avg("retention_rate")).orderBy("cohort_month")) if indices else \
+        r.select("cohort_month").distinct()

@@ -65,7 +65,8 @@ def new_customer_share(tx: DataFrame, customer: str = "customer_id") -> DataFram
     per = purchases_per_customer(tx, customer)
     return per.agg(F.count(F.lit(1)).alias("customers"),
                    F.count_if(F.col("purchases") == 1).alias("new_customers")) \
-        .withColumn("new_customer_pct", share_pct("new_customers", "customers"))
+        .withColumn("new_customer_pct", F.coalesce(
+            share_pct("new_customers", "customers"), F.lit(0.0)))
 
 
 def segment_rate(tx: DataFrame, customer: str = "customer_id", date: str = "date") -> DataFrame:
@@ -74,23 +75,27 @@ def segment_rate(tx: DataFrame, customer: str = "customer_id", date: str = "date
     (segment_order, segment, customers, purchases, months,
     purchases_per_customer_month) where months = distinct months with data.
     """
-    per = purchases_per_customer(tx, customer)
-    order, label, _ = _segment(F.col("purchases"))
-    seg = (per.select(order.alias("segment_order"), label.alias("segment"), "purchases")
-           .groupBy("segment_order", "segment")
-           .agg(F.count(F.lit(1)).alias("customers"),
-                F.sum("purchases").cast("bigint").alias("purchases")))
-    months = (tx.where(F.col(date).isNotNull())
-              .agg(F.count_distinct(month_start(date)).alias("_months"))
-              .withColumn("_is_months", F.lit(True)))
-    u = (seg.withColumn("_is_months", F.lit(False))
-         .unionByName(months, allowMissingColumns=True)
-         .withColumn("months", F.max("_months").over(Window.partitionBy()))
-         .where(~F.col("_is_months")))
+    # one row per customer, with its months (bounded by the calendar); the rows
+    # without a customer only add their months
+    per = (tx.groupBy(F.col(customer).alias("_customer"))
+           .agg(F.count(F.lit(1)).alias("purchases"),
+                F.collect_set(month_start(date)).alias("_months")))
+    order, label, _ = _segment(F.when(F.col("_customer").isNotNull(), F.col("purchases")))
+    each = per.select(order.alias("segment_order"), label.alias("segment"), "purchases",
+                      F.posexplode_outer("_months").alias("_nth", "_month"))
+    first = F.coalesce(F.col("_nth"), F.lit(0)) == 0
+    seg = (each.groupBy("segment_order", "segment")
+           .agg(F.count_if(first).alias("customers"),
+                F.sum(F.when(first, F.col("purchases"))).cast("bigint").alias("purchases"),
+                F.collect_set("_month").alias("_months")))
+    # a handful of rows: the segments
+    months = F.array_distinct(F.flatten(F.collect_list("_months").over(Window.partitionBy())))
+    seg = (seg.withColumn("months", F.size(months).cast("bigint"))
+           .where(F.col("segment").isNotNull()))
     rate = F.try_divide(F.col("purchases").cast("double"),
                         F.col("customers").cast("double") * F.col("months").cast("double"))
-    return u.select("segment_order", "segment", "customers", "purchases", "months",
-                    rate.alias("purchases_per_customer_month")).orderBy("segment_order")
+    return seg.select("segment_order", "segment", "customers", "purchases", "months",
+                      rate.alias("purchases_per_customer_month")).orderBy("segment_order")
 
 
 def top_customer(tx: DataFrame, customer: str = "customer_id") -> DataFrame:
@@ -123,21 +128,6 @@ def customer_gaps(tx: DataFrame, customer: str = "customer_id", date: str = "dat
     return g.select("customer_id", "purchases", gap.alias("mean_gap_days"))
 
 
-def customer_gaps_window(tx: DataFrame, customer: str = "customer_id",
-                         date: str = "date") -> DataFrame:
-    """W1 literally: ``lag(date)`` over each customer's purchases.
-
-    Same result as ``customer_gaps``; kept as the reference formulation for
-    tests.  It sorts every customer's rows in one task - prefer
-    ``customer_gaps`` on real data.
-    """
-    w = Window.partitionBy(customer).orderBy(F.col(date).asc())
-    gaps = (tx.where(F.col(customer).isNotNull())
-            .withColumn("_gap", F.datediff(F.col(date), F.lag(date).over(w))))
-    return gaps.groupBy(F.col(customer).alias("customer_id")).agg(
-        F.count(F.lit(1)).alias("purchases"), F.avg("_gap").alias("mean_gap_days"))
-
-
 def inter_purchase_days(tx: DataFrame, customer: str = "customer_id",
                         date: str = "date") -> DataFrame:
     """Mean over customers of each customer's mean gap in days.

@@ -115,7 +115,8 @@ def seasonal_naive(series: DataFrame, keys: Sequence[str] = (), horizon: int = F
 
 
 def _mean_of(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x) / F.size(arr).cast("double")
+    return F.try_divide(F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x),
+                        F.size(arr).cast("double"))
 
 
 def _hw_state(y: Column, a: Column, b: Column, g: Column, m: int) -> Column:
@@ -207,12 +208,38 @@ def forecast(series: DataFrame, keys: Sequence[str] = (), horizon: int = FORECAS
     """ML6: Holt-Winters where a series has ``min_seasons`` full seasons
     after gap filling, the seasonal-naive mean elsewhere.
 
-    (keys..., month, yhat, method).  The series are filled and collected
-    once; the gate is a filter on the array length, so no join is needed.
+    (keys..., month, yhat, method).  One array per series feeds both methods:
+    a long series is expanded to the grid of weights, a short one to a single
+    row without weights, and one aggregate picks the best row of either.  An empty
+    series has no last month and gives no rows.
     """
     arr = series_arrays(series, keys, month, value)
-    need = min_seasons * season
-    hw = _hw_from_arrays(arr.where(F.size("_y") >= need), keys, horizon, month, season,
-                         ALPHAS, BETAS, GAMMAS).select(*keys, month, "yhat", "method")
-    nv = _naive_from_arrays(arr.where(F.size("_y") < need), keys, horizon, month)
-    return hw.unionByName(nv)
+    long_enough = F.size("_y") >= min_seasons * season
+    grid = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g"))
+                     for a in ALPHAS for b in BETAS for g in GAMMAS])
+    none = F.array(F.lit(None).cast("struct<a:double,b:double,g:double>"))
+    parts = int(arr.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cand = (arr.select(*_keys(keys), "_last", "_y",
+                       F.explode(F.when(long_enough, grid).otherwise(none)).alias("_w"))
+            .repartition(parts, *_keys(keys), F.col("_w")))
+    state = F.when(F.col("_w").isNotNull(), _hw_state(
+        F.col("_y"), F.col("_w.a"), F.col("_w.b"), F.col("_w.g"), season))
+    cand = cand.select(*_keys(keys), "_last", "_y", "_w", state.alias("_st"))
+    best = cand.groupBy(*_keys(keys)).agg(F.min(F.struct(
+        F.col("_st.sse").alias("sse"), F.col("_w.a").alias("a"), F.col("_w.b").alias("b"),
+        F.col("_w.g").alias("g"), F.col("_st").alias("st"), F.col("_last").alias("last"),
+        F.col("_y").alias("y"))).alias("_b")).where(F.col("_b.last").isNotNull())
+    fut = best.select(*_keys(keys), F.col("_b.st").alias("_st"), F.col("_b.y").alias("_y"),
+                      F.col("_b.last").alias("_last"),
+                      F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_h"))
+    st = F.col("_st")
+    fitted = st["l"] + F.col("_h").cast("double") * st["t"] + F.element_at(
+        st["s"], (F.col("_h") - 1) % F.lit(season) + 1)
+    # months are contiguous: the same calendar month lies whole years before
+    at = F.size("_y") + F.col("_h") - 1
+    same = F.filter("_y", lambda v, i: (at - i) % 12 == 0)
+    naive = F.when(F.size(same) > 0, _mean_of(same)).otherwise(_mean_of(F.col("_y")))
+    return fut.select(*_keys(keys), F.add_months(F.col("_last"), F.col("_h")).alias(month),
+                      F.when(st.isNotNull(), fitted).otherwise(naive).alias("yhat"),
+                      F.when(st.isNotNull(), F.lit(METHOD_HOLT_WINTERS))
+                      .otherwise(F.lit(METHOD_SEASONAL_NAIVE)).alias("method"))

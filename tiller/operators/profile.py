@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiller.functions.columns import is_missing, share_pct
-from tiller.operators._util import col, combine_rows, metric_rows
+from tiller.operators._util import col, metric_rows
 
 
 def schema_profile(df: DataFrame) -> DataFrame:
@@ -78,12 +78,6 @@ def distinct_counts(df: DataFrame, columns: Sequence[str],
                     .cast("bigint").alias(a) for c, a in zip(columns, aliases)])
 
 
-def approx_distinct_count(df: DataFrame, column: str, rsd: float = 0.01,
-                          alias: str | None = None) -> DataFrame:
-    """A5 for very large inputs: HyperLogLog++ estimate (NULL not counted)."""
-    return df.agg(F.approx_count_distinct(col(column), rsd).alias(alias or f"approx_distinct_{column}"))
-
-
 def repeated_keys(df: DataFrame, column: str) -> DataFrame:
     """(total_rows, unique_keys, repeated_keys) for one column."""
     g = df.groupBy(col(column)).agg(F.count(F.lit(1)).alias("_n"))
@@ -116,15 +110,16 @@ def orphan_summary(facts: DataFrame, dim: DataFrame, fact_key: str,
                    dim_key: str = "id") -> DataFrame:
     """Referential integrity: (total_rows, orphan_rows, orphan_keys, integrity_pct).
 
-    The facts are aggregated once per key; the total and the orphans both
-    read that aggregate.
+    The facts are aggregated once per key; one left join to the distinct keys of
+    the dimension and one conditional aggregate give all four.
     """
-    per_key = _rows_per_key(facts, fact_key)
-    total = per_key.agg(F.coalesce(F.sum("num_rows"), F.lit(0)).cast("bigint").alias("total_rows"))
-    orph = _orphans_of(per_key, dim, fact_key, dim_key).agg(
-        F.coalesce(F.sum("num_rows"), F.lit(0)).cast("bigint").alias("orphan_rows"),
-        F.count(F.lit(1)).alias("orphan_keys"))
-    out = combine_rows([total, orph])
+    keys = dim.select(col(dim_key).alias("_k")).distinct()
+    joined = _rows_per_key(facts, fact_key).join(keys, col(fact_key) == F.col("_k"), "left")
+    orphan = F.col("_k").isNull()
+    out = joined.agg(
+        F.coalesce(F.sum("num_rows"), F.lit(0)).cast("bigint").alias("total_rows"),
+        F.coalesce(F.sum(F.when(orphan, F.col("num_rows"))), F.lit(0)).cast("bigint").alias("orphan_rows"),
+        F.count_if(orphan).alias("orphan_keys"))
     return out.withColumn(
         "integrity_pct",
         F.coalesce(F.lit(100.0) - share_pct("orphan_rows", "total_rows"), F.lit(100.0)))

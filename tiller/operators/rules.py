@@ -2,13 +2,16 @@
 parallel FP-growth.
 
 Baskets are de-duplicated first (FP-growth rejects a basket that repeats an
-item) and blank tokens are removed.  Fitting is the one action run inside
-an operator.  Itemsets and rules are reported with their items sorted and
+item) and blank tokens are removed.  Fitting is an action run inside the
+operators: the cleaned baskets are held while they are counted and mined, so the
+input is read once, and released after; the itemsets stay held, for rules and
+later reads take them from there, until :func:`release`.  Itemsets and rules are reported with their items sorted and
 joined by ``,`` so the output does not depend on mining order.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,32 +43,53 @@ def fit(baskets: DataFrame, min_support: float = RULES_MIN_SUPPORT,
     return fp.fit(baskets)
 
 
+class Mined:
+    """A fitted model with its baskets' count and its itemsets, held."""
+
+    def __init__(self, baskets: DataFrame, min_support: float, min_confidence: float,
+                 num_partitions: int | None = None):
+        held = baskets.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self.n = held.count()
+            self.model = fit(held, min_support, min_confidence, num_partitions)
+            self.itemsets = self.model.freqItemsets.persist(StorageLevel.MEMORY_AND_DISK)
+            self.itemsets.count()
+        finally:
+            held.unpersist()
+        _MINED.append(self)
+
+
+_MINED: list[Mined] = []
+
+
+def release() -> None:
+    """Let go of the itemsets of all results so far."""
+    while _MINED:
+        _MINED.pop().itemsets.unpersist()
+
+
 def _joined(c):
     return F.array_join(F.sort_array(c), ITEM_SEP)
 
 
 def frequent_itemsets(baskets: DataFrame, min_support: float = RULES_MIN_SUPPORT,
-                      num_partitions: int | None = None,
-                      model: FPGrowthModel | None = None) -> DataFrame:
+                      num_partitions: int | None = None, mined: Mined | None = None) -> DataFrame:
     """ML1: (itemset, size, freq, support) for every frequent itemset."""
-    model = model or fit(baskets, min_support, RULES_MIN_CONFIDENCE, num_partitions)
-    # The support denominator is one number; fitting runs jobs anyway, so
-    # it is counted once and enters the plan as a literal.
-    n = baskets.count()
-    return model.freqItemsets.select(
+    mined = mined or Mined(baskets, min_support, RULES_MIN_CONFIDENCE, num_partitions)
+    return mined.itemsets.select(
         _joined(F.col("items")).alias("itemset"), F.size("items").alias("size"), F.col("freq"),
-        (F.col("freq").cast("double") / F.lit(float(n))).alias("support"))
+        (F.col("freq").cast("double") / F.lit(float(mined.n))).alias("support"))
 
 
 def association_rules(baskets: DataFrame, min_support: float = RULES_MIN_SUPPORT,
                       min_confidence: float = RULES_MIN_CONFIDENCE,
                       k: int | None = RULES_TOP_K, num_partitions: int | None = None,
-                      model: FPGrowthModel | None = None) -> DataFrame:
+                      mined: Mined | None = None) -> DataFrame:
     """ML2: (antecedent, consequent, confidence, lift, support), strongest
     lift first (ties: antecedent, consequent); the first ``k`` rules when
     ``k`` is given (a top-k report, as in the original analysis)."""
-    model = model or fit(baskets, min_support, min_confidence, num_partitions)
-    r = model.associationRules.select(
+    mined = mined or Mined(baskets, min_support, min_confidence, num_partitions)
+    r = mined.model.associationRules.select(
         _joined(F.col("antecedent")).alias("antecedent"),
         _joined(F.col("consequent")).alias("consequent"),
         "confidence", "lift", "support")

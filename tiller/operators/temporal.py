@@ -49,6 +49,15 @@ def total_series(series: DataFrame, month: str = "month",
     return series.groupBy(month).agg(F.sum(value).cast("bigint").alias(value))
 
 
+def series_with_total(series: DataFrame, key: str = "store_id", total: str = "global",
+                      month: str = "month", value: str = "transactions") -> DataFrame:
+    """(series, month, value): every key's series, named by the key, and their
+    total, in one pass over the aggregated rows."""
+    names = F.explode(F.array(F.lit(total), F.col(key).cast("string"))).alias("series")
+    return (series.select(names, month, value).groupBy("series", month)
+            .agg(F.sum(value).cast("bigint").alias(value)))
+
+
 def monthly_growth(tx: DataFrame, date: str = "date") -> DataFrame:
     """Month-over-month growth and growth since the first month.
 
@@ -94,7 +103,8 @@ def weekend_share(tx: DataFrame, date: str = "date") -> DataFrame:
     dow = F.dayofweek(F.col(date))
     return tx.agg(F.count(F.lit(1)).alias("transactions"),
                   F.count_if(dow.isin(1, 7)).alias("weekend_transactions")) \
-        .withColumn("weekend_pct", share_pct("weekend_transactions", "transactions"))
+        .withColumn("weekend_pct", F.coalesce(
+            share_pct("weekend_transactions", "transactions"), F.lit(0.0)))
 
 
 def _stores(tx: DataFrame, store: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tiller.functions import labels
 from tiller.functions.labels import CUSTOMER_SEGMENTS, WEEKDAY_LABELS
 from tiller.operators import (
     baskets,
@@ -27,8 +28,9 @@ from tiller.operators import (
     temporal,
 )
 from tiller.operators._util import combine_rows
-from tiller.plans.sql import CAT, ITEMS, PC, TX, TXL, pct, r, with_
+from tiller.plans.sql import CAT, ITEMS, KEYS, PC, TEXTS, TX, TXL, pct, r, with_
 from tiller.sources import fixtures as fx
+from tiller.sources import readers
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -73,7 +75,7 @@ TX_COLUMNS = [("date", "date", "date"), ("store_id", "bigint", "int"),
               ("customer_id", "bigint", "int"), ("products", "string", "string")]
 
 
-@query("schema_profile", with_(TX) + """
+@query("schema_profile", with_(TEXTS) + """
 SELECT CAST(t.ordinal AS INTEGER) AS ordinal, t.column_name, t.data_type,
        (SELECT count(*) FROM tx) AS num_rows
 FROM (SELECT row_number() OVER () AS ordinal, column_name,
@@ -82,7 +84,7 @@ FROM (SELECT row_number() OVER () AS ordinal, column_name,
                   WHEN 'DOUBLE' THEN 'double' ELSE lower(column_type) END AS data_type
       FROM (DESCRIBE SELECT * FROM tx)) t""")
 def q_schema_profile(spark, d):
-    return profile.schema_profile(fx.transactions(spark, d))
+    return profile.schema_profile(fx.texts(spark, d))
 
 
 @query("null_counts", with_(TX) + "\nUNION ALL\n".join(
@@ -101,14 +103,14 @@ SELECT CAST(sum(n) AS BIGINT) AS num_rows, count(*) AS distinct_rows,
 FROM (SELECT count(*) AS n FROM {src} GROUP BY {keys}) g"""
 
 
-@query("exact_duplicates", with_(TX) + _dups_sql("date, store_id, customer_id, products"))
+@query("exact_duplicates", with_(TEXTS) + _dups_sql("text, lang, source, n_chars"))
 def q_exact_duplicates(spark, d):
-    return profile.exact_duplicates(fx.transactions(spark, d))
+    return profile.exact_duplicates(fx.texts(spark, d))
 
 
 @query("customer_date_duplicates", with_(TXL) + _dups_sql("date, customer_id", "txl"))
 def q_customer_date_duplicates(spark, d):
-    return profile.duplicates_on(fx.transactions_light(spark, d), ["date", "customer_id"])
+    return profile.duplicates_on(fx.purchases(spark, d), ["date", "customer_id"])
 
 
 def _distinct_sql(col: str, src: str) -> str:
@@ -124,7 +126,7 @@ SELECT {_distinct_sql('code_pr', 'pc')} AS distinct_products,
        {_distinct_sql('item', 'items')} AS distinct_sold_items""")
 def q_distinct_counts(spark, d):
     pc = fx.product_category(spark, d)
-    tx = fx.transactions_light(spark, d)
+    tx = fx.store_purchases(spark, d)
     items = fx.basket_lines(spark, d)
     return combine_rows([
         profile.distinct_counts(pc, ["code_pr", "code"], ["distinct_products", "distinct_categories"]),
@@ -166,8 +168,9 @@ def q_catalogue_summary(spark, d):
 _TX_MISS = " + ".join(f"CAST({_missing_sql(c, k)} AS BIGINT)" for c, _, k in TX_COLUMNS)
 
 
-@query("quality_scorecard", with_(TX, PC, CAT) + f""",
-g AS (SELECT count(*) AS n, any_value({_TX_MISS}) AS m, any_value(date IS NULL) AS nd
+def _scorecard_sql(outside: str) -> str:
+    return with_(TX, KEYS) + f""",
+g AS (SELECT count(*) AS n, any_value({_TX_MISS}) AS m, any_value({outside}) AS nd
       FROM tx GROUP BY date, store_id, customer_id, products),
 e AS (SELECT sum(n) AS rows_, sum(n * m) AS nulls, sum(n - 1) AS dups,
              coalesce(sum(CASE WHEN nd THEN n END), 0) AS outside FROM g),
@@ -182,21 +185,33 @@ UNION ALL SELECT 'exact_duplicates_pct', {r(pct('dups', 'rows_'))} FROM e
 UNION ALL SELECT 'dates_outside_pct', {r(pct('outside', 'rows_'))} FROM e
 UNION ALL SELECT 'key_duplicates', {r('dups')} FROM k
 UNION ALL SELECT 'key_duplicates_pct', {r(pct('dups', 'rows_'))} FROM k
-UNION ALL SELECT 'integrity_pct', {r(f"100.0 - {pct('orphan', 'total')}")} FROM o, orph""")
+UNION ALL SELECT 'integrity_pct', {r(f"100.0 - {pct('orphan', 'total')}")} FROM o, orph"""
+
+
+@query("quality_scorecard", _scorecard_sql("date IS NULL"))
 def q_quality_scorecard(spark, d):
-    return profile.quality_scorecard(fx.transactions(spark, d),
-                                     facts=fx.product_category(spark, d),
-                                     dim=fx.categories(spark, d))
+    return profile.quality_scorecard(fx.transactions(spark, d), facts=fx.order_facts(spark, d),
+                                     dim=fx.line_orders(spark, d))
+
+
+PERIOD = ("1996-01-01", "1999-12-31")
+
+
+@query("quality_scorecard_period", _scorecard_sql(
+    f"date IS NULL OR date < DATE '{PERIOD[0]}' OR date > DATE '{PERIOD[1]}'"))
+def q_quality_scorecard_period(spark, d):
+    return profile.quality_scorecard(fx.transactions(spark, d), facts=fx.order_facts(spark, d),
+                                     dim=fx.line_orders(spark, d), period=PERIOD)
 
 
-@query("orphan_categories", with_(PC, CAT) + """
+@query("orphan_categories", with_(KEYS) + """
 SELECT code, count(*) AS num_rows FROM pc
 WHERE NOT EXISTS (SELECT 1 FROM cat WHERE cat.id = pc.code) GROUP BY code""")
 def q_orphan_categories(spark, d):
-    return profile.orphans(fx.product_category(spark, d), fx.categories(spark, d), "code")
+    return profile.orphans(fx.order_facts(spark, d), fx.line_orders(spark, d), "code")
 
 
-@query("referential_integrity", with_(PC, CAT) + f""",
+@query("referential_integrity", with_(KEYS) + f""",
 o AS (SELECT count(*) AS total_rows FROM pc),
 x AS (SELECT count(*) AS orphan_rows, count(DISTINCT code) + max(CASE WHEN code IS NULL THEN 1 ELSE 0 END) AS orphan_keys
       FROM pc WHERE NOT EXISTS (SELECT 1 FROM cat WHERE cat.id = pc.code))
@@ -205,7 +220,7 @@ SELECT o.total_rows, CAST(x.orphan_rows AS BIGINT) AS orphan_rows,
        {r(f"coalesce(100.0 - {pct('x.orphan_rows', 'o.total_rows')}, 100.0)")} AS integrity_pct
 FROM o, x""")
 def q_referential_integrity(spark, d):
-    return profile.orphan_summary(fx.product_category(spark, d), fx.categories(spark, d), "code")
+    return profile.orphan_summary(fx.order_facts(spark, d), fx.line_orders(spark, d), "code")
 
 
 # ---------------------------------------------------------------------------
@@ -215,7 +230,7 @@ def q_referential_integrity(spark, d):
 _DIST_SQL = with_(PC, CAT) + f""",
 dist AS (SELECT code, count(*) AS num_products FROM pc GROUP BY code),
 names AS (SELECT id, min(category_name) AS category_name FROM cat GROUP BY id),
-cd AS (SELECT dist.code, coalesce(names.category_name, 'Desconocida') AS category_name,
+cd AS (SELECT dist.code, coalesce(names.category_name, '{labels.UNKNOWN_CATEGORY}') AS category_name,
               dist.num_products,
               {r(pct('dist.num_products', 'sum(dist.num_products) OVER ()'))} AS pct
        FROM dist LEFT JOIN names ON dist.code = names.id)
@@ -227,14 +242,14 @@ def q_category_distribution(spark, d):
     return catalogue.category_distribution(fx.product_category(spark, d), fx.categories(spark, d))
 
 
-@query("head_tail_categories", _DIST_SQL + """
+@query("head_tail_categories", _DIST_SQL + f"""
 SELECT * FROM (
   SELECT 'head' AS part, CAST(row_number() OVER (ORDER BY num_products DESC, code) AS INTEGER) AS position,
-         code, category_name, num_products, pct FROM cd) h WHERE position <= 10
+         code, category_name, num_products, pct FROM cd) h WHERE position <= {labels.HEAD_CATEGORIES}
 UNION ALL
 SELECT * FROM (
   SELECT 'tail' AS part, CAST(row_number() OVER (ORDER BY num_products, code) AS INTEGER) AS position,
-         code, category_name, num_products, pct FROM cd) t WHERE position <= 5""")
+         code, category_name, num_products, pct FROM cd) t WHERE position <= {labels.TAIL_CATEGORIES}""")
 def q_head_tail_categories(spark, d):
     return catalogue.head_tail_categories(fx.product_category(spark, d), fx.categories(spark, d))
 
@@ -277,15 +292,17 @@ def q_category_relations(spark, d):
 # baskets and items
 # ---------------------------------------------------------------------------
 
-_SIZES = """s AS (SELECT CAST(len(string_split(products, ' ')) AS INTEGER) AS basket_size
-      FROM tx WHERE products IS NOT NULL)"""
+# The string operators run on an existing text column, the others on lines.
+_TEXT_SIZES = """s AS (SELECT CAST(len(string_split(text, ' ')) AS INTEGER) AS basket_size
+      FROM documents WHERE text IS NOT NULL)"""
+_SIZES = """s AS (SELECT CAST(count(*) AS INTEGER) AS basket_size FROM lineitem GROUP BY l_orderkey)"""
 _QUART = """q AS (SELECT quantile_disc(basket_size, 0.25) AS p25, quantile_disc(basket_size, 0.5) AS median,
              quantile_disc(basket_size, 0.75) AS p75 FROM s)"""
 _MODE = """m AS (SELECT basket_size AS mode_size, count(*) AS baskets FROM s
       GROUP BY basket_size ORDER BY count(*) DESC, basket_size LIMIT 1)"""
 
 
-@query("basket_statistics", with_(TX, _SIZES, _QUART, _MODE) + f"""
+@query("basket_statistics", with_(_TEXT_SIZES, _QUART, _MODE) + f"""
 SELECT count(*) AS baskets, {r('avg(s.basket_size)')} AS mean_size,
        {r('stddev_samp(s.basket_size)')} AS stddev_size,
        min(s.basket_size) AS min_size, max(s.basket_size) AS max_size,
@@ -297,13 +314,10 @@ SELECT count(*) AS baskets, {r('avg(s.basket_size)')} AS mean_size,
          AS outliers
 FROM s, q, m GROUP BY q.p25, q.median, q.p75""")
 def q_basket_statistics(spark, d):
-    return baskets.basket_statistics(fx.transactions(spark, d))
+    return baskets.basket_statistics(fx.texts(spark, d), "text")
 
 
-_LINE_SIZES = """s AS (SELECT CAST(count(*) AS INTEGER) AS basket_size FROM lineitem GROUP BY l_orderkey)"""
-
-
-@query("basket_statistics_lines", with_(_LINE_SIZES, _QUART, _MODE) + f"""
+@query("basket_statistics_lines", with_(_SIZES, _QUART, _MODE) + f"""
 SELECT count(*) AS baskets, {r('avg(s.basket_size)')} AS mean_size,
        {r('stddev_samp(s.basket_size)')} AS stddev_size,
        min(s.basket_size) AS min_size, max(s.basket_size) AS max_size,
@@ -318,12 +332,12 @@ def q_basket_statistics_lines(spark, d):
     return baskets.basket_statistics_from_lines(fx.basket_lines(spark, d))
 
 
-@query("basket_summary", with_(TX, _SIZES) + f"""
+@query("basket_summary", with_(_SIZES) + f"""
 SELECT count(*) AS baskets, {r('avg(basket_size)')} AS mean_size,
        {r('stddev_samp(basket_size)')} AS stddev_size,
        min(basket_size) AS min_size, max(basket_size) AS max_size FROM s""")
 def q_basket_summary(spark, d):
-    return baskets.basket_summary(fx.transactions(spark, d))
+    return baskets.basket_summary(fx.basket_lines(spark, d), lines="tx_id")
 
 
 _QUANT_ROWS = """
@@ -332,22 +346,22 @@ UNION ALL SELECT CAST(0.5 AS DOUBLE), median FROM q
 UNION ALL SELECT CAST(0.75 AS DOUBLE), p75 FROM q"""
 
 
-@query("basket_quantiles", with_(TX, _SIZES, _QUART) + _QUANT_ROWS)
+@query("basket_quantiles", with_(_SIZES, _QUART) + _QUANT_ROWS)
 def q_basket_quantiles(spark, d):
-    return baskets.basket_quantiles(fx.transactions(spark, d))
+    return baskets.basket_quantiles(fx.basket_lines(spark, d), lines="tx_id")
 
 
-@query("basket_quantiles_approx", with_(TX, _SIZES, _QUART) + _QUANT_ROWS)
+@query("basket_quantiles_approx", with_(_SIZES, _QUART) + _QUANT_ROWS)
 def q_basket_quantiles_approx(spark, d):
-    return baskets.basket_quantiles_approx(fx.transactions(spark, d))
+    return baskets.basket_quantiles_approx(fx.basket_lines(spark, d), lines="tx_id")
 
 
-@query("basket_mode", with_(TX, _SIZES, _MODE) + "SELECT mode_size, baskets FROM m")
+@query("basket_mode", with_(_SIZES, _MODE) + "SELECT mode_size, baskets FROM m")
 def q_basket_mode(spark, d):
-    return baskets.basket_mode(fx.transactions(spark, d))
+    return baskets.basket_mode(fx.basket_lines(spark, d), lines="tx_id")
 
 
-@query("basket_outliers", with_(TX, _SIZES, _QUART) + f"""
+@query("basket_outliers", with_(_SIZES, _QUART) + f"""
 SELECT q.p25, q.p75, q.p75 - q.p25 AS iqr,
        {r('CAST(q.p25 AS DOUBLE) - 1.5 * CAST(q.p75 - q.p25 AS DOUBLE)')} AS lower_fence,
        {r('CAST(q.p75 AS DOUBLE) + 1.5 * CAST(q.p75 - q.p25 AS DOUBLE)')} AS upper_fence,
@@ -356,20 +370,40 @@ SELECT q.p25, q.p75, q.p75 - q.p25 AS iqr,
          AS outliers
 FROM s, q GROUP BY q.p25, q.p75""")
 def q_basket_outliers(spark, d):
-    return baskets.basket_outliers(fx.transactions(spark, d))
+    return baskets.basket_outliers(fx.basket_lines(spark, d), lines="tx_id")
 
 
 @query("date_range", with_(TXL) + "SELECT min(date) AS min_date, max(date) AS max_date FROM txl")
 def q_date_range(spark, d):
-    return temporal.date_range(fx.transactions_light(spark, d))
+    return temporal.date_range(fx.purchases(spark, d))
 
 
-@query("units_sold", with_(TX) + """,
-it AS (SELECT TRY_CAST(tok AS BIGINT) AS item
-       FROM (SELECT unnest(string_split(products, ' ')) AS tok FROM tx) x)
-SELECT count(item) AS units, count(DISTINCT item) AS distinct_items FROM it""")
+@query("units_sold", with_(ITEMS) + """
+SELECT count(item) AS units, count(DISTINCT item) AS distinct_items FROM items""")
 def q_units_sold(spark, d):
-    return baskets.units_sold(baskets.basket_items(fx.transactions(spark, d)))
+    return baskets.units_sold(fx.basket_lines(spark, d))
+
+
+@query("integer_tokens", """
+WITH tok AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents),
+it AS (SELECT doc_id, TRY_CAST(t AS BIGINT) AS item FROM tok
+       WHERE regexp_full_match(t, '[+-]?[0-9]+'))
+SELECT doc_id, count(item) AS units, count(DISTINCT item) AS distinct_items
+FROM it WHERE item IS NOT NULL GROUP BY doc_id""")
+def q_integer_tokens(spark, d):
+    items = baskets.basket_items(fx.table(spark, d, "documents"), "text", keep=["doc_id"])
+    return items.groupBy("doc_id").agg(F.count("item").alias("units"),
+                                       F.count_distinct("item").alias("distinct_items"))
+
+
+@query("typed_projection", """
+SELECT CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS DATE) END AS date,
+       o_orderkey AS store_id,
+       CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS customer_id,
+       CAST(NULL AS VARCHAR) AS products
+FROM orders""")
+def q_typed_projection(spark, d):
+    return readers.typed_transactions(readers.parse_lines(fx.pipe_lines(spark, d)))
 
 
 _ITEM_COUNTS = """ic AS (SELECT item, count(*) AS units FROM items GROUP BY item)"""
@@ -382,9 +416,9 @@ SELECT * FROM (
          {r(pct('sum(units) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 'sum(units) OVER ()'))}
            AS cum_pct
   FROM ic WINDOW w AS (ORDER BY units DESC, item)) t
-WHERE rank <= 30""")
+WHERE rank <= {labels.TOP_PRODUCTS_K}""")
 def q_top_products(spark, d):
-    return baskets.top_products(fx.basket_lines(spark, d), 30)
+    return baskets.top_products(fx.basket_lines(spark, d))
 
 
 @query("pareto_products", with_(ITEMS, _ITEM_COUNTS) + f"""
@@ -400,12 +434,12 @@ def q_pareto_products(spark, d):
 @query("concentration", with_(ITEMS, _ITEM_COUNTS) + f""",
 rk AS (SELECT units, row_number() OVER (ORDER BY units DESC, item) AS rn,
               sum(units) OVER () AS total FROM ic),
-cuts AS (SELECT * FROM (VALUES (5), (10), (30)) v(top_n))
+cuts AS (SELECT * FROM (VALUES {', '.join(f'({n})' for n in labels.CONCENTRATION_CUTS)}) v(top_n))
 SELECT CAST(cuts.top_n AS INTEGER) AS top_n, CAST(sum(rk.units) AS BIGINT) AS units,
        {r(pct('sum(rk.units)', 'any_value(rk.total)'))} AS pct
 FROM cuts JOIN rk ON rk.rn <= cuts.top_n GROUP BY cuts.top_n""")
 def q_concentration(spark, d):
-    return baskets.concentration(fx.basket_lines(spark, d), [5, 10, 30])
+    return baskets.concentration(fx.basket_lines(spark, d))
 
 
 @query("split_tokens", """
@@ -426,7 +460,7 @@ SELECT CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS mont
        count(*) AS transactions, {r(pct('count(*)', 'sum(count(*)) OVER ()'))} AS pct
 FROM txl GROUP BY 1, 2""")
 def q_monthly_distribution(spark, d):
-    return temporal.monthly_distribution(fx.transactions_light(spark, d))
+    return temporal.monthly_distribution(fx.purchases(spark, d))
 
 
 _MONTHLY = """ms AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS transactions
@@ -435,14 +469,14 @@ _MONTHLY = """ms AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, co
 
 @query("monthly_series", with_(TXL, _MONTHLY) + "SELECT month, transactions FROM ms")
 def q_monthly_series(spark, d):
-    return temporal.monthly_series(fx.transactions_light(spark, d))
+    return temporal.monthly_series(fx.purchases(spark, d))
 
 
 @query("monthly_series_by_store", with_(TXL) + """
 SELECT store_id, CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS transactions
 FROM txl WHERE date IS NOT NULL GROUP BY 1, 2""")
 def q_monthly_series_by_store(spark, d):
-    return temporal.monthly_series(fx.transactions_light(spark, d), by=("store_id",))
+    return temporal.monthly_series(fx.store_purchases(spark, d), by=("store_id",))
 
 
 @query("monthly_growth", with_(TXL, _MONTHLY) + f"""
@@ -453,11 +487,11 @@ SELECT month, transactions,
          AS growth_from_first_pct
 FROM ms""")
 def q_monthly_growth(spark, d):
-    return temporal.monthly_growth(fx.transactions_light(spark, d))
+    return temporal.monthly_growth(fx.purchases(spark, d))
 
 
 _DAY_CASE = "CASE " + " ".join(f"WHEN dow = {k} THEN '{v}'" for k, v in WEEKDAY_LABELS.items()) \
-    + " ELSE 'Desconocido' END"
+    + f" ELSE '{labels.UNKNOWN_WEEKDAY}' END"
 _WEEKDAYS = f"""wd AS (SELECT dow AS day_of_week, {_DAY_CASE} AS day_name, count(*) AS transactions
        FROM (SELECT CAST(dayofweek(date) + 1 AS INTEGER) AS dow FROM txl) x GROUP BY dow)"""
 
@@ -466,14 +500,14 @@ _WEEKDAYS = f"""wd AS (SELECT dow AS day_of_week, {_DAY_CASE} AS day_name, count
 SELECT day_of_week, day_name, transactions, {r(pct('transactions', 'sum(transactions) OVER ()'))} AS pct
 FROM wd""")
 def q_weekday_distribution(spark, d):
-    return temporal.weekday_distribution(fx.transactions_light(spark, d))
+    return temporal.weekday_distribution(fx.purchases(spark, d))
 
 
 @query("weekday_ranking", with_(TXL, _WEEKDAYS) + """
 SELECT CAST(rank() OVER (ORDER BY transactions DESC) AS INTEGER) AS rank, day_of_week, day_name,
        transactions FROM wd""")
 def q_weekday_ranking(spark, d):
-    return temporal.weekday_ranking(fx.transactions_light(spark, d))
+    return temporal.weekday_ranking(fx.purchases(spark, d))
 
 
 @query("weekend_share", with_(TXL) + f"""
@@ -482,7 +516,7 @@ SELECT count(*) AS transactions,
        {r(pct('count(*) FILTER (WHERE dayofweek(date) IN (0, 6))', 'count(*)'))} AS weekend_pct
 FROM txl""")
 def q_weekend_share(spark, d):
-    return temporal.weekend_share(fx.transactions_light(spark, d))
+    return temporal.weekend_share(fx.purchases(spark, d))
 
 
 _STORES = """st AS (SELECT store_id, count(*) AS transactions FROM txl GROUP BY store_id)"""
@@ -491,13 +525,13 @@ _STORES = """st AS (SELECT store_id, count(*) AS transactions FROM txl GROUP BY
 @query("store_distribution", with_(TXL, _STORES) + f"""
 SELECT store_id, transactions, {r(pct('transactions', 'sum(transactions) OVER ()'))} AS pct FROM st""")
 def q_store_distribution(spark, d):
-    return temporal.store_distribution(fx.transactions_light(spark, d))
+    return temporal.store_distribution(fx.store_purchases(spark, d))
 
 
 @query("store_ranking", with_(TXL, _STORES) + """
 SELECT CAST(rank() OVER (ORDER BY transactions DESC) AS INTEGER) AS rank, store_id, transactions FROM st""")
 def q_store_ranking(spark, d):
-    return temporal.store_ranking(fx.transactions_light(spark, d))
+    return temporal.store_ranking(fx.store_purchases(spark, d))
 
 
 @query("store_gaps", with_(TXL, _STORES) + f"""
@@ -507,7 +541,7 @@ SELECT store_id, transactions,
        {r(pct('transactions - lead(transactions) OVER w', 'lead(transactions) OVER w'))} AS lead_over_next_pct
 FROM st WINDOW w AS (ORDER BY transactions DESC, store_id NULLS LAST)""")
 def q_store_gaps(spark, d):
-    return temporal.store_gaps(fx.transactions_light(spark, d))
+    return temporal.store_gaps(fx.store_purchases(spark, d))
 
 
 # ---------------------------------------------------------------------------
@@ -523,9 +557,9 @@ SELECT num_purchases, num_customers, pct FROM (
   SELECT purchases AS num_purchases, count(*) AS num_customers,
          {r(pct('count(*)', 'sum(count(*)) OVER ()'))} AS pct
   FROM pcu GROUP BY purchases) f
-ORDER BY num_purchases LIMIT 20""")
+ORDER BY num_purchases LIMIT {labels.PURCHASE_FREQUENCY_K}""")
 def q_purchase_frequency(spark, d):
-    return customers.purchase_frequency(fx.transactions_light(spark, d), 20)
+    return customers.purchase_frequency(fx.purchases(spark, d))
 
 
 def _segment_case(field: int) -> str:
@@ -544,7 +578,7 @@ SELECT CAST({_segment_case(0)} AS INTEGER) AS segment_order, {_segment_case(1)}
        {r(pct('count(*)', 'sum(count(*)) OVER ()'))} AS pct
 FROM pcu GROUP BY 1, 2, 3""")
 def q_customer_segments(spark, d):
-    return customers.customer_segments(fx.transactions_light(spark, d))
+    return customers.customer_segments(fx.purchases(spark, d))
 
 
 @query("new_customer_share", with_(TXL, _PER_CUSTOMER) + f"""
@@ -552,7 +586,7 @@ SELECT count(*) AS customers, count(*) FILTER (WHERE purchases = 1) AS new_custo
        {r(pct('count(*) FILTER (WHERE purchases = 1)', 'count(*)'))} AS new_customer_pct
 FROM pcu""")
 def q_new_customer_share(spark, d):
-    return customers.new_customer_share(fx.transactions_light(spark, d))
+    return customers.new_customer_share(fx.purchases(spark, d))
 
 
 @query("segment_rate", with_(TXL, _PER_CUSTOMER) + f""",
@@ -563,13 +597,13 @@ SELECT CAST({_segment_case(0)} AS INTEGER) AS segment_order, {_segment_case(1)}
          AS purchases_per_customer_month
 FROM pcu, mo GROUP BY 1, 2""")
 def q_segment_rate(spark, d):
-    return customers.segment_rate(fx.transactions_light(spark, d))
+    return customers.segment_rate(fx.purchases(spark, d))
 
 
 @query("top_customer", with_(TXL, _PER_CUSTOMER) + """
 SELECT customer_id, purchases FROM pcu ORDER BY purchases DESC, customer_id LIMIT 1""")
 def q_top_customer(spark, d):
-    return customers.top_customer(fx.transactions_light(spark, d))
+    return customers.top_customer(fx.purchases(spark, d))
 
 
 _GAPS = """gp AS (
@@ -582,23 +616,20 @@ _GAPS = """gp AS (
 @query("customer_gaps", with_(TXL, _GAPS) + f"""
 SELECT customer_id, purchases, {r('mean_gap_days')} AS mean_gap_days FROM gp""")
 def q_customer_gaps(spark, d):
-    return customers.customer_gaps(fx.transactions_light(spark, d))
+    return customers.customer_gaps(fx.purchases(spark, d))
 
 
 @query("inter_purchase_days", with_(TXL, _GAPS) + f"""
 SELECT count(mean_gap_days) AS customers_with_gap, {r('avg(mean_gap_days)')} AS avg_days_between_purchases
 FROM gp""")
 def q_inter_purchase_days(spark, d):
-    return customers.inter_purchase_days(fx.transactions_light(spark, d))
+    return customers.inter_purchase_days(fx.purchases(spark, d))
 
 
 # ---------------------------------------------------------------------------
 # cohorts
 # ---------------------------------------------------------------------------
 
-# The twin follows the original formulation: first month per customer by
-# aggregate, joined back, then distinct customers per (cohort, index) - an
-# independent route to the Spark plan's window over distinct pairs.
 _COHORT = """t AS (SELECT customer_id, CAST(date_trunc('month', date) AS DATE) AS month
       FROM txl WHERE customer_id IS NOT NULL AND date IS NOT NULL),
 fp AS (SELECT customer_id, min(month) AS cohort_month FROM t GROUP BY customer_id),
@@ -616,28 +647,28 @@ ret AS (SELECT act.cohort_month, act.cohort_index, act.active_customers, sizes.c
 @query("cohort_sizes", with_(TXL, _COHORT) + """
 SELECT cohort_month, cohort_size FROM sizes""")
 def q_cohort_sizes(spark, d):
-    return cohorts.cohort_sizes(fx.transactions_light(spark, d))
+    return cohorts.cohort_sizes(fx.purchases(spark, d))
 
 
 @query("cohort_activity", with_(TXL, _COHORT) + "SELECT * FROM act")
 def q_cohort_activity(spark, d):
-    return cohorts.cohort_activity(fx.transactions_light(spark, d))
+    return cohorts.cohort_activity(fx.purchases(spark, d))
 
 
 @query("retention", with_(TXL, _COHORT) + f"""
 SELECT cohort_month, cohort_index, active_customers, cohort_size,
        {r('CAST(active_customers AS DOUBLE) / CAST(cohort_size AS DOUBLE)')} AS retention_rate FROM ret""")
 def q_retention(spark, d):
-    return cohorts.retention(fx.transactions_light(spark, d))
+    return cohorts.retention(fx.purchases(spark, d))
 
 
 @query("retention_matrix", with_(TXL, _COHORT) + f"""
 SELECT * FROM (
   PIVOT (SELECT cohort_month, cohort_index,
                 {r('CAST(active_customers AS DOUBLE) / CAST(cohort_size AS DOUBLE)')} AS rate FROM ret)
-  ON cohort_index USING avg(rate) GROUP BY cohort_month)""")
+  ON cohort_index IN ({', '.join(map(str, range(80)))}) USING avg(rate) GROUP BY cohort_month)""")
 def q_retention_matrix(spark, d):
-    return cohorts.retention_matrix(fx.transactions_light(spark, d))
+    return cohorts.retention_matrix(fx.purchases(spark, d))
 
 
 # ---------------------------------------------------------------------------
@@ -647,7 +678,7 @@ def q_retention_matrix(spark, d):
 # Exact and complete twin of FP-growth for a small item universe: every
 # order's item set becomes a bit mask, every non-empty sub-mask of the
 # universe is counted by ``mask & m = m``.
-_RULE_BASE = """tl AS (SELECT DISTINCT l.l_orderkey AS tx_id, p.p_type AS item
+_RULE_BASE = f"""tl AS (SELECT DISTINCT l.l_orderkey AS tx_id, p.p_type AS item
        FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
 u AS (SELECT item, CAST(row_number() OVER (ORDER BY item) - 1 AS INTEGER) AS bit FROM (SELECT DISTINCT item FROM tl) x),
 nb AS (SELECT count(DISTINCT tx_id) AS n FROM tl),
@@ -656,7 +687,7 @@ bm AS (SELECT tl.tx_id, CAST(sum(CAST(1 AS BIGINT) << u.bit) AS BIGINT) AS mask
 cand AS (SELECT CAST(generate_series AS BIGINT) AS m
          FROM generate_series(1, (SELECT (CAST(1 AS BIGINT) << count(*)) - 1 FROM u))),
 freq AS (SELECT cand.m, count(*) AS freq FROM cand JOIN bm ON (bm.mask & cand.m) = cand.m
-         GROUP BY cand.m HAVING count(*) >= 0.02 * (SELECT n FROM nb)),
+         GROUP BY cand.m HAVING count(*) >= {labels.RULES_MIN_SUPPORT} * (SELECT n FROM nb)),
 named AS (SELECT f.m, f.freq, bit_count(f.m) AS size,
                  string_agg(u.item, ',' ORDER BY u.item) AS itemset
           FROM freq f JOIN u ON (f.m >> u.bit) & 1 = 1 GROUP BY f.m, f.freq)"""
@@ -667,7 +698,7 @@ SELECT itemset, CAST(size AS INTEGER) AS size, freq,
        {r('CAST(freq AS DOUBLE) / CAST((SELECT n FROM nb) AS DOUBLE)')} AS support
 FROM named""")
 def q_frequent_itemsets(spark, d):
-    return rules.frequent_itemsets(rules.clean_baskets(fx.type_baskets(spark, d)), 0.02)
+    return rules.frequent_itemsets(rules.clean_baskets(fx.type_baskets(spark, d)))
 
 
 @query("association_rules", with_(_RULE_BASE) + f""",
@@ -683,10 +714,10 @@ rl AS (
   WHERE f.size >= 2)
 SELECT antecedent, consequent, {r('confidence')} AS confidence, {r('lift')} AS lift,
        {r('support')} AS support
-FROM rl WHERE confidence >= 0.3
-ORDER BY lift DESC, antecedent, consequent LIMIT 100""")
+FROM rl WHERE confidence >= {labels.RULES_MIN_CONFIDENCE}
+ORDER BY lift DESC, antecedent, consequent LIMIT {labels.RULES_TOP_K}""")
 def q_association_rules(spark, d):
-    return rules.association_rules(rules.clean_baskets(fx.type_baskets(spark, d)), 0.02, 0.3, 100)
+    return rules.association_rules(rules.clean_baskets(fx.type_baskets(spark, d)))
 
 
 # ---------------------------------------------------------------------------
@@ -703,7 +734,7 @@ sf AS (SELECT cal.store_id, cal.month, CAST(coalesce(ss.transactions, 0) AS BIGI
 
 @query("monthly_series_filled", with_(TXL, _STORE_SERIES, _FILLED) + "SELECT * FROM sf")
 def q_monthly_series_filled(spark, d):
-    s = temporal.monthly_series(fx.transactions_light(spark, d), by=("store_id",))
+    s = temporal.monthly_series(fx.store_purchases(spark, d), by=("store_id",))
     return forecast.fill_months(s, ("store_id",))
 
 
@@ -726,36 +757,33 @@ fut AS (SELECT {', '.join('ov.' + x for x in keys) + (', ' if keys else '')}ov.m
                CAST(unnest(generate_series(ov.last + INTERVAL 1 MONTH, ov.last + INTERVAL 6 MONTH,
                                            INTERVAL 1 MONTH)) AS DATE) AS month FROM ov)
 SELECT {', '.join('fut.' + x for x in keys) + (', ' if keys else '')}fut.month,
-       {r('coalesce(moy.mean, fut.mean)')} AS yhat, 'Naive-Seasonal-Avg' AS method
+       {r('coalesce(moy.mean, fut.mean)')} AS yhat, '{labels.METHOD_SEASONAL_NAIVE}' AS method
 FROM fut LEFT JOIN moy ON {on}"""
 
 
 @query("forecast_naive_global", with_(TXL, _MONTHLY, _GLOBAL_FILLED)[:-1] + _naive_sql("gf", []))
 def q_forecast_naive_global(spark, d):
-    s = temporal.monthly_series(fx.transactions_light(spark, d))
+    s = temporal.monthly_series(fx.purchases(spark, d))
     return forecast.seasonal_naive(s)
 
 
 @query("forecast_naive_store", with_(TXL, _STORE_SERIES, _FILLED)[:-1] + _naive_sql("sf", ["store_id"]))
 def q_forecast_naive_store(spark, d):
-    s = temporal.monthly_series(fx.transactions_light(spark, d), by=("store_id",))
+    s = temporal.monthly_series(fx.store_purchases(spark, d), by=("store_id",))
     return forecast.seasonal_naive(s, ("store_id",))
 
 
 @query("forecast_holt_winters_store")
 def q_forecast_holt_winters_store(spark, d):
-    s = temporal.monthly_series(fx.transactions_light(spark, d), by=("store_id",))
+    s = temporal.monthly_series(fx.store_purchases(spark, d), by=("store_id",))
     return forecast.holt_winters(s, ("store_id",))
 
 
 @query("forecast_auto")
 def q_forecast_auto(spark, d):
-    tx = fx.transactions_light(spark, d)
-    by_store = temporal.monthly_series(tx, by=("store_id",))
-    g = forecast.forecast(temporal.total_series(by_store)).withColumn("series", F.lit("global"))
-    s = forecast.forecast(by_store, ("store_id",)).withColumn(
-        "series", F.col("store_id").cast("string"))
-    return g.unionByName(s.drop("store_id")).select("series", "month", "yhat", "method")
+    by_store = temporal.monthly_series(fx.store_purchases(spark, d), by=("store_id",))
+    return forecast.forecast(temporal.series_with_total(by_store), ("series",)).select(
+        "series", "month", "yhat", "method")
 
 
 # ---------------------------------------------------------------------------
@@ -770,7 +798,7 @@ a AS (SELECT count(DISTINCT store_id) + max(CASE WHEN store_id IS NULL THEN 1 EL
              min(date) AS date_start, max(date) AS date_end,
              avg(CASE WHEN products IS NOT NULL THEN len(string_split(products, ' ')) END) AS avg_basket
       FROM tx)
-SELECT 'Global' AS scope, CAST(a.stores AS BIGINT) AS stores, a.transactions,
+SELECT '{labels.SUMMARY_SCOPE}' AS scope, CAST(a.stores AS BIGINT) AS stores, a.transactions,
        CAST(a.customers AS BIGINT) AS customers,
        a.date_start, a.date_end, {r('a.avg_basket')} AS avg_basket_size,
        (SELECT CAST(sum(n - 1) AS BIGINT) FROM g) AS exact_duplicates,
@@ -820,7 +848,7 @@ steps AS (SELECT range AS h FROM range(1, {horizon + 1}))
 SELECT {', '.join('best.' + x for x in keys) + (', ' if keys else '')}
        CAST(best.last + to_months(CAST(steps.h AS INTEGER)) AS DATE) AS month,
        {r(f'best.l + CAST(steps.h AS DOUBLE) * best.tr + best.s[(best.n + steps.h - 1) % {m} + 1]')} AS yhat,
-       'ExponentialSmoothing' AS method, best.a AS alpha, best.b AS beta, best.g AS gamma,
+       '{labels.METHOD_HOLT_WINTERS}' AS method, best.a AS alpha, best.b AS beta, best.g AS gamma,
        {r('best.sse')} AS sse
 FROM best, steps"""
 

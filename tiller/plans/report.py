@@ -1,8 +1,9 @@
 """The report job: every section of the retail report as a DataFrame, and a
 writer that stores each section as its own directory (S5-S8, A27).
 
-The job reads each input once, persists the transaction table while the
-sections that share it run (S8), and writes sections in parallel-friendly,
+The job persists the transaction table while the sections that share it run
+(S8); the file list reads the files' metadata and rows again, and the catalogue
+files are small and read by each of their sections.  Sections are written in
 distributed formats (Parquet / JSON / CSV); nothing is collected.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tiller.functions.columns import basket_size, is_missing
 from tiller.functions.labels import (
     FINE_COLUMNS,
+    FORECAST_HORIZON,
     REPORT_DECIMALS,
     REPORT_DECIMALS_FINE,
     SUMMARY_SCOPE,
@@ -32,14 +34,13 @@ from tiller.operators import (
 from tiller.operators._util import combine_rows
 from tiller.sources.sinks import write_document, write_sections
 
-# Sections small enough for the one-file JSON document (bounded by the
-# calendar, a top-k or the category list).
+# Sections that the document repeats, in its order.
 DOCUMENT_SECTIONS = ("schema", "nulls", "quality", "summary", "basket_statistics",
                      "units_sold", "top_products", "concentration", "monthly", "monthly_growth",
                      "weekday", "weekend_share", "stores", "store_gaps", "top_customer",
                      "purchase_frequency", "customer_segments", "new_customer_share",
                      "segment_rate", "days_between_purchases", "cohort_sizes", "retention",
-                     "forecast_global", "forecast_stores", "association_rules",
+                     "forecast_global", "forecast_stores", "association_rules", "source_files", "forecast_settings",
                      "catalogue_schema", "catalogue_nulls", "catalogue_summary", "product_keys",
                      "category_distribution", "head_tail_categories", "category_relations")
 
@@ -65,8 +66,8 @@ def report_rounded(df: DataFrame) -> DataFrame:
 def transaction_summary(tx: DataFrame, items: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """A27 (global): one row - scope, stores, transactions, customers, date_start,
     date_end, avg_basket_size, exact_duplicates, nulls, unique_products
-    and, when ``files`` (``source_files`` output) is given, source_files
-    (names sorted, comma-separated) and num_files.
+    and, when ``files`` (``source_files`` output) is given, num_files; the
+    names are a section of their own.
 
     Distinct counts treat NULL as a value, as ``distinct().count()`` does.
     The transactions are shuffled once: every metric but the product count
@@ -97,11 +98,8 @@ def transaction_summary(tx: DataFrame, items: DataFrame, files: DataFrame | None
             "exact_duplicates", "nulls", "unique_products"]
     parts = [main, prods]
     if files is not None:
-        # one row per input file: the list is bounded by the number of files
-        parts.append(files.agg(
-            F.array_join(F.sort_array(F.collect_list("file_name")), ", ").alias("source_files"),
-            F.count(F.lit(1)).alias("num_files")))
-        cols = ["source_files", "num_files"] + cols
+        parts.append(files.agg(F.count(F.lit(1)).alias("num_files")))
+        cols = ["num_files"] + cols
     return combine_rows(parts).select(F.lit(SUMMARY_SCOPE).alias("scope"), *cols)
 
 
@@ -169,10 +167,14 @@ def transaction_sections(tx: DataFrame, items: DataFrame | None = None,
         "retention": cohorts.retention(tx),
         "retention_matrix": cohorts.retention_matrix(tx),
     }
+    if files is not None:
+        sec["source_files"] = files
     if with_forecast:
         by_store = temporal.monthly_series(tx, by=("store_id",))
         sec["forecast_global"] = forecast.forecast(temporal.total_series(by_store))
         sec["forecast_stores"] = forecast.forecast(by_store, ("store_id",))
+        sec["forecast_settings"] = tx.sparkSession.range(1).select(
+            F.lit(FORECAST_HORIZON).alias("horizon_months"))
     if with_rules:
         sec["association_rules"] = rules.association_rules(rules.baskets_from_products(tx))
     return sec
@@ -197,9 +199,10 @@ def run_report(spark: SparkSession, transactions_dir: str | None, out_dir: str,
     root = out_dir.rstrip("/")
 
     def small_view(name: str, df: DataFrame) -> DataFrame:
-        # Parquet and JSON sections are read back from what was just written,
-        # so the document does not recompute them (FP-growth would mine again).
-        return spark.read.format(fmt).load(f"{root}/{name}") if fmt in ("parquet", "json") else df
+        # sections are read back from what was just written, so the document
+        # does not compute them again (FP-growth would mine again)
+        reader = spark.read.schema(df.schema).option("header", fmt == "csv")
+        return reader.format(fmt).load(f"{root}/{name}")
 
     if categories_path and product_category_path:
         cat = read_categories(spark, categories_path)
@@ -222,6 +225,7 @@ def run_report(spark: SparkSession, transactions_dir: str | None, out_dir: str,
                 written.append("document")
         finally:
             tx.unpersist()
+            rules.release()
     if small and "document" not in written:
         write_document(small, f"{root}/document")
         written.append("document")
@@ -233,10 +237,6 @@ def main(argv: list[str] | None = None) -> None:
     [--categories FILE --product-category FILE] [--format parquet|json|csv]``."""
     import argparse
 
-    from pyspark.sql import SparkSession
-
-    from tiller.session import ensure_checkpoint_dir
-
     p = argparse.ArgumentParser(prog="tiller-report")
     p.add_argument("--transactions")
     p.add_argument("--categories")
@@ -245,7 +245,6 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--format", default="parquet", choices=["parquet", "json", "csv"])
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("tiller-report").getOrCreate()
-    ensure_checkpoint_dir(spark)
     for name in run_report(spark, a.transactions, a.out, a.categories, a.product_category, a.format):
         print(name)
 

@@ -19,31 +19,30 @@ def pct(n: str, total: str) -> str:
     return f"(CAST({n} AS DOUBLE) * 100.0 / CAST({total} AS DOUBLE))"
 
 
-BASKETS = """baskets AS (
-  SELECT l_orderkey AS tx_id,
-         string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_linenumber, l_partkey) AS products
-  FROM lineitem GROUP BY l_orderkey)"""
-
-TX = BASKETS + """,
-tx AS (
+TX = """tx AS (
   SELECT CAST(o.o_orderdate AS DATE) AS date, CAST(c.c_nationkey AS BIGINT) AS store_id,
-         CAST(o.o_custkey AS BIGINT) AS customer_id, b.products
+         CAST(o.o_custkey AS BIGINT) AS customer_id, t.text AS products
   FROM orders o
   LEFT JOIN customer c ON o.o_custkey = c.c_custkey
-  LEFT JOIN baskets b ON b.tx_id = o.o_orderkey)"""
+  LEFT JOIN documents t ON t.doc_id = o.o_orderkey)"""
 
 TXL = """txl AS (
   SELECT CAST(o.o_orderdate AS DATE) AS date, CAST(c.c_nationkey AS BIGINT) AS store_id,
          CAST(o.o_custkey AS BIGINT) AS customer_id
   FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey)"""
 
+TEXTS = """tx AS (SELECT text, lang, source, n_chars FROM documents)"""
+
 ITEMS = """items AS (SELECT l_orderkey AS tx_id, l_partkey AS item FROM lineitem)"""
 
 PC = """pc AS (
   SELECT l.l_partkey AS code_pr, s.s_nationkey AS code
   FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey)"""
 
-CAT = """cat AS (SELECT n_nationkey AS id, n_name AS category_name FROM nation WHERE n_nationkey < 20)"""
+CAT = """cat AS (SELECT n_nationkey AS id, n_name AS category_name FROM nation)"""
+
+KEYS = """pc AS (SELECT o_orderkey AS code FROM orders),
+cat AS (SELECT l_orderkey AS id FROM lineitem)"""
 
 
 def with_(*ctes: str) -> str:

@@ -7,7 +7,6 @@ tests, the benchmark and the report job when they run stand-alone.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -31,27 +30,4 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder of the session.
-
-    A cluster names it in ``spark.checkpoint.dir``; that value is always
-    used.  Only a local-mode session without one (tests) gets a fresh
-    folder of its own; on a cluster a missing setting is an error, because
-    a machine-local folder is not visible to the other executors.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder "
-                               "(used to cut lineage in running totals)")
-        configured = tempfile.mkdtemp(prefix="tiller-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir()

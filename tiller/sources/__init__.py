@@ -3,7 +3,6 @@ from tiller.sources.readers import (  # noqa: F401
     PRODUCT_CATEGORY_SCHEMA,
     RAW_TRANSACTIONS_SCHEMA,
     TRANSACTIONS_SCHEMA,
-    empty_frame,
     read_categories,
     read_catalogue,
     read_product_category,

@@ -3,13 +3,16 @@ test tables (``region nation customer supplier part orders lineitem ...``).
 
 | role | derivation |
 | --- | --- |
-| transactions | orders LEFT JOIN customer LEFT JOIN baskets; date = order date, store = customer nation, customer = o_custkey, products = part keys of the order's lines joined by one space (NULL when the order has no line) |
+| purchases | orders: date = order date, customer = o_custkey |
+| store purchases | orders LEFT JOIN customer: store = customer nation |
+| transactions | store purchases LEFT JOIN documents on the key: products = the text (NULL where there is none) |
 | basket lines | lineitem(l_orderkey, l_partkey) - the exploded baskets |
 | product-category | lineitem JOIN supplier: product = l_partkey, category = s_nationkey |
-| categories | nation: id = n_nationkey, name = n_name, keys 0..19 only so that five codes have no name (default name and orphan paths) |
+| categories | nation: id = n_nationkey, name = n_name |
+| order facts, line orders | the keys of orders and of the orders that have lines |
 | type baskets | distinct part types of an order's lines (for association rules) |
 
-Every frame grows with the underlying tables; nothing is sampled.
+Every frame grows with the underlying tables; nothing is sampled or cut.
 """
 
 from __future__ import annotations
@@ -17,61 +20,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Category ids at or above this value are absent from the category stand-in.
-CATEGORY_ID_LIMIT = 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order with lines: (tx_id, products).
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, customer_id): one row per order, from orders alone."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderdate").cast("date").alias("date"),
+        F.col("o_custkey").cast("bigint").alias("customer_id"))
 
-    The products string lists part keys ordered by (line number, part key)
-    because line numbers repeat inside an order.  Groups are single orders,
-    so each collected list is one basket.
-    """
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    # A partial collect_list shrinks nothing (groups are single orders), so
-    # the rows are hash-partitioned by order first: the same single shuffle,
-    # with the list building done in parallel after it.
-    lines = lines.repartition("l_orderkey")
-    ordered = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
-    return lines.groupBy(F.col("l_orderkey").alias("tx_id")).agg(
-        F.array_join(ordered["l_partkey"].cast("array<string>"), " ").alias("products"))
-
-
-def transactions(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFrame:
-    """(date, store_id, customer_id, products) - one row per order."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+
+def store_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, store_id, customer_id): for the operators that ask for the store."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    tx = (orders
-          .join(customer, orders.o_custkey == customer.c_custkey, "left")
-          .join(baskets(spark, sf_dir), orders.o_orderkey == F.col("tx_id"), "left"))
-    cols = [
-        F.col("o_orderdate").cast("date").alias("date"),
-        F.col("c_nationkey").cast("bigint").alias("store_id"),
-        F.col("o_custkey").cast("bigint").alias("customer_id"),
-        F.col("products"),
-    ]
-    if with_id:
-        cols = [F.col("o_orderkey").alias("tx_id")] + cols
-    return tx.select(*cols)
+    return (orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
+            .select(F.col("o_orderdate").cast("date").alias("date"),
+                    F.col("c_nationkey").cast("bigint").alias("store_id"),
+                    F.col("o_custkey").cast("bigint").alias("customer_id")))
 
 
-def transactions_light(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(date, store_id, customer_id) without the basket string.
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, store_id, customer_id, products): one row per order.
 
-    The temporal, customer and cohort operators never look at the basket,
-    so they read only orders and customer.
+    The basket string is a column that exists (a document's text), joined on a
+    key that is unique on both sides, so no list is built per order.
     """
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("products"))
     return (orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
+            .join(texts, orders.o_orderkey == texts.doc_id, "left")
             .select(F.col("o_orderdate").cast("date").alias("date"),
                     F.col("c_nationkey").cast("bigint").alias("store_id"),
-                    F.col("o_custkey").cast("bigint").alias("customer_id")))
+                    F.col("o_custkey").cast("bigint").alias("customer_id"), "products"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(text, lang, source, n_chars): documents without their id - real duplicates."""
+    return table(spark, sf_dir, "documents").select("text", "lang", "source", "n_chars")
+
+
+def pipe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value): orders as lines of a transaction file, ``date|store|customer|products``.
+
+    Two kinds of bad lines come with the data's own values: statuses, which are
+    no dates, stand in the date field of orders that are open, and priorities
+    in the customer field of those without a clerk's approval ("P").
+    """
+    orders = table(spark, sf_dir, "orders")
+    date = F.when(F.col("o_orderstatus") == "O", F.col("o_orderstatus")).otherwise(
+        F.date_format("o_orderdate", "yyyy-MM-dd"))
+    customer = F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).otherwise(
+        F.col("o_custkey").cast("string"))
+    return orders.select(F.concat_ws("|", date, F.col("o_orderkey").cast("string"), customer,
+                                     F.lit("")).alias("value"))
 
 
 def basket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +94,19 @@ def product_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, category_name) with ids below ``CATEGORY_ID_LIMIT``."""
-    return (table(spark, sf_dir, "nation")
-            .where(F.col("n_nationkey") < CATEGORY_ID_LIMIT)
-            .select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("category_name")))
+    """(id, category_name)."""
+    return table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("id"), F.col("n_name").alias("category_name"))
+
+
+def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(code): the key of every order; those without lines are natural orphans."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("code"))
+
+
+def line_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id): the order keys that lines name."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"))
 
 
 def type_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,12 +116,3 @@ def type_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (li.join(part, li.l_partkey == part.p_partkey)
             .groupBy(F.col("l_orderkey").alias("tx_id"))
             .agg(F.collect_set("p_type").alias("items")))
-
-
-def type_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tx_id, item): distinct (order, part type) pairs, not collected."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    return (li.join(part, li.l_partkey == part.p_partkey)
-            .select(F.col("l_orderkey").alias("tx_id"), F.col("p_type").alias("item"))
-            .distinct())

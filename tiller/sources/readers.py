@@ -9,15 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 CATEGORIES_SCHEMA = T.StructType([
     T.StructField("id", T.IntegerType()),
     T.StructField("category_name", T.StringType()),
 ])
 
-# The bridge file names its columns ``v.code_pr`` / ``v.code``; positional
-# schema names replace the header so no back-ticks are needed downstream.
 PRODUCT_CATEGORY_SCHEMA = T.StructType([
     T.StructField("code_pr", T.IntegerType()),
     T.StructField("code", T.IntegerType()),
@@ -39,6 +36,11 @@ TRANSACTIONS_SCHEMA = T.StructType([
     T.StructField("products", T.StringType()),
 ])
 
+# Header names of the catalogue files, in the order of the schemas (fixed
+# values of the input).
+CATEGORIES_HEADER = ("id", "category_name")
+PRODUCT_CATEGORY_HEADER = ("v.code_pr", "v.code")
+
 TRANSACTION_FILE_GLOB = "*_Tran.csv"
 
 
@@ -50,34 +52,44 @@ def _csv(spark: SparkSession, schema: T.StructType, header: bool):
 
 
 def read_catalogue(spark: SparkSession, path: str,
-                   schema: T.StructType = CATEGORIES_SCHEMA) -> DataFrame:
-    """A pipe-separated catalogue file with a header line."""
-    try:
-        return _csv(spark, schema, header=True).csv(path)
-    except AnalysisException:
-        return empty_frame(spark, schema)
+                   schema: T.StructType = CATEGORIES_SCHEMA,
+                   header: tuple[str, ...] = CATEGORIES_HEADER) -> DataFrame:
+    """S1 + P1 + P2: a pipe-separated catalogue file with a header line.
+
+    Columns are matched by the file's own names, then renamed to ``schema``'s;
+    a header with other names or another order is an error, as is a missing
+    file.  No back-ticks are needed downstream.
+    """
+    named = T.StructType([T.StructField(h, f.dataType)
+                          for h, f in zip(header, schema.fields, strict=True)])
+    return (_csv(spark, named, header=True).option("enforceSchema", False)
+            .csv(path).toDF(*schema.fieldNames()))
 
 
 def read_categories(spark: SparkSession, path: str) -> DataFrame:
-    return read_catalogue(spark, path, CATEGORIES_SCHEMA)
+    return read_catalogue(spark, path, CATEGORIES_SCHEMA, CATEGORIES_HEADER)
 
 
 def read_product_category(spark: SparkSession, path: str) -> DataFrame:
-    return read_catalogue(spark, path, PRODUCT_CATEGORY_SCHEMA)
+    return read_catalogue(spark, path, PRODUCT_CATEGORY_SCHEMA, PRODUCT_CATEGORY_HEADER)
 
 
 def read_transactions_raw(spark: SparkSession, directory: str) -> DataFrame:
     """S2 (untyped): every ``*_Tran.csv`` file of a directory as one table.
 
     Files not matching the glob are ignored.  A directory without matching
-    files yields an empty frame with the same schema (S4).
+    files yields zero rows of the same schema (S4); a missing one is an error.
     """
-    try:
-        return (_csv(spark, RAW_TRANSACTIONS_SCHEMA, header=False)
-                .option("pathGlobFilter", TRANSACTION_FILE_GLOB)
-                .csv(directory))
-    except AnalysisException:
-        return empty_frame(spark, RAW_TRANSACTIONS_SCHEMA)
+    return (_csv(spark, RAW_TRANSACTIONS_SCHEMA, header=False)
+            .option("pathGlobFilter", TRANSACTION_FILE_GLOB)
+            .csv(directory))
+
+
+def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """The raw columns of transaction lines that are already a text column."""
+    row = F.from_csv(F.col(value), RAW_TRANSACTIONS_SCHEMA.simpleString()[7:-1].replace(":", " "),
+                     {"sep": "|", "mode": "PERMISSIVE"})
+    return lines.select(row.alias("r")).select("r.*")
 
 
 def typed_transactions(raw: DataFrame) -> DataFrame:
@@ -101,16 +113,6 @@ def read_transactions(spark: SparkSession, directory: str) -> DataFrame:
 
 def source_files(spark: SparkSession, directory: str) -> DataFrame:
     """S3: which files fed the transaction table and how many rows each."""
-    raw = read_transactions_raw(spark, directory)
-    try:
-        names = raw.select(F.col("_metadata.file_name").alias("file_name"))
-    except AnalysisException:
-        return empty_frame(spark, T.StructType([
-            T.StructField("file_name", T.StringType()),
-            T.StructField("rows", T.LongType())]))
+    names = read_transactions_raw(spark, directory).select(
+        F.col("_metadata.file_name").alias("file_name"))
     return names.groupBy("file_name").agg(F.count(F.lit(1)).alias("rows"))
-
-
-def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    """A zero-row frame with the given schema."""
-    return spark.createDataFrame([], schema)

@@ -31,30 +31,25 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def document(sections: Mapping[str, DataFrame]) -> DataFrame:
-    """One row, one array-of-structs column per section - the nested
-    JSON document of a report.
+    """The nested document of a report as rows (section, json).
 
-    Only for sections whose size is bounded by the calendar, a top-k or the
-    category list (summaries, distributions, retention grid, forecasts):
-    each section is gathered into one list.  Per-customer or per-item
-    outputs belong in ``write_sections``.
+    Each row of a section is one JSON object; sections of any size stay
+    distributed, and a reader groups them by name.
     """
     from pyspark.sql import functions as F
 
-    from tiller.operators._util import combine_rows
-
-    parts = []
-    for name, df in sections.items():
-        if df is None:
-            continue
-        row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-        parts.append(df.agg(F.collect_list(row).alias(name)))
-    return combine_rows(parts)
+    rows = [df.select(F.lit(name).alias("section"), F.to_json(F.struct(
+        *[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("json"))
+        for name, df in sections.items() if df is not None]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def write_document(sections: Mapping[str, DataFrame], path: str, mode: str = "overwrite") -> None:
-    """Write ``document(sections)`` as a single JSON file in ``path``."""
-    document(sections).coalesce(1).write.mode(mode).json(path)
+    """Write ``document(sections)`` as JSON lines, a folder for each section."""
+    document(sections).write.mode(mode).partitionBy("section").json(path)
 
 
 def write_sections(sections: Mapping[str, DataFrame | None], root: str,
