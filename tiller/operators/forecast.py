@@ -76,15 +76,14 @@ def series_arrays(series: DataFrame, keys: Sequence[str] = (), month: str = "mon
     A series holds one value per month, so the array is bounded by the
     number of months, not by the number of transactions.
     """
-    filled = fill_months(series, keys, month, value)
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(month).alias("m"),
-                                                   F.col(value).cast("double").alias("v"))))
-    return (filled.groupBy(*_keys(keys))
-            .agg(ordered.alias("_pts"))
-            .select(*_keys(keys),
-                    F.try_element_at("_pts", F.lit(1))["m"].alias("_first"),
-                    F.try_element_at("_pts", F.lit(-1))["m"].alias("_last"),
-                    F.col("_pts")["v"].alias("_y")))
+    monthly = series.groupBy(*_keys(keys), F.col(month).alias("_m")).agg(
+        F.sum(value).cast("double").alias("_v"))
+    held = monthly.groupBy(*_keys(keys)).agg(
+        F.min("_m").alias("_first"), F.max("_m").alias("_last"),
+        F.map_from_entries(F.collect_list(F.struct("_m", "_v"))).alias("_known"))
+    months = F.sequence(F.col("_first"), F.col("_last"), F.expr("INTERVAL 1 MONTH"))
+    return held.select(*_keys(keys), "_first", "_last", F.transform(
+        months, lambda m: F.coalesce(F.col("_known")[m], F.lit(0.0))).alias("_y"))
 
 
 def _naive_from_arrays(arr: DataFrame, keys: Sequence[str], horizon: int,
