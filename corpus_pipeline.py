@@ -26,8 +26,8 @@ from tiller.llm.queries import VOCABULARY, held_out, word_count
 
 def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """``docs`` but for the ids in ``ids`` (doc_id)."""
-    gone = sized(staged(ids.select(F.col("doc_id").alias("gone")).distinct(), name))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    gone = sized(staged(ids.select(F.col("doc_id").alias("_gone_id")).distinct(), name))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken, _ = op5_mixing.mix(docs.withColumn("_key", key), "_key", word_count(F.col("text")),
                               F.array("source"))
     copies = taken.groupBy("_key").agg(
-        F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_copies"))
+        F.floor(F.try_divide(F.sum("taken"), F.sum("size")) + 0.5).cast("int").alias("_copies"))
     copies = staged(copies.where("_copies > 0"), "copies")
     keyed = docs.withColumn("_of", key).join(sized(copies), F.col("_of").eqNullSafe(F.col("_key")))
     return keyed.withColumn("_nth", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)

@@ -1,0 +1,166 @@
+import math
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from conftest_llm import lower
+
+from pyspark.sql import functions as F
+
+from tiller.llm import op3_quality_rules as rules
+from tiller.llm import op4_secret_scan as secrets
+from tiller.llm import op7_decontamination as clean
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def brute_statistics(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    at = defaultdict(list)
+    for i in range(len(words) - 4):
+        at[tuple(words[i:i + 5])].append(i)
+    covered = {i + j for v in at.values() if len(v) > 1 for i in v for j in range(5)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")),
+            len(lines) - len(set(lines)), len(covered))
+
+
+TEXTS = ["a b c d e f a b c d e", "x " * 40, "one\n\none\n one\ntwo # ** | <b>", "a b c d e a b c d e a b c d e",
+         "tab\tand\x0bvt\x1cfs é", "\n\n", ""]
+
+
+def test_statistics(spark, corpus):
+    rows = corpus.rows + [(200 + i, t, "en", "s") for i, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    got = rules.judge(docs, labels).collect()
+    want = []
+    for d, t, *_ in rows:
+        s = brute_statistics(t)
+        failed = s[0] < 10 or 100 * s[4] > 20 * s[0]
+        want.append((str(d), *s, failed, not failed))  # without labels the base rules decide
+    keys = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert sorted((str(r["doc_id"]), *(r[k] for k in keys)) for r in got) == sorted(want)
+    assert rules.judge(corpus.empty(spark), labels).count() == 0
+
+
+def test_binomial_tail_is_exact(spark):
+    cases = [(10, 0, 0.3), (50, 3, 0.2), (400, 1, 0.01), (3000, 9, 0.01), (20000, 60, 0.005)]
+    for n, x, p in cases:
+        exact = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1)
+                                   + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(x + 1))
+        got = spark.range(1).select(rules.log_binomial_tail(
+            F.lit(n).cast("long"), F.lit(x).cast("long"), p).alias("v")).first()["v"]
+        assert math.isclose(math.exp(got), exact, rel_tol=1e-9)
+
+
+def test_thresholds_limit_false_rejection(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows, labels = [], []
+    for i in range(3000):
+        bad = i % 10 == 0
+        lang = "en" if i % 3 else None
+        text = " ".join(("%%%" if bad else "") + "".join(rnd.choice("abcdefg") for _ in range(6))
+                        for _ in range(15))
+        rows.append((i, text, lang))
+        labels.append((i, 0 if bad else 1))
+        if i % 100 == 0:
+            labels.append((i, None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r["doc_id"]: r["kept"] for r in rules.judge(docs, marks, risk=0.02).collect()}
+    assert all(got[i] for i in range(3000) if i % 10)
+    assert not any(got[i] for i in range(0, 3000, 10) if rows[i][2] == "en")
+    # few labels prove nothing: all are kept
+    few = rules.judge(docs, marks.where("doc_id < 60"), risk=0.02)
+    assert few.where("kept").count() == 3000
+    assert not re.search("Python|Pandas|Arrow|Nested|Cartesian", plan(few))
+
+
+SECRETS = ['password = "hunter2hunter2" PASSWD:abcdefgh', "token: short secret:longer_than_8", "api_key=abc apikey: 'ABCDEFGH+/=.-_'",
+           "AKIAABCDEFGHIJKL AKIASHORT AKIAAKIAAKIAAKIA0", "0123456789abcdef0123456789abcdef x" + "a" * 40,
+           "é" * 5 + "password=pässword12345678 token=secret:abcdefghij", "é token = \"" + "9f" * 20 + "\"",
+           "Zk3vTq8LmX0pRw5YcB7nHs2D plus Zk3vTq8LmX0pRw5YcB7nHs2D", "password", ""]
+
+
+def test_secrets(spark, corpus):
+    rows = [r[:4] for r in corpus.rows] + [(300 + i, t, "en", f"s{i}") for i, t in enumerate(SECRETS)]
+    rows += [(400 + i, 'key "Qx7rT2mN9vB4kL8sW1zD5fGh"', "en", f"o{i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = secrets.scan(docs)
+    got = {r["doc_id"]: [(s["start"], s["kind"], s["stop"]) for s in r["spans"] if s["kind"] != "token"]
+           for r in found.collect()}
+    for d, t, *_ in rows:
+        t = t or ""
+        want = [(m.start(), 0, "assign", m.end()) for m in re.finditer(
+            r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t)
+            if len(m[2]) >= 8]
+        want += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        want += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32]
+        assert got[d] == [(a, k, b) for a, _, k, b in sorted(want)], t
+    tokens = {r["doc_id"]: [s["value"] for s in r["spans"] if s["kind"] == "token"] for r in found.collect()}
+    assert tokens[307] == ["Zk3vTq8LmX0pRw5YcB7nHs2D"] * 2  # one owner
+    assert not any(tokens[400 + i] for i in range(9))  # a copied example
+    assert secrets.scan(corpus.empty(spark)).count() == 0
+    assert not re.search("Python|Pandas|Arrow|Nested|Cartesian", plan(found))
+
+
+def brute_hits(rows, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        k = min(13, len(w))
+        for j in range(len(w) - k + 1 if k else 0):
+            windows[tuple(w[j:j + k])].add(str(i))
+    out = []
+    for d, t, *_ in rows:
+        w, hit, found = words(t), set(), set()
+        for k in {len(x) for x in windows}:
+            for j in range(len(w) - k + 1):
+                if own := windows.get(tuple(w[j:j + k])):
+                    found |= own
+                    hit |= set(range(j, j + k))
+        out.append((str(d), len(w), len(hit), sorted(found)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("short", [False, True])
+def test_contamination(spark, corpus, short):
+    passage = corpus.passage.split(" ")
+    items = [(1, " ".join(passage[:20])), (2, " ".join(passage[30:43])), (10, "--".join(passage[50:80]).upper()),
+             (3, None), (4, ""), (5, "not in any of the documents at all whatever they may say here"),
+             (2, " ".join(passage[60:75]))]
+    if short:
+        items += [(6, "one two"), (7, " ".join(passage[5:9])), (8, "changed")]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    got = clean.contamination(corpus.frame(spark), frame)
+    want = brute_hits(corpus.rows, items)
+    assert sorted((str(r[0]), r[1], r[2], r[3]) for r in got.collect()) == want
+    assert Counter(bool(w[2]) for w in want)[True] > 5
+    assert clean.contamination(corpus.empty(spark), frame).count() == 0
+    none = clean.contamination(corpus.frame(spark), frame.limit(0))
+    assert none.where("n_hit > 0").count() == 0 and none.count() == len(corpus.rows)
+    assert not re.search("Python|Pandas|Arrow|Nested|Cartesian", plan(got))
+
+
+def test_winnowing_shares_a_fingerprint(spark):
+    """Any shared span of a window's length leaves a common fingerprint."""
+    import random
+
+    rnd = random.Random(2)
+    rows = []
+    for i in range(60):
+        span = [f"s{rnd.randrange(10 ** 6)}" for _ in range(clean.WINDOW)]
+        for _ in range(2):
+            rows.append((i, [f"x{rnd.randrange(10 ** 6)}" for _ in range(rnd.randrange(20))] + span
+                         + [f"y{rnd.randrange(10 ** 6)}" for _ in range(rnd.randrange(20))]))
+    prints = clean._prints(spark.createDataFrame(rows, "i int, words array<string>"), [], ["i"])
+    sets = defaultdict(list)
+    for r in prints.collect():
+        sets[r["i"]].append(set(r["prints"]))
+    assert all(a & b for a, b in sets.values())

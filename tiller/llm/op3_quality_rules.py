@@ -159,9 +159,9 @@ def thresholds(stats: DataFrame, labels: DataFrame, label_col: str, risk: float
                                   & (F.col("r.bin") >= F.col("t.at")))
             .groupBy("t.stratum", "t.rule", "t.cutoff", "n_good", "n_bad")
             .agg(F.sum("good").alias("lost"), F.sum("bad").alias("caught")))
-    strata = rows.select("stratum").distinct().agg(F.count(F.lit(1)).alias("n_strata"))
-    level = F.log(F.lit(error) / (F.lit(len(RULES) * len(grid)) * F.col("n_strata")))
-    passed = (lost.join(strata).where(F.col("lost") < F.col("n_good") * risk)
+    strata = rows.select("stratum").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    level = F.log(F.lit(error) / (F.lit(len(RULES) * len(grid)) * strata))
+    passed = (lost.where(F.col("lost") < F.col("n_good") * risk)
               .where(log_binomial_tail(F.col("n_good"), F.col("lost"), risk) <= level))
     gain = share(F.col("caught"), F.col("n_bad")) - 10 * share(F.col("lost"), F.col("n_good"))
     best = passed.groupBy("stratum", "rule").agg(

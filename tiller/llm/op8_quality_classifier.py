@@ -216,10 +216,10 @@ class Network:
 
 
 class Constant:
-    """The model when labels of one kind, or none, are known: their share, 0.5 for none."""
+    """The model when labels of one kind, or none, are known: their share, 1 for none."""
 
     def __init__(self, y: np.ndarray):
-        self.share = float(y.mean()) if len(y) else 0.5
+        self.share = float(y.mean()) if len(y) else 1.0
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.full(len(x), self.share)
@@ -252,7 +252,7 @@ def add_scores(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str =
     learnt; at most ``train_rows`` of them are, in the order of a seeded hash.
     Labels other than 0 and 1 are ignored; of several for one document the
     smallest holds.  Without labels of both kinds every score is their share of
-    ones, 0.5 if there are none.  NULL and empty texts have a score like any;
+    ones, 1 if there are none (nothing speaks against a text).  NULL and empty texts have a score like any;
     repeated rows each give a row.  Only the text is an input of a score.  All
     columns stay; one that is named as ``score_col`` is replaced.
     """

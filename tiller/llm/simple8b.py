@@ -56,7 +56,7 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
         fits = left >= count
         if bits < largest:
             fits &= runs[half] <= bits
-            if count > half:
+            if half < count < n + half:
                 fits[: n - count + half] &= runs[half][count - half :] <= bits
         np.putmask(choice, fits, np.uint8(selector))
     choice[choice == 255] = 0
