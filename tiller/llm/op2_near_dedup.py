@@ -310,12 +310,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = staged(texts.mapInArrow(_class_sets(shingle), "class long, shingles binary")
                   .dropDuplicates(["class"]), "shingle-sets")
 
-    # members against pivots: a block for each pivot
-    blocks = staged(known.select(F.col("b").alias("block"), F.col("a").alias("class"),
-                                 F.col("a").alias("component"), F.lit(False).alias("asks"))
-                    .unionByName(known.select(F.col("b").alias("block"), F.col("b").alias("class"),
-                                              F.col("b").alias("component"),
-                                              F.lit(True).alias("asks")).distinct()), "blocks")
+    # members against pivots: blocks of a pivot and some of its members
+    sized_up = known.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    nth = F.pmod(F.xxhash64("a"), _parts(F.col("n"), BLOCK))
+    placed = known.join(sized_up, "b").select("a", "b", F.xxhash64("b", nth).alias("block"))
+    blocks = staged(placed.select("block", F.col("a").alias("class"), F.col("a").alias("component"),
+                                  F.lit(False).alias("asks"))
+                    .unionByName(placed.select("block", F.col("b").alias("class"),
+                                               F.col("b").alias("component"),
+                                               F.lit(True).alias("asks")).distinct()), "blocks")
     links = _verified(blocks, sets, percent)
 
     # what is left: members of a bucket that are not all in one component
@@ -323,11 +326,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = staged(_mixed(met, label), "mixed-buckets")
     sides = mixed.where("not main").withColumn("asks", F.lit(True)).unionByName(
         mixed.withColumn("asks", F.lit(False)))
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("n_asking") / BLOCK)).cast("int")
-    nth = F.when(F.col("asks"), F.array(F.pmod(F.xxhash64("class"), n_blocks).cast("int"))
-                 ).otherwise(F.sequence(F.lit(0), n_blocks - 1))
-    placed = (sides.withColumn("nth", F.explode(nth))
-              .withColumn("block", F.xxhash64("key", "nth"))
+    # a grid of blocks: some that ask, against some of all members
+    asking, members = _parts(F.col("n_asking"), BLOCK), _parts(F.col("n_members"), 4 * BLOCK)
+
+    def place(own, n):
+        one = F.array(F.pmod(F.xxhash64("class"), n).cast("int"))
+        return F.when(own, one).otherwise(F.sequence(F.lit(0), n - 1))
+
+    placed = (sides.withColumn("row", F.explode(place(F.col("asks"), asking)))
+              .withColumn("column", F.explode(place(~F.col("asks"), members)))
+              .withColumn("block", F.xxhash64("key", "row", "column"))
               .select("block", "slot", "class", "component", "asks"))
     near = staged(placed.join(sigs, "class").repartition(parts, "block")
                   .sortWithinPartitions("block", F.desc("asks"), "class")
@@ -350,6 +358,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
 
 
+def _parts(n, size: int):
+    """Parts of at most about ``size`` that ``n`` rows make."""
+    return F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+
+
 def _mixed(met: DataFrame, label: DataFrame) -> DataFrame:
     """Members of buckets with several components; ``main`` marks the largest of them."""
     member = met.join(label, F.col("class") == F.col("id"), "left").select(
@@ -358,7 +371,7 @@ def _mixed(met: DataFrame, label: DataFrame) -> DataFrame:
     mixed = sizes.groupBy("key").agg(
         F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n_members"),
         F.count(F.lit(1)).alias("n_components")).where("n_components > 1").select(
-        "key", F.col("top.component").alias("top"),
+        "key", F.col("top.component").alias("top"), "n_members",
         (F.col("n_members") - F.col("top.n")).alias("n_asking"))
     return member.join(mixed, "key").withColumn("main", F.col("component") == F.col("top"))
 
