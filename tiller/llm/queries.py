@@ -20,6 +20,7 @@ from tiller.llm import (
     op8_quality_classifier,
     op9_substring_dedup,
     op10_token_files,
+    sql,
 )
 from tiller.llm.common import ship, table
 
@@ -151,4 +152,4 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SPARK = {name: _shipped(query) for name, query in SPARK.items()}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(sql.SQL)
