@@ -168,14 +168,16 @@ def refine(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A node of weight 2 stands for a settled class, which is only compared with.
     """
-    shared = nodes.groupBy("core").agg(F.sum("weight").alias("n")).where("n > 1").select("core")
+    # both sides of each join below are read tables: a hot core's rows can be split
+    shared = staged(nodes.groupBy("core").agg(F.sum("weight").alias("n")).where("n > 1")
+                    .select("core"), "shared-cores")
     live = staged(nodes.join(shared, "core", "left_semi"), "live-nodes")
     rep = F.min(F.struct("text_key", "pos", "lo", "hi")).alias("rep")
     hulls = staged(live.groupBy("core", "hull").agg(F.sum("weight").alias("n"), rep), "hulls")
     repeats = live.where("weight = 1").join(
         hulls.where("n > 1").select("core", "hull"), ["core", "hull"], "left_semi"
     ).select("text_key", "pos", "lo", "hi")
-    open_ = hulls.where("n = 1").select("core").distinct()
+    open_ = staged(hulls.where("n = 1").select("core").distinct(), "open-cores")
     on = hulls.join(open_, "core", "left_semi").select(
         "rep.*", F.least(F.lit(2), "n").alias("weight"))
     return repeats, on
