@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tiller.llm import op3_quality_rules as rules
 from tiller.llm import op4_secret_scan as secrets
 from tiller.llm import op7_decontamination as clean
+from tiller.llm.sql import SQL
+from tiller.plans import verify
 
 
 def plan(df):
@@ -164,3 +166,16 @@ def test_winnowing_shares_a_fingerprint(spark):
     for r in prints.collect():
         sets[r["i"]].append(set(r["prints"]))
     assert all(a & b for a, b in sets.values())
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql_twins(spark, name):
+    from tiller.llm.queries import SPARK
+
+    folder = "/root/testdata/sf0.001"
+    query = SPARK[name](spark, folder)
+    names = query.columns
+    got = sorted(map(tuple, query.collect()))
+    con = verify.duckdb_connection(folder)
+    want = sorted(con.execute(f"SELECT {', '.join(names)} FROM ({SQL[name]})").fetchall())
+    assert got == want
