@@ -350,7 +350,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.join(label, "class", "left").select(
         "class", "id", F.coalesce("component", "class").alias("component"))
     lowest = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    final = named.join(lowest, "component").select("class", "component_id")
+    # a read table, so that the rows of many copies of one text can be split
+    final = staged(named.join(lowest, "component").select("class", "component_id"), "components")
     return (signed.join(final, "class", "left")
             .select(F.col("id").alias(id_col), "n_shingles",
                     F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))

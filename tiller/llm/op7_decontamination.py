@@ -120,7 +120,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
         lambda a: a["n"])
     found = hits.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(
         F.array_sort(F.collect_list("item")).alias("items"))
-    marked = spans.select("key", n_hit.alias("n_hit")).join(found, "key")
+    # a read table, so that the rows of many copies of one text can be split
+    marked = staged(spans.select("key", n_hit.alias("n_hit")).join(found, "key"), "marked")
     return prints.select("id", "key", "n_words").join(marked, "key", "left").select(
         F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
