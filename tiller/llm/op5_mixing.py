@@ -118,7 +118,10 @@ def pick(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     ``rows`` has pattern, hash, id, size; ``wanted`` has pattern and want.  Rows
     are picked in order of the hash up to ``want``, the last one in part.  Sums over 4096 bins of the hash find the bin where that ends, sums
     over its 4096 bins the next; only the rows of that last bin are sorted.
+    Tables with a row for each pattern, at most MOST_PATTERNS, are broadcast, so
+    that a pattern with most rows stays where its rows are.
     """
+    wanted = F.broadcast(wanted)
     first, second = F.shiftrightunsigned("hash", 52), F.shiftrightunsigned("hash", 40).bitwiseAND(4095)
     rows = rows.withColumns({"b1": first, "b2": second})
 
@@ -133,10 +136,11 @@ def pick(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                         F.col("e.before").alias("base")))
 
     e1 = edge(rows.join(wanted, "pattern").withColumn("base", F.lit(0).cast("long")), "b1", "c1")
-    e2 = edge(rows.join(e1, "pattern").where("b1 = c1"), "b2", "c2")
-    limits = e1.select("pattern", "want", "c1").join(
-        e2.select("pattern", "c2", "base"), "pattern", "left")
-    marked = rows.join(limits, "pattern", "left")
+    e1 = staged(e1, "mix-bins")
+    e2 = edge(rows.join(F.broadcast(e1), "pattern").where("b1 = c1"), "b2", "c2")
+    limits = staged(e1.select("pattern", "want", "c1").join(
+        e2.select("pattern", "c2", "base"), "pattern", "left"), "mix-limits")
+    marked = rows.join(F.broadcast(limits), "pattern", "left")
     inside = (F.col("b1") == F.col("c1")) & (F.col("b2") == F.col("c2"))
     below = (F.col("b1") < F.col("c1")) | (F.col("b1") == F.col("c1")) & (F.col("b2") < F.col("c2"))
     w = Window.partitionBy("pattern", "edge").orderBy("hash", "id", "size")
@@ -182,6 +186,6 @@ def mix(docs: DataFrame, id_col: str, size_col, sources_col, seed: int = 7,
             for p, n in supply.items()]
     wanted = spark.createDataFrame(plan, f"pattern {kind}, rounds long, want long")
     picked = pick(rows, wanted.where("want > 0").select("pattern", "want"))
-    return picked.join(wanted.select("pattern", "rounds"), "pattern").select(
+    return picked.join(F.broadcast(wanted.select("pattern", "rounds")), "pattern").select(
         F.col("id").alias(id_col), "pattern", "size",
         (F.col("rounds") * F.col("size") + F.col("extra")).cast("long").alias("taken")), target

@@ -90,9 +90,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     held = staged(rows.mapInArrow(_keys(min_chars), f"id {kind}, k1 long, k2 long"), "line-keys")
-    shared = (held.distinct().groupBy("k1", "k2")
-              .agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("keeper"))
-              .where(F.col("n_docs") >= min_docs))
+    # a read table, so that the rows of a hot line can be split in the join
+    shared = staged(held.distinct().groupBy("k1", "k2")
+                    .agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("keeper"))
+                    .where(F.col("n_docs") >= min_docs), "shared-lines")
     dropped = (held.join(shared, ["k1", "k2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
                .groupBy("id").agg(F.collect_set(F.struct("k1", "k2")).alias("dropped"))
                .withColumnRenamed("id", "of"))

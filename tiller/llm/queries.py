@@ -79,10 +79,11 @@ def op5_mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.col("pattern")[0]
     sizes = taken.groupBy(source.alias("source")).agg(F.sum("size").alias("source_size"))
     goals = spark.createDataFrame(list(targets.items()), "source string, target double")
+    # a row for each source, at most MOST_PATTERNS
     per_source = sizes.join(goals, sizes.source.eqNullSafe(goals.source)).select(
         sizes.source, "source_size", "target")
     return (taken.withColumn("of", source)
-            .join(per_source, F.col("of").eqNullSafe(F.col("source")))
+            .join(F.broadcast(per_source), F.col("of").eqNullSafe(F.col("source")))
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
