@@ -118,7 +118,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, id_col: str =
     coded = rows.mapInArrow(
         _coded(np.unique(np.asarray(bounds, np.float64)), vocabulary, end_id),
         "shard int, doc_id long, length long, blocks binary, words binary")
-    (coded.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "length", "words")
+    (coded.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "length", "words")
      .mapInArrow(_rows(row_words), ROWS).write.option("compression", "none").parquet(path))
 
 
