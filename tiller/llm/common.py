@@ -9,6 +9,8 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +101,29 @@ def slices(values: Iterable, size=len, most: int = SLICE_BYTES) -> Iterator[tupl
         yield start, n
 
 
+_tables: dict[tuple[str, str], object] = {}
+
+
+def kept(owner: str, name: str, make):
+    """A table that a worker keeps between its tasks, for one owner at a time.
+
+    What another kind of operator left there is dropped first, so a pipeline's
+    stages do not add up in the workers' memory.
+    """
+    for key in [k for k in _tables if k[0] != owner]:
+        del _tables[key]
+    if (owner, name) not in _tables:
+        _tables[owner, name] = make()
+    return _tables[owner, name]
+
+
+def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of a batch's texts of about ``most`` bytes, and the texts as bytes (NULL: empty)."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in slices(sizes, size=int, most=most):
+        yield a, b, [t or b"" for t in column[a:b].cast(pa.binary()).to_pylist()]
+
+
 # --- vectorised 64-bit hashes -------------------------------------------------
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -115,18 +140,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
-_powers: dict[str, np.ndarray] = {}
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the hash's base and of its inverse (mod 2^64)."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 2 * SLICE_BYTES)
+    held = kept("hashes", "powers", dict)
+    if len(held.get("up", ())) < n:
+        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
         for key, base in (("up", _STEP), ("down", _INVERSE)):
             row = np.full(size, base, np.uint64)
             row[0] = 1
-            _powers[key] = np.multiply.accumulate(row)
-    return _powers["up"][:n], _powers["down"][:n]
+            held[key] = np.multiply.accumulate(row)
+    return held["up"][:n], held["down"][:n]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:

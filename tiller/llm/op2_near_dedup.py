@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiller.llm.common import mix, sized, slices, staged, text_or_empty, word_hashes
+from tiller.llm.common import mix, sized, staged, text_or_empty, text_slices, word_hashes
 from tiller.llm.components import components
 
 PARTS = 64
@@ -35,6 +35,8 @@ DISTANCE = 2 * CHUNKS - 1
 #: Classes that ask in one block.
 BLOCK = 256
 SHINGLE, PERCENT = 5, 80
+#: Bytes of text that one numpy pass handles.
+SLICE = 1 << 19
 
 _SEEDS = mix(np.arange(1, 2 * PARTS + 1, dtype=np.uint64))
 _MULTIPLY = _SEEDS[:PARTS] | np.uint64(1)
@@ -74,16 +76,11 @@ def signature(shingles: np.ndarray) -> bytes:
     return (mix(best) >> np.uint64(48)).astype("<u2").tobytes()
 
 
-def _lowered(batch) -> list[bytes]:
-    return [t.encode().lower() for t in batch.column("text").to_pylist()]
-
-
 def _signatures(size: int):
     def emit(batches):
         for batch in batches:
-            raw = _lowered(batch)
-            for a, b in slices(raw):
-                sets = shingle_sets(raw[a:b], size)
+            for a, b, raw in text_slices(batch.column("text"), SLICE):
+                sets = shingle_sets([r.lower() for r in raw], size)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id")[a:b], pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_class(s) if len(s) else None for s in sets], pa.int64()),
@@ -138,9 +135,8 @@ def _class_sets(size: int):
     """Class and shingles of texts."""
     def emit(batches):
         for batch in batches:
-            raw = _lowered(batch)
-            for a, b in slices(raw):
-                sets = [s for s in shingle_sets(raw[a:b], size) if len(s)]
+            for _, _, raw in text_slices(batch.column("text"), SLICE):
+                sets = [s for s in shingle_sets([r.lower() for r in raw], size) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_class(s) for s in sets], pa.int64()),
                      pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "shingles"])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiller.llm.common import mix, slices, staged, text_or_empty, word_hashes
+from tiller.llm.common import mix, staged, text_or_empty, text_slices, word_hashes
 
 ROWS, DIMS = 1 << 14, 32
 #: Neighbours on either side.
@@ -29,6 +29,8 @@ REACH = 2
 TRAIN_ROWS, CALIBRATE = 20_000, 0.2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 25, 256, 2e-3, 1e-4
 SEED = 11
+#: Bytes of text whose vectors a task holds at once.
+SLICE = 1 << 18
 CUTOFF = 0.7
 
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -87,9 +89,8 @@ def context_sums(raw: list[bytes], sums: np.ndarray) -> None:
 def _sums(batches):
     sums = np.zeros((2 * ROWS, DIMS))
     for batch in batches:
-        raw = [t.encode() for t in batch.column("text").to_pylist()]
-        for a, b in slices(raw):
-            context_sums(raw[a:b], sums)
+        for _, _, raw in text_slices(batch.column("text"), SLICE):
+            context_sums(raw, sums)
     used = np.flatnonzero(sums.any(axis=1))
     for a in range(0, len(used), 4096):
         some = used[a : a + 4096]
@@ -159,9 +160,8 @@ def _features(shared):
     def emit(batches):
         vectors = shared.value
         for batch in batches:
-            raw = [t.encode() for t in batch.column("text").to_pylist()]
-            for a, b in slices(raw):
-                rows = document_features(raw[a:b], vectors).astype("<f4")
+            for a, b, raw in text_slices(batch.column("text"), SLICE):
+                rows = document_features(raw, vectors).astype("<f4")
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id")[a:b], pa.array([r.tobytes() for r in rows], pa.binary())],
                     ["id", "features"])
@@ -229,13 +229,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.exp(-np.logaddexp(0, -x))
 
 
-def _scored(shared, model):
+def _scored(shared, model, text_col: str):
     def emit(batches):
         vectors = shared.value
         for batch in batches:
-            raw = [t.encode() for t in batch.column("text").to_pylist()]
-            scores = [model.scores(document_features(raw[a:b], vectors).astype(np.float64))
-                      for a, b in slices(raw)]
+            texts = batch.column("row").field(text_col)
+            scores = [model.scores(document_features(raw, vectors).astype(np.float64))
+                      for _, _, raw in text_slices(texts, SLICE)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(np.concatenate(scores) if scores else [], pa.float64())],
                 ["row", "score"])
@@ -274,7 +274,7 @@ def add_scores(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str =
     x, y = x.reshape(-1, N_FEATURES).astype(np.float64), np.asarray([r["label"] for r in sample], float)
     model = Network(x, y) if len(set(y)) == 2 else Constant(y)
     names = [c for c in docs.columns if c != score_col]
-    packed = docs.select(F.struct(*names).alias("row"), text_or_empty(F.col(text_col)).alias("text"))
+    packed = docs.select(F.struct(*names).alias("row"))
     kind = packed.schema["row"].dataType.simpleString()
-    scored = packed.mapInArrow(_scored(vectors, model), f"row {kind}, score double")
+    scored = packed.mapInArrow(_scored(vectors, model, text_col), f"row {kind}, score double")
     return scored.select("row.*", F.col("score").alias(score_col))

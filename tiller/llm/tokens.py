@@ -16,6 +16,8 @@ import re
 
 import numpy as np
 
+from tiller.llm.common import kept
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pieces kept per worker.
@@ -109,11 +111,6 @@ class PieceEncoder:
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def piece_encoder(path: str) -> PieceEncoder:
     """One encoder per worker and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return kept("tokens", path, lambda: PieceEncoder(path))
