@@ -20,7 +20,6 @@ from tiller.llm.common import SPACES, staged, text_or_empty
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-_TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def line_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:

@@ -93,15 +93,10 @@ def decode(words: np.ndarray) -> np.ndarray:
     """All values of whole blocks laid end to end, in order."""
     words = words.astype(_U, copy=False)
     selector = (words >> _U(60)).astype(np.int64)
+    # only an escape is zero: the value after it has more than 60 bits
     raw = np.zeros(len(words), bool)
-    escapes = np.flatnonzero(words == 0)
-    # a word after an escape is a value; it may look like an escape itself
-    previous = -2
-    for e in escapes.tolist():
-        if e != previous + 1 or not raw[e]:
-            raw[e + 1] = True
-            previous = e
-    keep = np.flatnonzero(~raw & (words != 0) | raw)
+    raw[np.flatnonzero(words == 0) + 1] = True
+    keep = np.flatnonzero(words)
     counts = np.where(raw[keep], 1, COUNTS[np.minimum(selector[keep], len(BITS) - 1)])
     owner = np.repeat(np.arange(len(keep)), counts)
     slot = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
