@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tiller.llm import simple8b
-from tiller.llm.common import shared_dir, slices, text_or_empty
+from tiller.llm.common import shared_dir, slices, text_or_empty, text_slices
 from tiller.llm.tokens import piece_encoder
 
 END_ID = 2
@@ -41,11 +41,10 @@ def _coded(bounds: np.ndarray, vocabulary: str, end_id: int):
     def encode(batches):
         encoder = piece_encoder(vocabulary)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             keys = batch.column("doc_id").to_numpy(zero_copy_only=False)
             shards = np.searchsorted(bounds, np.nan_to_num(keys.astype(np.float64), nan=-np.inf))
-            for a, b in slices(texts, most=SLICE):
-                raw = [ids + end for ids in encoder.encode(texts[a:b])]
+            for a, b, texts in text_slices(batch.column("text"), SLICE):
+                raw = [ids + end for ids in encoder.encode([t.decode() for t in texts])]
                 lengths = np.asarray([len(r) // 4 for r in raw])
                 words, blocks = simple8b.encode(np.frombuffer(b"".join(raw), "<u4"), lengths)
                 n_blocks = -(-lengths // simple8b.BLOCK)

@@ -21,7 +21,7 @@ from tiller.llm.common import kept
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pieces kept per worker.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 500_000
 #: A character that no piece in a joint call holds; it separates the pieces' ids.
 _MARK = "\x01"
 #: Between a lower-case Latin letter and ASCII punctuation a token always ends.
