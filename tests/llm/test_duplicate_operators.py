@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from conftest_llm import lower
 
 from tiller.llm import op2_near_dedup as near
@@ -185,3 +186,34 @@ def test_anchor_of_equal_strings_is_the_same():
         found.append((anchor[at] - before, core[at]))
     assert len(set(found)) == 1
     assert merged(np.array([[5, 9], [0, 3], [3, 4], [8, 12]])) == [(0, 4), (5, 12)]
+
+
+def test_repeats_far_into_a_huge_text_behind_others(spark):
+    """Runs past 4 MiB of a text that follows smaller ones in its batch."""
+    rng = np.random.default_rng(8)
+
+    def junk(n):
+        return rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+
+    runs = [junk(700), junk(400), junk(1500)]
+    place = [4_400_000, 4_700_000, (5 << 20) - 200]  # the last lies across a segment's end
+    huge = junk(5_600_000)
+    for run, at in zip(runs, place):
+        huge = huge[:at - 1] + "1" + run + "2" + huge[at + len(run) + 1:]
+    others = "3".join(["", *runs, ""])
+    rows = [(0, junk(500)), (1, junk(900)), (2, huge), (3, others), (4, junk(600))]
+    got = {r["doc_id"]: r for r in remove_repeats(
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    total = sum(map(len, runs))
+    assert (got[2]["n_removed"], got[2]["n_spans"]) == (total, 3)
+    for run in runs:
+        huge = huge.replace(run, "")
+    assert bytes(got[2]["kept"]) == huge.encode()
+    assert (got[3]["n_removed"], bytes(got[3]["kept"])) == (total, b"3333")
+    assert all(got[i]["n_removed"] == 0 for i in (0, 1, 4))
+
+
+def test_anchors_refuse_more_than_positions_can_name():
+    data = np.zeros((1 << 22) + 1, np.uint8)
+    with pytest.raises(ValueError):
+        anchors(data, np.zeros(len(data), bool))

@@ -58,6 +58,8 @@ def anchors(data: np.ndarray, valid: np.ndarray, length: int = LENGTH, gram: int
 
     ``valid`` marks the starts of strings that lie within one text.
     """
+    if len(data) > int(_POSITION) + 1:
+        raise ValueError("more bytes than positions can name")
     prefix = prefix_hash(data)
     at = np.arange(len(data) - gram + 1)
     grams = span_hash(prefix, at, at + gram)
@@ -84,19 +86,19 @@ def _laid(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(raw: list[bytes], length: int):
-    """Texts long enough, in slices; a huge one in overlapping segments.
+    """Texts long enough, in slices; a huge one in overlapping segments of its own.
 
     Yields lists of (index, offset in the text, bytes).
     """
-    long_ = [i for i, r in enumerate(raw) if len(r) >= length]
-    for a, b in slices([raw[i] for i in long_]):
-        some = long_[a:b]
-        if b - a == 1 and len(raw[some[0]]) > SEGMENT + length:
-            text = raw[some[0]]
+    fits = []
+    for i, text in enumerate(raw):
+        if len(text) > SEGMENT + length:
             for at in range(0, len(text) - length + 1, SEGMENT):
-                yield [(some[0], at, text[at : at + SEGMENT + length - 1])]
-        else:
-            yield [(i, 0, raw[i]) for i in some]
+                yield [(i, at, text[at : at + SEGMENT + length - 1])]
+        elif len(text) >= length:
+            fits.append(i)
+    for a, b in slices([raw[i] for i in fits]):
+        yield [(i, 0, raw[i]) for i in fits[a:b]]
 
 
 def _first_nodes(length: int, gram: int):
