@@ -126,6 +126,15 @@ def test_features_do_not_depend_on_the_batch():
     assert np.allclose(together, alone, atol=1e-6) and together.shape[1] == quality.N_FEATURES
 
 
+def test_features_before_wordless_texts():
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(2 * quality.ROWS, quality.DIMS)).astype(np.float32)
+    for raw in ([b"one two three", b"THE! the#1 end", b"", b" \n"], [b"one two", b""], [b"", b" "]):
+        together = quality.document_features(raw, vectors)
+        alone = np.vstack([quality.document_features([r], vectors) for r in raw])
+        assert np.allclose(together, alone, atol=1e-6)
+
+
 def test_pipeline_stages(spark, tmp_path, corpus):
     """Every stage but the last returns the columns of documents; odd rows pass through."""
     folder = str(tmp_path)

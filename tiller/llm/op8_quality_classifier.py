@@ -126,11 +126,10 @@ def document_features(raw: list[bytes], vectors: np.ndarray) -> np.ndarray:
         text = np.repeat(np.arange(n), count)
         own = vectors[_row(hashes, stream)]
         held = np.maximum(count, 1)[:, None]
-        edges = np.minimum(first[:-1], max(len(own) - 1, 0))
 
-        def pooled(x, edges=edges, count=count, held=held):
-            if not len(x):
-                return np.zeros((n, x.shape[1]), np.float32)
+        def pooled(x, edges=first[:-1], count=count, held=held):
+            # wordless texts at the end start behind the last word: a zero row is there
+            x = np.concatenate((x, np.zeros((1, x.shape[1]), x.dtype)))
             return np.where(count[:, None] > 0, np.add.reduceat(x, edges, axis=0), 0) / held
 
         mean = pooled(own)
