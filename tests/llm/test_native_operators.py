@@ -150,6 +150,19 @@ def test_contamination(spark, corpus, short):
     assert not re.search("Python|Pandas|Arrow|Nested|Cartesian", plan(got))
 
 
+def test_contamination_by_items_without_an_id(spark):
+    """Their words count as hit; only items with an id are listed."""
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words[:20])), (2, " ".join(words[20:50])), (3, "clean")],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(None, " ".join(words[:13])), (None, " ".join(words[20:33])),
+                                   (7, " ".join(words[35:48])), (None, " ".join(words[35:48]))],
+                                  "item_id long, text string")
+    marked = clean.contamination(docs, items).select("*", clean.contaminated().alias("c"))
+    assert sorted(map(tuple, marked.collect())) == [
+        (1, 20, 13, [], True), (2, 30, 26, ["7"], True), (3, 1, 0, [], False)]
+
+
 def test_winnowing_shares_a_fingerprint(spark):
     """Any shared span of a window's length leaves a common fingerprint."""
     import random

@@ -73,8 +73,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     ``n_hit`` counts the words inside occurrences of item windows and ``items``
     lists the ids, as sorted strings, of the items with such windows.  NULL and
     empty texts have no words, items without words match nothing, repeated rows
-    each give a row, and items that share an id are one item.  Other columns are
-    ignored.
+    each give a row, and items that share an id are one item.  Items without an
+    id count in ``n_hit`` like any and are not listed.  Other columns are ignored.
     """
     item_words = staged(items.select(F.col(item_id).cast("string").alias("item"), words_of(
         text_or_empty(F.col(item_text))).alias("words")).where(F.size("words") > 0).distinct(),
@@ -121,7 +121,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     found = hits.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(
         F.array_sort(F.collect_list("item")).alias("items"))
     # a read table, so that the rows of many copies of one text can be split
-    marked = staged(spans.select("key", n_hit.alias("n_hit")).join(found, "key"), "marked")
+    marked = staged(spans.select("key", n_hit.alias("n_hit")).join(found, "key", "left"), "marked")
     return prints.select("id", "key", "n_words").join(marked, "key", "left").select(
         F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
