@@ -2,9 +2,9 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read as the next one's docs.
-All stages but the last return the columns of ``documents``.  Rows that share a
-document id are kept or dropped together by the stages that judge by id; NULL
-texts count as empty; an empty table passes through.
+All stages but the last return the columns of ``documents``.  Every row is judged
+by its own text, also where rows share an id or have none; NULL texts count as
+empty; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -20,16 +20,10 @@ from tiller.llm import (
     op8_quality_classifier,
     op10_token_files,
 )
-from tiller.llm.common import ship, sized, staged, table
+from tiller.llm.common import ship, sized, staged, table, text_or_empty
 from tiller.llm.queries import VOCABULARY, held_out, word_count
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``docs`` but for the ids in ``ids`` (doc_id)."""
-    gone = sized(staged(ids.select(F.col("doc_id").alias("_gone_id")).distinct(), name))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     ship(spark)
@@ -39,18 +33,38 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8.
+
+    The one with the smallest id (NULL last) stays.  Texts without words are
+    copies of nothing.
+    """
     ship(spark)
-    judged = op2_near_dedup.near_duplicates(docs)
-    return _without(docs, judged.where(~F.col("kept")), "near-copies").select(*docs.columns)
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", text_or_empty(F.col("text"))))
+    judged = staged(op2_near_dedup.near_duplicates(keyed, id_col="_key")
+                    .where("n_shingles > 0").groupBy("_key")
+                    .agg(F.min("component_id").alias("of"), F.count(F.lit(1)).alias("n")), "judged")
+    names = staged(keyed.groupBy("_key").agg(F.min("doc_id").alias("doc_id")), "names")
+    first = staged(judged.join(names, "_key").groupBy("of").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key")), "first")
+    gone = judged.join(first, "_key", "left_anti").select("_key")
+    again = judged.where("n > 1").join(first, "_key", "left_semi").select("_key")
+    kept = keyed.join(sized(staged(gone, "near-copies")), "_key", "left_anti")
+    # rows with one id and one text: the smallest of them, partially aggregated
+    again = sized(staged(again, "same-rows"))
+    one = kept.join(again, "_key", "left_semi").groupBy("_key").agg(
+        F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(again, "_key", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
     ship(spark)
-    marked = op7_decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, marked.where(op7_decontamination.contaminated()),
-                    "contaminated").select(*docs.columns)
+    keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text")))
+    marked = op7_decontamination.contamination(keyed, table(spark, sf_dir, "benchmark"),
+                                               id_col="_key")
+    gone = marked.where(op7_decontamination.contaminated()).select(F.col("_key").alias("_gone"))
+    gone = sized(staged(gone.distinct(), "contaminated"))
+    return keyed.join(gone, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -161,6 +161,27 @@ def test_pipeline_stages(spark, tmp_path, corpus):
     stage[names[4]](spark, mixed, folder).count()
 
 
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    """Rows without an id, or with one id, go and stay each by its own text."""
+    rnd = random.Random(9)
+    bad, copied, *clean = (" ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(40)) for _ in range(6))
+    spark.createDataFrame([(1, bad)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, bad), (None, clean[0]), (5, bad), (5, clean[1]), (6, clean[2])]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    got = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r[0]), r[1]) for r in got) == sorted(
+        (str(d), t) for d, t in rows if t != bad)
+    rows = [(None, copied), (None, copied), (None, clean[0]), (5, copied), (5, copied + " x"),
+            (5, clean[1]), (4, copied), (7, clean[2]), (7, clean[2]), (None, clean[3]),
+            (None, clean[3]), (8, ""), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    got = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted((str(r[0]), str(r[1])) for r in got.collect()) == sorted((str(d), str(t)) for d, t in [
+        (4, copied), (None, clean[0]), (5, clean[1]), (7, clean[2]), (None, clean[3]),
+        (8, ""), (8, ""), (None, None)])
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     rows = out.orderBy("start").collect()
