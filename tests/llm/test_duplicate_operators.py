@@ -102,6 +102,15 @@ def test_index_finds_every_pair_within_the_distance():
     assert (distance <= near.DISTANCE).all() and (first == shared.argmax(axis=1)).all()
 
 
+def test_pivots_without_a_window(spark):
+    """No bucket's rows are gathered in a task for its pivot, however many they are."""
+    rows = [(1, 0, c) for c in range(-300, 300)] + [(2, 1, 9), (2, 1, 4), (3, 1, 4), (3, 1, 4), (4, 2, 5)]
+    met = near._met(spark.createDataFrame(rows, "key long, slot int, class long"))
+    assert sorted(tuple(r) for r in met.select("key", "slot", "class", "pivot").collect()) == [
+        *((1, 0, c, -300) for c in range(-299, 300)), (2, 1, 9, 4)]
+    assert "Window" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines(spark, corpus):
     rows = corpus.rows
     holders = defaultdict(set)

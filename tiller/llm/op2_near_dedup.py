@@ -21,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiller.llm.common import mix, sized, staged, text_or_empty, text_slices, word_hashes
@@ -289,11 +289,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("id").alias("id"), F.min("signature").alias("signature")), "classes")
     sigs = classes.select("class", "signature")
 
-    # every bucket's members but the smallest, its pivot
-    by_key = Window.partitionBy("key").orderBy("class")
-    keys = classes.select("class", "signature").mapInArrow(_index, "key long, slot int, class long")
-    met = staged(keys.withColumn("pivot", F.first("class").over(by_key))
-                 .where("class != pivot"), "buckets")
+    keys = staged(classes.select("class", "signature").mapInArrow(
+        _index, "key long, slot int, class long"), "index-keys")
+    met = staged(_met(keys), "buckets")
     known = staged(_within(met.select(F.col("class").alias("a"), F.col("pivot").alias("b"))
                            .distinct(), sigs), "near-pairs")
 
@@ -360,6 +358,16 @@ def _parts(n, size: int):
     return F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
 
 
+def _met(keys: DataFrame) -> DataFrame:
+    """Every bucket's members but the smallest, its ``pivot``.
+
+    A join of read tables, so that a hot bucket's rows can be split.
+    """
+    pivots = staged(keys.groupBy("key").agg(F.min("class").alias("pivot"), F.max("class").alias("last"))
+                    .where("pivot != last").select("key", "pivot"), "pivots")
+    return keys.join(sized(pivots), "key").where("class != pivot")
+
+
 def _mixed(met: DataFrame, label: DataFrame) -> DataFrame:
     """Members of buckets with several components; ``main`` marks the largest of them."""
     member = met.join(label, F.col("class") == F.col("id"), "left").select(
