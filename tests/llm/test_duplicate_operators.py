@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest_llm import lower
+from llm_helpers import lower
 
 from tiller.llm import op2_near_dedup as near
 from tiller.llm.components import components

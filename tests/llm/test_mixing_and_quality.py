@@ -5,7 +5,7 @@ from collections import defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
-from conftest_llm import crc
+from llm_helpers import crc
 from pyspark.sql import functions as F
 
 from tiller.llm import op5_mixing as mixing

@@ -3,7 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from conftest_llm import lower
+from llm_helpers import lower
 
 from pyspark.sql import functions as F
 
