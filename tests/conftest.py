@@ -5,9 +5,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,11 +19,3 @@ def spark():
 def scratch(tmp_path):
     """A fresh folder per test (pytest hands out a new one each time)."""
     return str(tmp_path)
-
-
-def rows(df, *cols):
-    """Collected rows as plain tuples, sorted, optionally projected."""
-    if cols:
-        df = df.select(*cols)
-    return sorted((tuple(r) for r in df.collect()),
-                  key=lambda t: tuple((x is None, x if x is not None else 0) for x in t))

@@ -6,7 +6,7 @@ import statistics
 
 import numpy as np
 import pandas as pd
-from conftest import rows
+from helpers import rows
 
 from tiller.operators import baskets
 

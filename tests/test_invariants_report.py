@@ -7,7 +7,7 @@ import math
 import os
 
 import pytest
-from conftest import SF01
+from helpers import SF01
 from pyspark.sql import functions as F
 
 from tiller.operators import baskets, catalogue, cohorts, customers, forecast, rules, temporal

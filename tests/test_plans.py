@@ -5,7 +5,7 @@ down to the parquet scans."""
 import re
 
 import pytest
-from conftest import SF001
+from helpers import SF001
 
 from tiller.plans import register
 

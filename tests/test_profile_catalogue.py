@@ -2,7 +2,7 @@
 
 import math
 
-from conftest import rows
+from helpers import rows
 
 from tiller.operators import catalogue, profile
 

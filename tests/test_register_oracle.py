@@ -5,7 +5,7 @@ import importlib.util
 import os
 
 import pytest
-from conftest import SF001, SF01
+from helpers import SF001, SF01
 
 from tiller.plans import register, verify
 

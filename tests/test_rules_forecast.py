@@ -6,7 +6,7 @@ import itertools
 import math
 import random
 
-from conftest import rows
+from helpers import rows
 
 from tiller.operators import forecast, rules
 

@@ -5,7 +5,7 @@ import datetime as dt
 import os
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.errors import AnalysisException
 
 from tiller.operators import baskets, profile

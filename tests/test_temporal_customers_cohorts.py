@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from conftest import rows
+from helpers import rows
 
 from tiller.operators import cohorts, customers, temporal
 
