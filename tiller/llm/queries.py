@@ -20,6 +20,9 @@ from tiller.llm import (
     op8_quality_classifier,
     op9_substring_dedup,
     op10_token_files,
+    op11_embedding_dedup,
+    op12_vector_codes,
+    op13_whitening,
     sql,
 )
 from tiller.llm.common import ship, table
@@ -130,6 +133,21 @@ def op10_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_token_files.document_index(spark, path)
 
 
+def op11_embedding_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings with a cosine of 0.9 or more."""
+    return op11_embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every embedding, their errors and the codebooks' digest."""
+    return op12_vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the four leading whitened components."""
+    return op13_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]):
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +168,9 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier_query,
     "op9_substring_dedup": op9_substring_dedup_query,
     "op10_token_files": op10_token_files_query,
+    "op11_embedding_dedup": op11_embedding_dedup_query,
+    "op12_vector_codes": op12_vector_codes_query,
+    "op13_whitening": op13_whitening_query,
 }
 SPARK = {name: _shipped(query) for name, query in SPARK.items()}
 
