@@ -11,6 +11,7 @@ Ritz values.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -28,6 +29,9 @@ BLOCK, DEGREE, LANCZOS, MOST_ROUNDS = 32, 8, 10, 200
 CERTIFIED = 1e-13
 #: ... or, where rounding allows no less, beyond this one and no longer falling.
 ROUNDING = 1e-11
+#: A filter lifts the largest eigenvalue over the last wanted one by this factor at most,
+#: beyond which rounding of the one would bury the other.
+MOST_LIFT = 1e8
 #: Eigenvalues below this part of the largest are 0.
 NOTHING = 1e-12
 #: Components are smaller than this.
@@ -117,9 +121,12 @@ def eigenpairs(apply: Callable, dim: int, wanted: int, size: int = BLOCK,
             low = max(0.0, 2 * values[-1] - low)
         spread = top - low
         # the damped part ends below the wanted values, also where many are equal
-        high = max(min(values[-1], low + 0.98 * (values[min(wanted, size) - 1] - low)),
-                   low + 1e-3 * spread)
-        block = np.linalg.qr(filtered(apply, vectors, low, high, top, degree))[0]
+        least = values[min(wanted, size) - 1]
+        high = max(min(values[-1], low + 0.98 * (least - low)), low + 1e-12 * spread)
+        lift = math.acosh(max(1.0, (2 * top - high - low) / (high - low))) - math.acosh(
+            max(1.0, (2 * least - high - low) / (high - low)))
+        steps = max(1, int(min(degree, math.log(MOST_LIFT) / max(lift, 1e-9))))
+        block = np.linalg.qr(filtered(apply, vectors, low, high, top, steps))[0]
         values, vectors, residual = ritz(apply, block)
     else:
         raise ArithmeticError("the eigenvectors did not converge")

@@ -15,6 +15,8 @@ from tiller.llm.op4_secret_scan import (
 )
 from tiller.llm.op6_line_dedup import MIN_CHARS, MIN_DOCS
 from tiller.llm.op7_decontamination import WINDOW
+from tiller.llm.op11_embedding_dedup import COSINE
+from tiller.llm.op12_vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -104,8 +106,65 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
 FROM docs LEFT JOIN sums USING (doc_id)"""
 
+_USABLE = """embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0"""
+
+EMBEDDING_DEDUP = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, c -> CAST(c AS DOUBLE)) AS e FROM embeddings
+  WHERE {_USABLE} AND len(list_filter(embedding, c -> c <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings
+          UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+lowest AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN lowest ON vec_id = lowest.a LEFT JOIN counted ON vec_id = counted.a"""
+
+
+def _vector_codes() -> str:
+    """All rounds, one after another; distance and entry share a number, so min keeps the order."""
+    squared = ("CAST(list_sum(list_transform(range(1, len(x.v) + 1), "
+               "i -> (x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))) AS BIGINT)")
+
+    def assigned(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (
+  SELECT x.r, x.p, min({squared} * {ENTRIES} + b.e) AS k FROM part x JOIN b{i} b USING (p)
+  GROUP BY x.r, x.p)"""
+
+    steps = []
+    for i in range(ROUNDS):
+        steps += [assigned(i), f"""b{i + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN (
+    SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS v FROM (
+      SELECT p, e, j, sum(c) AS s, count(*) AS n FROM (
+        SELECT p, k % {ENTRIES} AS e, generate_subscripts(v, 1) AS j, unnest(v) AS c
+        FROM a{i} JOIN part USING (r, p)) y GROUP BY p, e, j) z GROUP BY p, e) m USING (p, e))"""]
+    rounds = ",\n".join([*steps, assigned(ROUNDS)])
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
+         list_transform(embedding, c -> CAST(floor({SCALE} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE {_USABLE}),
+part AS MATERIALIZED (
+  SELECT r, p, x[p * len(x) // {PARTS} + 1 : (p + 1) * len(x) // {PARTS}] AS v
+  FROM (SELECT r, x, unnest(range({PARTS})) AS p FROM kept) y),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM part WHERE r <= {ENTRIES}),
+{rounds},
+coded AS (SELECT r, string_agg(printf('%02x', k % {ENTRIES}), '' ORDER BY p) AS code,
+                 CAST(sum(k // {ENTRIES}) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY r),
+book AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, j)) AS digest FROM (
+  SELECT p, e, generate_subscripts(v, 1) AS j, unnest(v) AS c FROM b{ROUNDS}) y)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT digest FROM book) AS codebooks_sha256
+FROM kept JOIN coded USING (r)"""
+
+
 SQL = {
     "op4_secret_scan": SECRET_SCAN,
     "op6_line_dedup": LINE_DEDUP,
     "op7_decontamination": DECONTAMINATION,
+    "op11_embedding_dedup": EMBEDDING_DEDUP,
+    "op12_vector_codes": _vector_codes(),
 }
