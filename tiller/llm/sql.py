@@ -107,12 +107,12 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN sums USING (doc_id)"""
 
 _USABLE = """embedding IS NOT NULL AND len(embedding) > 0
-  AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0"""
+  AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"""
 
 EMBEDDING_DEDUP = f"""
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, c -> CAST(c AS DOUBLE)) AS e FROM embeddings
-  WHERE {_USABLE} AND len(list_filter(embedding, c -> c <> 0)) > 0),
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS e FROM embeddings
+  WHERE {_USABLE} AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
           WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}),
 reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings
@@ -126,7 +126,7 @@ FROM embeddings JOIN lowest ON vec_id = lowest.a LEFT JOIN counted ON vec_id = c
 def _vector_codes() -> str:
     """All rounds, one after another; distance and entry share a number, so min keeps the order."""
     squared = ("CAST(list_sum(list_transform(range(1, len(x.v) + 1), "
-               "i -> (x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))) AS BIGINT)")
+               "lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))) AS BIGINT)")
 
     def assigned(i: int) -> str:
         return f"""a{i} AS MATERIALIZED (
@@ -145,7 +145,7 @@ def _vector_codes() -> str:
     return f"""
 WITH kept AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
-         list_transform(embedding, c -> CAST(floor({SCALE} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+         list_transform(embedding, lambda c: CAST(floor({SCALE} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
   FROM embeddings WHERE {_USABLE}),
 part AS MATERIALIZED (
   SELECT r, p, x[p * len(x) // {PARTS} + 1 : (p + 1) * len(x) // {PARTS}] AS v
