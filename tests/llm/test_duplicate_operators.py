@@ -96,10 +96,72 @@ def test_index_finds_every_pair_within_the_distance():
         places = rng.choice(near.PARTS, rng.integers(0, near.DISTANCE + 1), replace=False)
         two[i, places] ^= 1
     a, b = near.index_keys(one), near.index_keys(two)
-    shared = a == b
-    assert shared.any(axis=1).all()
-    distance, first = near._first_bucket(one, two)
-    assert (distance <= near.DISTANCE).all() and (first == shared.argmax(axis=1)).all()
+    assert (a == b).any(axis=1).all()
+
+
+def test_thousands_of_unlike_texts_in_one_bucket(spark, monkeypatch):
+    """Copies with changes of their own: most share buckets, few are linked.
+
+    Few rows are made of them: unlike texts meet in no list of rare shingles.
+    """
+    import random
+
+    rnd = random.Random(6)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(2400):
+        own = list(base)
+        for place in rnd.sample(range(100), rnd.choice((0, 1, 1, 2, 3, 5, 8, 12))):
+            own[place] = f"v{rnd.randrange(10 ** 6) if i % 3 else rnd.randrange(4)}"
+        rows.append((i, " ".join(own)))
+    sets = [{tuple(w[j:j + 4]) for j in range(len(w) - 3)} for w in (t.split() for _, t in rows)]
+    of: dict = {}
+    table = np.zeros((len(rows), 1 << 16), np.float32)
+    for i, own in enumerate(sets):
+        for shingle in own:
+            table[i, of.setdefault(shingle, len(of))] = 1
+    table = table[:, : len(of)]
+    both = table @ table.T
+    size = table.sum(axis=1)
+    linked = 100 * both >= 80 * (size[:, None] + size - both)
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        x, y = sorted((root(i), root(j)))
+        parent[y] = x
+    pairs = []
+    real = near._against
+    monkeypatch.setattr(near, "_against", lambda p, *more: (pairs.append(p.count()), real(p, *more))[1])
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+    assert got == {i: root(i) for i in range(len(rows))}
+    assert len(set(got.values())) > 800 and sum(pairs[1:]) < 40 * len(rows), pairs
+
+
+def test_rare_shingles_hold_a_shared_one_of_every_link(spark):
+    """Whatever the sets: those that reach the similarity share a row of the lists."""
+    rng = np.random.default_rng(8)
+    pool = rng.integers(-(1 << 60), 1 << 60, 60)
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 40)) if i % 2 else np.concatenate(
+        (pool[: rng.integers(20, 40)], rng.integers(0, 1 << 60, rng.integers(0, 6))))) for i in range(120)]
+    frame = spark.createDataFrame([(i, s.astype("<i8").tobytes()) for i, s in enumerate(sets)],
+                                  "class long, shingles binary")
+    held: dict = {}
+    for r in near.rare_shingles(frame, 80).collect():
+        held.setdefault(r["class"], set()).add(r["shingle"])
+    met = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            a_, b_ = set(a.tolist()), set(sets[j].tolist())
+            if 100 * len(a_ & b_) >= 80 * len(a_ | b_):
+                met += 1
+                assert held[i] & held[j]
+    assert met > 30
 
 
 def test_pivots_without_a_window(spark):

@@ -9,10 +9,15 @@ meet in a bucket.  At similarity 0.8 a place differs with probability 0.2, and
 
 Documents with equal shingle sets are one class from the start.  In a bucket the
 classes are first compared with its smallest, a linear number of pairs; links
-confirmed on full shingle sets join components.  Then only members of a bucket
-outside its largest component ask for partners in others: blocks of them stream
-past the bucket's signatures, and near ones past its shingle sets, so no pairs
-are ever rows and every pair under the distance is compared or already joined.
+confirmed on full shingle sets join components.  Members of a bucket that holds
+several components are still open.  Open classes that can reach the similarity
+share one of their rarest shingles (as many as may differ, and one more), so
+their pairs are sought in the lists of these shingles alone.  Rounds take more and
+more of the open classes as pivots, compare each with all that its lists hold and
+strike it from them, until every list's members are in one component or all have
+been pivots: every pair is compared or already joined.  A pair is a row only if
+the places of a shared shingle in both sets leave room for the similarity, so
+unlike members of a bucket, whose rarest shingles are their own, are no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiller.llm.common import mix, sized, staged, text_or_empty, text_slices, word_hashes
@@ -32,6 +37,8 @@ CHUNKS = 16
 PER_CHUNK = PARTS // CHUNKS
 #: The largest distance that the index guarantees.
 DISTANCE = 2 * CHUNKS - 1
+#: Open classes that are pivots in the first round; so many times more in each next one.
+MORE_PIVOTS = 16
 #: Classes that ask in one block.
 BLOCK = 256
 SHINGLE, PERCENT = 5, 80
@@ -163,56 +170,6 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, PARTS)
 
 
-def _first_bucket(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distance, slot of the first index key in common) of pairs of signatures."""
-    differ = one != two
-    differ = differ.reshape(*differ.shape[:-1], CHUNKS, PER_CHUNK)
-    wrong = differ.sum(-1)
-    distance = wrong.sum(-1)
-    chunk = (wrong <= 1).argmax(-1)
-    own = np.take_along_axis(differ, chunk[..., None, None], -2)[..., 0, :]
-    return distance, chunk * PER_CHUNK + own.argmax(-1)
-
-
-def _meet(batches):
-    """Classes of a bucket that have a near partner in another component there.
-
-    Rows come by block: first those it asks for (``asks``), then all members of
-    the bucket.  A pair counts only in the first bucket that it shares.  Yields
-    (block, class, component, asks) of both sides.
-    """
-    held: list = []
-    for _, new, part in grouped(batches, "block"):
-        if new:
-            held = []
-        asks = np.asarray(part.column("asks").to_pylist(), bool)
-        signatures = _matrix(part.column("signature"))
-        names, comps = (part.column(c).to_numpy() for c in ("class", "component"))
-        if asks.any():
-            held.append((names[asks], comps[asks], signatures[asks]))
-        if asks.all() or not held:
-            continue
-        own_names, own_comps, own = map(np.concatenate, zip(*held, strict=True))
-        names, comps, signatures = names[~asks], comps[~asks], signatures[~asks]
-        slot = part.column("slot")[0].as_py()
-        one, two = [], []
-        for a in range(0, len(names), 64):
-            distance, first = _first_bucket(own[:, None], signatures[None, a : a + 64])
-            i, j = np.nonzero((distance <= DISTANCE) & (first == slot)
-                              & (own_comps[:, None] != comps[None, a : a + 64]))
-            one.append(i)
-            two.append(j + a)
-        i, j = (np.unique(np.concatenate(x)) for x in (one, two))
-        if len(i):
-            block = part.column("block")[0].as_py()
-            n = len(i) + len(j)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([block] * n, pa.int64()),
-                pa.array(np.concatenate((own_names[i], names[j]))),
-                pa.array(np.concatenate((own_comps[i], comps[j]))),
-                pa.array(np.arange(n) < len(i))], ["block", "class", "component", "asks"])
-
-
 def _compare(percent: int):
     """Links between the asking classes of a block and its others, on full sets.
 
@@ -304,38 +261,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = staged(texts.mapInArrow(_class_sets(shingle), "class long, shingles binary")
                   .dropDuplicates(["class"]), "shingle-sets")
 
-    # members against pivots: blocks of a pivot and some of its members
-    sized_up = known.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    nth = F.pmod(F.xxhash64("a"), _parts(F.col("n"), BLOCK))
-    placed = known.join(sized_up, "b").select("a", "b", F.xxhash64("b", nth).alias("block"))
-    blocks = staged(placed.select("block", F.col("a").alias("class"), F.col("a").alias("component"),
-                                  F.lit(False).alias("asks"))
-                    .unionByName(placed.select("block", F.col("b").alias("class"),
-                                               F.col("b").alias("component"),
-                                               F.lit(True).alias("asks")).distinct()), "blocks")
-    links = _verified(blocks, sets, percent)
-
+    links = _against(known, sets, percent)
     # what is left: members of a bucket that are not all in one component
-    label = components(links)
-    mixed = staged(_mixed(met, label), "mixed-buckets")
-    sides = mixed.where("not main").withColumn("asks", F.lit(True)).unionByName(
-        mixed.withColumn("asks", F.lit(False)))
-    # a grid of blocks: some that ask, against some of all members
-    asking, members = _parts(F.col("n_asking"), BLOCK), _parts(F.col("n_members"), 4 * BLOCK)
-
-    def place(own, n):
-        one = F.array(F.pmod(F.xxhash64("class"), n).cast("int"))
-        return F.when(own, one).otherwise(F.sequence(F.lit(0), n - 1))
-
-    placed = (sides.withColumn("row", F.explode(place(F.col("asks"), asking)))
-              .withColumn("column", F.explode(place(~F.col("asks"), members)))
-              .withColumn("block", F.xxhash64("key", "row", "column"))
-              .select("block", "slot", "class", "component", "asks"))
-    near = staged(placed.join(sigs, "class").repartition(parts, "block")
-                  .sortWithinPartitions("block", F.desc("asks"), "class")
-                  .mapInArrow(_meet, "block long, class long, component long, asks boolean"),
-                  "near-classes")
-    links = links.unionByName(_verified(near.distinct(), sets, percent))
+    label = staged(components(links), "labels")
+    open_ = staged(_open(met, label), "open-classes")
+    links = links.unionByName(_open_links(open_, links, sets, percent))
 
     # rows of one document belong together
     alike = linked.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("m")).where(
@@ -368,17 +298,95 @@ def _met(keys: DataFrame) -> DataFrame:
     return keys.join(sized(pivots), "key").where("class != pivot")
 
 
-def _mixed(met: DataFrame, label: DataFrame) -> DataFrame:
-    """Members of buckets with several components; ``main`` marks the largest of them."""
+def _open(met: DataFrame, label: DataFrame) -> DataFrame:
+    """``(class, component)`` of the members of buckets with several components."""
     member = met.join(label, F.col("class") == F.col("id"), "left").select(
-        "key", "slot", "class", F.coalesce("component", "class").alias("component"))
-    sizes = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(
-        F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n_members"),
-        F.count(F.lit(1)).alias("n_components")).where("n_components > 1").select(
-        "key", F.col("top.component").alias("top"), "n_members",
-        (F.col("n_members") - F.col("top.n")).alias("n_asking"))
-    return member.join(mixed, "key").withColumn("main", F.col("component") == F.col("top"))
+        "key", "class", F.coalesce("component", "class").alias("component"))
+    mixed = member.groupBy("key").agg(
+        F.min("component").alias("least"), F.max("component").alias("most")).where("least != most")
+    return member.join(sized(staged(mixed.select("key"), "mixed-buckets")), "key", "left_semi").select(
+        "class", "component").distinct()
+
+
+def _against(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among distinct pairs (a, pivot b), in blocks of a pivot and some of its partners."""
+    size = staged(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "pivot-sizes")
+    nth = F.pmod(F.xxhash64("a"), _parts(F.col("n"), BLOCK))
+    placed = staged(pairs.join(sized(size), "b").select("a", "b", F.xxhash64("b", nth).alias("block")),
+                    "placed-pairs")
+    blocks = staged(placed.select("block", F.col("a").alias("class"), F.col("a").alias("component"),
+                                  F.lit(False).alias("asks"))
+                    .unionByName(placed.select("block", F.col("b").alias("class"),
+                                               F.col("b").alias("component"),
+                                               F.lit(True).alias("asks")).distinct()), "blocks")
+    return _verified(blocks, sets, percent)
+
+
+def _shingles(batches):
+    """A row for each shingle of each set."""
+    for batch in batches:
+        for name, raw in zip(*(batch.column(c).to_pylist() for c in ("class", "shingles")),
+                             strict=True):
+            own = np.frombuffer(raw, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own), pa.array(np.full(len(own), name)),
+                 pa.array(np.full(len(own), len(own)))], ["shingle", "class", "n"])
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """``(shingle, class, n, place)``: the rarest shingles of each set (class, shingles).
+
+    Sets of n that share ``percent`` of their union share at least
+    ceil(percent * n / 100); ordered alike, each has one of the shared ones among
+    its first n - ceil(percent * n / 100) + 1.  Those of one set only take their
+    places but need no row.
+    """
+    each = staged(sets.mapInArrow(_shingles, "shingle long, class long, n long"), "open-shingles")
+    common = staged(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"),
+                    "common-shingles")
+    own = Window.partitionBy("class")  # one set: bounded by its text
+    rank = F.row_number().over(own.orderBy("sets", "shingle"))
+    alone = F.col("n") - F.count(F.lit(1)).over(own)
+    most = F.floor((100 - percent) * F.col("n") / 100) + 1  # n - ceil(percent * n / 100) + 1
+    return (each.join(sized(common), "shingle").withColumn("place", rank + alone)
+            .where(F.col("place") <= most).select("shingle", "class", "n", "place"))
+
+
+def _open_links(open_: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between open classes of different components, sought in lists of rare shingles."""
+    found, count = links.limit(0), open_.count()
+    if not count:
+        return found
+    rare = rare_shingles(sets.join(sized(open_), "class", "left_semi"), percent)
+    lists = staged(rare.join(sized(open_), "class"), "lists")
+    pivots = 1
+    while pivots < count:
+        pivots *= MORE_PIVOTS
+        mixed = staged(lists.groupBy("shingle").agg(
+            F.min("component").alias("least"), F.max("component").alias("most"))
+            .where("least != most").select("shingle"), "mixed-lists")
+        if not mixed.limit(1).count():
+            break
+        bound = int(min(1.0, pivots / count) * (1 << 30))
+        marked = staged(lists.join(sized(mixed), "shingle").withColumn(
+            "pivot", F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < bound), "marked-lists")
+        chosen = staged(marked.where("pivot").select(
+            "shingle", F.col("class").alias("b"), F.col("component").alias("own"),
+            F.col("n").alias("n_b"), F.col("place").alias("place_b")), "pivots")
+        # what both sets hold from the shared shingle on, if it is their first
+        room = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1
+        pairs = (marked.join(sized(chosen), "shingle")
+                 .where((F.col("component") != F.col("own"))
+                        & ((100 + percent) * room >= percent * (F.col("n") + F.col("n_b"))))
+                 .select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b"))
+                 .distinct())
+        found = found.unionByName(_against(staged(pairs, "list-pairs"), sets, percent))
+        label = staged(components(links.unionByName(found)), "labels").select(
+            F.col("id").alias("class"), F.col("component").alias("now"))
+        lists = staged(marked.where("not pivot").join(label, "class", "left").select(
+            "shingle", "class", "n", "place", F.coalesce("now", "component").alias("component")),
+            "lists")
+    return found
 
 
 def _within(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
