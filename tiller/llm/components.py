@@ -19,7 +19,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = staged(links.where("a != b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    while True:
+    before = _print(edges)
+    while before[0]["edges"]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.groupBy("a").agg(F.min("b").alias("low"))
         low = F.least("low", "a")
@@ -29,13 +30,18 @@ def components(links: DataFrame) -> DataFrame:
         small = starred.groupBy("a").agg(F.min("b").alias("low"))
         joined = starred.join(small, "a")
         # smaller neighbours, and the node itself, go to the smallest of them
-        after = staged(joined.select(F.col("b").alias("a"), F.col("low").alias("b"))
+        edges = staged(joined.select(F.col("b").alias("a"), F.col("low").alias("b"))
                        .unionByName(joined.select("a", F.col("low").alias("b")))
                        .where("a != b").distinct(), "links")
-        changed = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").bitwiseAND((1 << 40) - 1)))
-        before = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").bitwiseAND((1 << 40) - 1)))
-        edges = after
-        if changed.collect() == before.collect():
+        after = _print(edges)
+        if after == before:
             break
+        before = after
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+def _print(edges: DataFrame) -> list:
+    """Number and checksum of the links."""
+    return edges.agg(F.count(F.lit(1)).alias("edges"),
+                     F.sum(F.xxhash64("a", "b").bitwiseAND((1 << 40) - 1))).collect()

@@ -38,9 +38,9 @@ PER_CHUNK = PARTS // CHUNKS
 #: The largest distance that the index guarantees.
 DISTANCE = 2 * CHUNKS - 1
 #: Open classes that are pivots in the first round; so many times more in each next one.
-MORE_PIVOTS = 16
-#: Classes that ask in one block.
-BLOCK = 256
+MORE_PIVOTS = 64
+#: Blocks over which the partners of one pivot are spread.
+SPREAD = 256
 SHINGLE, PERCENT = 5, 80
 #: Bytes of text that one numpy pass handles.
 SLICE = 1 << 19
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = _against(known, sets, percent)
     # what is left: members of a bucket that are not all in one component
-    label = staged(components(links), "labels")
+    label = components(links)
     open_ = staged(_open(met, label), "open-classes")
     links = links.unionByName(_open_links(open_, links, sets, percent))
 
@@ -283,11 +283,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
 
 
-def _parts(n, size: int):
-    """Parts of at most about ``size`` that ``n`` rows make."""
-    return F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
-
-
 def _met(keys: DataFrame) -> DataFrame:
     """Every bucket's members but the smallest, its ``pivot``.
 
@@ -309,11 +304,11 @@ def _open(met: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _against(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among distinct pairs (a, pivot b), in blocks of a pivot and some of its partners."""
-    size = staged(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "pivot-sizes")
-    nth = F.pmod(F.xxhash64("a"), _parts(F.col("n"), BLOCK))
-    placed = staged(pairs.join(sized(size), "b").select("a", "b", F.xxhash64("b", nth).alias("block")),
-                    "placed-pairs")
+    """Links among distinct pairs (a, pivot b), in blocks of a pivot and some of its partners.
+
+    ``SPREAD`` blocks a pivot at most; no more rows for pivots than there are pairs.
+    """
+    placed = pairs.withColumn("block", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.lit(SPREAD))))
     blocks = staged(placed.select("block", F.col("a").alias("class"), F.col("a").alias("component"),
                                   F.lit(False).alias("asks"))
                     .unionByName(placed.select("block", F.col("b").alias("class"),
@@ -368,11 +363,11 @@ def _open_links(open_: DataFrame, links: DataFrame, sets: DataFrame, percent: in
         if not mixed.limit(1).count():
             break
         bound = int(min(1.0, pivots / count) * (1 << 30))
-        marked = staged(lists.join(sized(mixed), "shingle").withColumn(
-            "pivot", F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < bound), "marked-lists")
-        chosen = staged(marked.where("pivot").select(
+        marked = lists.join(sized(mixed), "shingle").withColumn(
+            "pivot", F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < bound)
+        chosen = marked.where("pivot").select(
             "shingle", F.col("class").alias("b"), F.col("component").alias("own"),
-            F.col("n").alias("n_b"), F.col("place").alias("place_b")), "pivots")
+            F.col("n").alias("n_b"), F.col("place").alias("place_b"))
         # what both sets hold from the shared shingle on, if it is their first
         room = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1
         pairs = (marked.join(sized(chosen), "shingle")
@@ -381,11 +376,12 @@ def _open_links(open_: DataFrame, links: DataFrame, sets: DataFrame, percent: in
                  .select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b"))
                  .distinct())
         found = found.unionByName(_against(staged(pairs, "list-pairs"), sets, percent))
-        label = staged(components(links.unionByName(found)), "labels").select(
-            F.col("id").alias("class"), F.col("component").alias("now"))
-        lists = staged(marked.where("not pivot").join(label, "class", "left").select(
-            "shingle", "class", "n", "place", F.coalesce("now", "component").alias("component")),
-            "lists")
+        if pivots < count:
+            label = components(links.unionByName(found)).select(
+                F.col("id").alias("class"), F.col("component").alias("now"))
+            lists = staged(marked.where("not pivot").join(label, "class", "left").select(
+                "shingle", "class", "n", "place", F.coalesce("now", "component").alias("component")),
+                "lists")
     return found
 
 
