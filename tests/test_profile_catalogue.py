@@ -2,6 +2,8 @@
 
 import math
 
+from pyspark.sql import functions as F
+
 from helpers import rows
 
 from tiller.operators import catalogue, profile
@@ -100,3 +102,49 @@ def test_quality_scorecard(spark):
 
 def profile_row(df):
     return df.collect()[0]
+
+
+ODD = [("a", None, 1.0, None), (None, "a", 1.0, None), ("a", None, 1.0, [1, None]), ("", "a", 1.0, []),
+       ("a", "", 0.0, None), ("a", "", -0.0, None), ("ab", "c", None, None), ("a", "bc", None, None),
+       ("a", None, 1.0, None), (None, None, None, None), (None, None, None, None),
+       ("a", None, float("nan"), None), ("a", None, float("nan"), None), ("x" * 100000, "y", 2.0, [3])]
+
+
+def _odd(spark):
+    return spark.createDataFrame(ODD + ODD[:3], "`a.b` string, c string, d double, e array<int>")
+
+
+def test_fingerprints_tell_rows_apart_as_grouping_does(spark):
+    df = _odd(spark)
+    want = sorted(r["n"] for r in df.groupBy("`a.b`", "c", "d", "e").agg(F.count("*").alias("n")).collect())
+    assert sorted(r["_n"] for r in profile.row_groups(df).collect()) == want
+    row = profile.exact_duplicates(df).first()
+    assert (row["num_rows"], row["distinct_rows"], row["duplicates"]) == (
+        len(ODD) + 3, len(want), len(ODD) + 3 - len(want))
+
+
+def test_colliding_hashes_do_not_join_rows(spark):
+    """Forced collisions of the 64-bit hashes: the check part still tells the rows apart."""
+    df = _odd(spark)
+    *_, check = profile.row_fingerprint(df)
+    same = [F.lit(1).cast("long"), F.lit(2).cast("long"), check]
+    assert sorted(r["_n"] for r in profile.row_groups(df, fingerprint=same).collect()) == sorted(
+        r["_n"] for r in profile.row_groups(df).collect())
+
+
+def test_shuffled_rows_do_not_grow_with_the_text(spark):
+    """Duplicates, scorecard and summary shuffle fingerprints, not texts."""
+    def exchanged(op, width):
+        df = spark.range(3).select(F.current_date().alias("date"), F.col("id").alias("customer_id"),
+                                   F.lit(1).cast("long").alias("store_id"),
+                                   F.repeat(F.lit("x"), width).alias("products"))
+        plan = op(df)._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.splitlines() if "Exchange" in line and "products" in line]
+
+    for op in (profile.exact_duplicates, profile.quality_scorecard,
+               lambda df: profile.table_summary("t", df)):
+        assert exchanged(op, 10 ** 5) == []
+        plan = op(spark.createDataFrame([], "date date, customer_id long, products string"))
+        plan = plan._jdf.queryExecution().executedPlan().toString()
+        grouped = [x for x in plan.splitlines() if "HashAggregate(keys=[" in x and "products" in x]
+        assert grouped == []

@@ -6,6 +6,8 @@ import itertools
 import math
 import random
 
+import pytest
+
 from helpers import rows
 
 from tiller.operators import forecast, rules
@@ -83,9 +85,10 @@ def test_fill_months_and_naive(spark):
 
 
 def _hw_python(y, a, b, g, m=12, h=6):
-    lvl = sum(y[:m]) / m
-    trd = (sum(y[m:2 * m]) / m - lvl) / m
-    sea = [v - lvl for v in y[:m]]
+    first, second = y[:m], y[m:2 * m]
+    lvl = sum(first) / m
+    trd = (sum(second) / len(second) - sum(first[:len(second)]) / len(second)) / m if second else 0.0
+    sea = [v - lvl for v in first]
     sse = 0.0
     for t, v in enumerate(y):
         s = sea[t % m]
@@ -99,31 +102,71 @@ def _hw_python(y, a, b, g, m=12, h=6):
     return sse, [lvl + k * trd + sea[(n + k - 1) % m] for k in range(1, h + 1)]
 
 
-def test_holt_winters_matches_python_recursion(spark):
-    rnd = random.Random(2)
-    y = [100 + 2 * t + 15 * math.sin(2 * math.pi * t / 12) + rnd.uniform(-3, 3) for t in range(40)]
-    s = _series(spark, [round(v) for v in y], key=7)
-    hw = forecast.holt_winters(s, ("store_id",)).orderBy("month").collect()
-    a, b, g = hw[0]["alpha"], hw[0]["beta"], hw[0]["gamma"]
-    yy = [float(round(v)) for v in y]
-    best = min((_hw_python(yy, *w)[0], w) for w in itertools.product(
+def _fit_python(y):
+    """(sse, a, b, g): the best of the coarse grid, then of the neighbours of the best so far."""
+    best = coarse = min((_hw_python(y, *w)[0], *w) for w in itertools.product(
         forecast.ALPHAS, forecast.BETAS, forecast.GAMMAS))
-    assert (a, b, g) == best[1]
-    sse, fc = _hw_python(yy, a, b, g)
-    assert math.isclose(hw[0]["sse"], sse, rel_tol=1e-9)
+    for by, part in forecast.REFINEMENTS:
+        _, a, b, g = best
+        near = [(min(1.0, max(0.0, a + i * by)), min(1.0, b * (1 + j * part)), min(1.0, g * (1 + k * part)))
+                for i, j, k in itertools.product((-1, 0, 1), repeat=3)]
+        best = min((_hw_python(y, *w)[0], *w) for w in near)
+    return coarse, best
+
+
+def _wavy(seed, n):
+    rnd = random.Random(seed)
+    return [float(round(100 + 2 * t + 15 * math.sin(2 * math.pi * t / 12) + rnd.uniform(-9, 9)))
+            for t in range(n)]
+
+
+@pytest.mark.parametrize("n", [18, 23, 24, 40])
+def test_holt_winters_matches_python_search(spark, n):
+    y = _wavy(2, n)
+    s = _series(spark, [int(v) for v in y], key=7)
+    hw = forecast.holt_winters(s, ("store_id",)).orderBy("month").collect()
+    coarse, best = _fit_python(y)
+    for name, want in zip(("alpha", "beta", "gamma"), best[1:]):
+        assert math.isclose(hw[0][name], want, rel_tol=1e-9)
+    sse, fc = _hw_python(y, *best[1:])
+    assert math.isclose(hw[0]["sse"], sse, rel_tol=1e-9) and sse <= coarse[0]
     assert all(math.isclose(r["yhat"], f, rel_tol=1e-9) for r, f in zip(hw, fc))
-    assert hw[0]["month"] == D(2023, 5, 1) and hw[0]["method"] == "ExponentialSmoothing"
+    assert hw[0]["method"] == "ExponentialSmoothing"
+    assert len(hw) == 6 and hw[0]["month"] == D(2020 + n // 12, n % 12 + 1, 1)
+
+
+def test_refined_weights_come_near_a_fine_grid():
+    """The search ends at most a few per cent above a grid ten times as dense."""
+    fine = [x / 20 for x in range(21)]
+    for seed in range(4):
+        y = _wavy(seed, 36)
+        coarse, best = _fit_python(y)
+        dense = min(_hw_python(y, *w)[0] for w in itertools.product(fine, fine, fine))
+        assert best[0] <= coarse[0] and best[0] <= 1.1 * dense
 
 
 def test_forecast_gate(spark):
-    long_s = _series(spark, list(range(10, 40)), key=1)     # 30 months -> Holt-Winters
-    short_s = _series(spark, list(range(10, 30)), key=2)    # 20 months -> naive
-    out = forecast.forecast(long_s.unionByName(short_s), ("store_id",))
-    methods = {(r["store_id"], r["method"]) for r in out.collect()}
-    assert methods == {(1, "ExponentialSmoothing"), (2, "Naive-Seasonal-Avg")}
-    assert out.count() == 12
-    g = forecast.forecast(_series(spark, list(range(10, 30))).drop("store_id"))
-    assert {r["method"] for r in g.collect()} == {"Naive-Seasonal-Avg"}
+    """17 months take the naive mean, 18 are fitted; gaps count as months; the gate is a parameter."""
+    parts = [_series(spark, [int(v) for v in _wavy(n, n)], key=n) for n in (11, 17, 18, 23, 24, 30)]
+    gap = [5] * 9 + [None] * 3 + [7] * 6  # 15 months with data between the first and the 18th
+    every = parts[0]
+    for p in [*parts[1:], _series(spark, gap, key=99)]:
+        every = every.unionByName(p)
+    out = forecast.forecast(every, ("store_id",))
+    fitted, naive = "ExponentialSmoothing", "Naive-Seasonal-Avg"
+    assert {(r["store_id"], r["method"]) for r in out.collect()} == {
+        (11, naive), (17, naive), (18, fitted), (23, fitted), (24, fitted), (30, fitted), (99, fitted)}
+    assert out.count() == 7 * 6
+    later = forecast.forecast(every, ("store_id",), min_months=24)
+    assert {r["store_id"] for r in later.where(f"method = '{fitted}'").collect()} == {24, 30}
+    # a series of one season at most is never fitted, whatever the gate
+    early = forecast.forecast(every, ("store_id",), min_months=1)
+    assert {r["store_id"] for r in early.where(f"method = '{naive}'").collect()} == {11}
+    want = _hw_python(_wavy(18, 18), *_fit_python(_wavy(18, 18))[1][1:])[1]
+    got = [r["yhat"] for r in out.where("store_id = 18").orderBy("month").collect()]
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got, want))
+    g = forecast.forecast(_series(spark, list(range(10, 27))).drop("store_id"))
+    assert {r["method"] for r in g.collect()} == {naive}
 
 
 def test_empty_series(spark):

@@ -7,6 +7,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tiller.operators import cohorts, customers
 
@@ -69,6 +70,18 @@ def _noop(df):
     return lambda: df.write.format("noop").mode("overwrite").save()
 
 
+def test_previous_purchases_of_a_hot_customer_are_split(spark, skewed):
+    """A third of all rows are one customer's, and half of those are of one day."""
+    day = F.when((F.col("customer_id") == 1) & (F.rand(3) < 0.5), F.lit("2023-03-01").cast("date"))
+    df = skewed.withColumn("date", F.coalesce(day, "date")).persist()
+    df.count()
+    out = customers.previous_purchase(df)
+    assert _max_task_shuffle_read(spark, _noop(out)) < HOT // 2
+    each = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert each < HOT // 2 + N // 8 and out.count() == N
+    df.unpersist()
+
+
 def test_skewed_customer_aggregates_stay_spread(spark, skewed):
     skewed.count()
     for op in (customers.customer_gaps, customers.purchases_per_customer,

@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import rows
 
@@ -107,3 +108,33 @@ def test_cohorts(spark):
     assert fixed.columns == ["cohort_month", "0", "1", "2", "3"]
     with pytest.raises(Exception, match="not listed"):
         cohorts.retention_matrix(tx, indices=[0, 1]).collect()
+
+
+def test_previous_purchase(spark, monkeypatch):
+    """As a lag over all rows gives it, with days of many purchases cut into blocks."""
+    import random
+
+    monkeypatch.setattr(customers, "DAY_BLOCK", 4)
+    rnd = random.Random(1)
+    start = dt.date(2024, 1, 1)
+    data = [(start + dt.timedelta(days=rnd.randint(0, 20)) if rnd.random() > 0.05 else None,
+             rnd.choice([1, 1, 1, 2, 3, None])) for _ in range(300)] + [(start, 9)]
+    df = spark.createDataFrame(data, "date date, customer_id long")
+    want = []
+    for c in {c for _, c in data if c is not None}:
+        last = None
+        for d in sorted(d for d, x in data if x == c and d is not None):
+            want.append((c, d, last, None if last is None else (d - last).days))
+            last = d
+    key = repr
+    got = customers.previous_purchase(df)
+    assert got.columns == ["customer_id", "date", "prev_date", "gap_days"]
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
+    days = customers.purchase_days(df).agg(F.sum("purchases")).first()[0]
+    assert days == len(want)
+    # the mean of the gaps is what customer_gaps telescopes
+    means = {r["customer_id"]: r["m"] for r in got.groupBy("customer_id").agg(F.avg("gap_days").alias("m")).collect()}
+    for r in customers.customer_gaps(df).collect():
+        m = means[r["customer_id"]]
+        assert (m is None) == (r["mean_gap_days"] is None) and (m is None or abs(m - r["mean_gap_days"]) < 1e-9)
+    assert customers.previous_purchase(df.limit(0)).count() == 0

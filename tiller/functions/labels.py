@@ -42,6 +42,8 @@ RULES_TOP_K = 100
 QUANTILE_ACCURACY = 10000
 FORECAST_HORIZON = 6
 SEASON_LENGTH = 12
+# Months from which a series is fitted; shorter ones get the naive mean.
+HOLT_WINTERS_MIN_MONTHS = 18
 # Report rounding: decimals for shares, means and deviations; rule
 # measures and retention rates keep four.
 REPORT_DECIMALS = 2

@@ -19,6 +19,8 @@ from tiller.functions.columns import basket_size, basket_tokens, share_pct
 from tiller.functions.labels import CONCENTRATION_CUTS, QUANTILE_ACCURACY, TOP_PRODUCTS_K
 
 QUARTILES = (0.25, 0.5, 0.75)
+# Every token that casts to an integer has this form (a sign and blanks may surround it).
+INTEGER_FORM = "^[^0-9A-Za-z]*[0-9]+[^0-9A-Za-z]*$"
 # Ranges that spread products with the same number of units.
 RANGES = 64
 
@@ -191,11 +193,15 @@ def basket_outliers(tx: DataFrame, products: str = "products",
 def basket_items(tx: DataFrame, products: str = "products",
                  keep: Sequence[str] = ()) -> DataFrame:
     """P5: explode baskets into one row per item; non-integer tokens (empty
-    strings from double spaces, junk) are dropped.  (*keep, item)"""
+    strings from double spaces, junk) are dropped.  (*keep, item)
+
+    A failed cast costs an error each, so only tokens that can be integers -
+    digits without a letter or another digit group beside them - are cast at all.
+    """
     tok = F.explode(basket_tokens(products)).alias("_tok")
-    return (tx.select(*keep, tok)
-            .select(*keep, F.col("_tok").try_cast("bigint").alias("item"))
-            .where(F.col("item").isNotNull()))
+    item = F.when(F.col("_tok").rlike(INTEGER_FORM), F.col("_tok").try_cast("bigint"))
+    return (tx.select(*keep, tok).where(F.col("_tok").rlike(INTEGER_FORM))
+            .select(*keep, item.alias("item")).where(F.col("item").isNotNull()))
 
 
 def units_sold(items: DataFrame, item: str = "item") -> DataFrame:

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from tiller.functions.columns import month_start, share_pct, with_share_of_total
 from tiller.functions.labels import CUSTOMER_SEGMENTS, PURCHASE_FREQUENCY_K
 
+# Purchases of one day that a row stands for while they are spread.
+DAY_BLOCK = 1024
+
 
 def purchases_per_customer(tx: DataFrame, customer: str = "customer_id") -> DataFrame:
     """(customer_id, purchases)."""
@@ -128,6 +131,49 @@ def customer_gaps(tx: DataFrame, customer: str = "customer_id", date: str = "dat
     return g.select("customer_id", "purchases", gap.alias("mean_gap_days"))
 
 
+def purchase_days(tx: DataFrame, customer: str = "customer_id", date: str = "date") -> DataFrame:
+    """W1, a row for each day on which a customer buys.
+
+    (customer_id, date, purchases, prev_date, gap_days): the purchases of that day,
+    the customer's previous day with one and the days between; NULL for the first.
+
+    The scan over a customer's purchases is cut into segments, its days: inside a
+    day every purchase but the first follows another one of that day, so a
+    partially aggregated count says all of it, and only the last date of the
+    segment before is carried over.  The window spans the days of a customer - at
+    most those of the calendar, however many rows the customer holds.
+    Rows without a customer or a date have no previous purchase and are left out.
+    """
+    days = (tx.where(F.col(customer).isNotNull() & F.col(date).isNotNull())
+            .groupBy(F.col(customer).alias("customer_id"), F.col(date).alias("date"))
+            .agg(F.count(F.lit(1)).alias("purchases")))
+    before = F.lag("date").over(Window.partitionBy("customer_id").orderBy("date"))
+    return (days.withColumn("prev_date", before)
+            .withColumn("gap_days", F.datediff("date", "prev_date")))
+
+
+def previous_purchase(tx: DataFrame, customer: str = "customer_id", date: str = "date") -> DataFrame:
+    """(customer_id, date, prev_date, gap_days), a row for each purchase.
+
+    ``prev_date`` is the date of the customer's purchase before it in date order
+    (NULL for the first one); further purchases of a day follow one of the same
+    day, with gap 0.  The rows of a day come back from ``purchase_days`` in two
+    steps, blocks of ``DAY_BLOCK`` purchases that are spread over the tasks, then
+    the purchases of a block, so a day that holds a third of all rows is split.
+    """
+    days = purchase_days(tx, customer, date)
+    last_block = F.floor((F.col("purchases") - 1) / DAY_BLOCK)
+    parts = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = (days.withColumn("_block", F.explode(F.sequence(F.lit(0), last_block)))
+              .repartition(parts, "customer_id", "date", "_block"))
+    size = F.least(F.lit(DAY_BLOCK), F.col("purchases") - F.col("_block") * DAY_BLOCK)
+    each = blocks.withColumn("_nth", F.explode(F.sequence(F.lit(1), size.cast("int"))))
+    first = (F.col("_block") == 0) & (F.col("_nth") == 1)
+    return each.select("customer_id", "date",
+                       F.when(first, F.col("prev_date")).otherwise(F.col("date")).alias("prev_date"),
+                       F.when(first, F.col("gap_days")).otherwise(F.lit(0)).alias("gap_days"))
+
+
 def inter_purchase_days(tx: DataFrame, customer: str = "customer_id",
                         date: str = "date") -> DataFrame:
     """Mean over customers of each customer's mean gap in days.

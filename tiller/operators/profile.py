@@ -7,9 +7,12 @@ Every metric comes out of one aggregation pass per question, with partial
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tiller.functions.columns import is_missing, share_pct
 from tiller.operators._util import col, metric_rows
@@ -36,11 +39,48 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return counts.select(F.inline(F.array(*rows)))
 
 
-def _row_groups(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    keys = list(keys) if keys is not None else df.columns
+def row_fingerprint(df: DataFrame) -> list[Column]:
+    """Columns that are equal for rows equal in every column, and for no others.
+
+    Two 64-bit hashes of the values and an MD5 of the row as JSON, 256 bits in
+    all whatever the width of the row.  Every field is named in the JSON, so
+    NULLs, empty strings and values of neighbouring columns cannot be taken for one
+    another, and rows whose 64-bit hashes collide are still told apart.  Negative
+    zeros count as zeros, as in ``groupBy``.
+    """
+    cells = [(col(f.name) + F.lit(0.0)).cast(f.dataType).alias(f"c{i}")
+             if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else col(f.name).alias(f"c{i}")
+             for i, f in enumerate(df.schema.fields)]
+    gaps = F.concat_ws("", *[c.isNull().cast("int") for c in cells])
+    return [F.xxhash64(gaps, *cells).alias("_high"), F.xxhash64(F.lit(1), gaps, *cells).alias("_low"),
+            F.unhex(F.md5(F.to_json(F.struct(*cells)))).alias("_check")]
+
+
+def row_groups(df: DataFrame, carry: Sequence[Column] = (),
+                fingerprint: Sequence[Column] | None = None) -> DataFrame:
+    """(_n, *carry): a row for each distinct row of ``df``, found by its fingerprint.
+
+    What is shuffled are fingerprints, counts and the ``carry`` expressions, which
+    are the same for all rows of a group and narrow; never the rows themselves.
+    """
+    prints = list(fingerprint) if fingerprint is not None else row_fingerprint(df)
+    names = [f"_carry{i}" for i in range(len(carry))]
+    rows = df.select(*[p.alias(n) for p, n in zip(prints, ("_high", "_low", "_check"))],
+                     *[c.alias(n) for c, n in zip(carry, names)])
+    return rows.groupBy("_high", "_low", "_check").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.max(n).alias(n) for n in names]).drop(
+        "_high", "_low", "_check")
+
+
+def _key_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
 
 
+def missing_cells(df: DataFrame) -> Column:
+    """Missing values of a row."""
+    return reduce(add, [is_missing(f).cast("bigint") for f in df.schema.fields])
+
+
 def exact_duplicates(df: DataFrame) -> DataFrame:
     """A3: rows identical on every column.
 
@@ -51,8 +91,8 @@ def exact_duplicates(df: DataFrame) -> DataFrame:
 
 
 def duplicates_on(df: DataFrame, keys: Sequence[str] | None) -> DataFrame:
-    """A4: rows repeating a key (all columns when ``keys`` is None)."""
-    g = _row_groups(df, keys)
+    """A4: rows repeating a key (all columns, by fingerprint, when ``keys`` is None)."""
+    g = row_groups(df) if keys is None else _key_groups(df, keys)
     return g.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("num_rows"),
         F.count(F.lit(1)).alias("distinct_rows"),
@@ -131,14 +171,10 @@ def table_summary(name: str, df: DataFrame) -> DataFrame:
     (table_name, num_rows, num_columns, total_nulls, duplicates, duplicate_pct)
     """
     fields = df.schema.fields
-    g = _row_groups(df)
-    missing = [F.col("_n") * is_missing(f).cast("bigint") for f in fields]
-    total_missing = missing[0]
-    for m in missing[1:]:
-        total_missing = total_missing + m
+    g = row_groups(df, [missing_cells(df)])
     return g.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("num_rows"),
-        F.coalesce(F.sum(total_missing), F.lit(0)).cast("bigint").alias("total_nulls"),
+        F.coalesce(F.sum(F.col("_n") * F.col("_carry0")), F.lit(0)).cast("bigint").alias("total_nulls"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicates"),
     ).select(
         F.lit(name).alias("table_name"), "num_rows",
@@ -167,20 +203,16 @@ def quality_scorecard(tx: DataFrame, keys: Sequence[str] = ("date", "customer_id
     fact/dimension pair is given, integrity_pct.
     """
     fields = tx.schema.fields
-    g = _row_groups(tx)
-    missing = [F.col("_n") * is_missing(f).cast("bigint") for f in fields]
-    total_missing = missing[0]
-    for m in missing[1:]:
-        total_missing = total_missing + m
     d = F.col(f"`{date_col}`")
     outside = d.isNull()
     if period is not None:
         outside = outside | (d < F.lit(period[0]).cast("date")) | (d > F.lit(period[1]).cast("date"))
+    g = row_groups(tx, [missing_cells(tx), outside.cast("bigint"), *[col(k) for k in keys]])
     exact = g.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(total_missing), F.lit(0)).alias("nulls"),
+        F.coalesce(F.sum(F.col("_n") * F.col("_carry0")), F.lit(0)).alias("nulls"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("dups"),
-        F.coalesce(F.sum(F.when(outside, F.col("_n"))), F.lit(0)).alias("outside"))
+        F.coalesce(F.sum(F.col("_n") * F.col("_carry1")), F.lit(0)).alias("outside"))
     cells = F.col("rows") * F.lit(len(fields))
     parts = [metric_rows(exact, [
         ("nulls", F.col("nulls")),
@@ -189,9 +221,9 @@ def quality_scorecard(tx: DataFrame, keys: Sequence[str] = ("date", "customer_id
         ("exact_duplicates_pct", F.coalesce(share_pct("dups", "rows"), F.lit(0.0))),
         ("dates_outside_pct", F.coalesce(share_pct("outside", "rows"), F.lit(0.0))),
     ])]
-    # Key duplicates re-aggregate the already grouped rows (keys are a subset
-    # of all columns), so the table is shuffled once for both checks.
-    kd = (g.groupBy(*[col(k) for k in keys]).agg(F.sum("_n").alias("_k"))
+    # Key duplicates re-aggregate the already grouped rows (the keys, a few narrow
+    # columns, travel with them), so the table is read once for both checks.
+    kd = (g.groupBy(*[f"_carry{i + 2}" for i in range(len(keys))]).agg(F.sum("_n").alias("_k"))
           .agg(F.coalesce(F.sum("_k"), F.lit(0)).alias("_rows"),
                F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("duplicates"))
           .withColumn("duplicate_pct", F.coalesce(share_pct("duplicates", "_rows"), F.lit(0.0))))

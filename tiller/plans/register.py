@@ -619,6 +619,24 @@ def q_customer_gaps(spark, d):
     return customers.customer_gaps(fx.purchases(spark, d))
 
 
+@query("purchase_days", with_(TXL) + """
+SELECT customer_id, date, count(*) AS purchases,
+       lag(date) OVER (PARTITION BY customer_id ORDER BY date) AS prev_date,
+       CAST(date - lag(date) OVER (PARTITION BY customer_id ORDER BY date) AS INTEGER) AS gap_days
+FROM txl WHERE customer_id IS NOT NULL AND date IS NOT NULL GROUP BY customer_id, date""")
+def q_purchase_days(spark, d):
+    return customers.purchase_days(fx.purchases(spark, d))
+
+
+@query("previous_purchase", with_(TXL) + """
+SELECT customer_id, date, lag(date) OVER w AS prev_date,
+       CAST(date - lag(date) OVER w AS INTEGER) AS gap_days
+FROM txl WHERE customer_id IS NOT NULL AND date IS NOT NULL
+WINDOW w AS (PARTITION BY customer_id ORDER BY date)""")
+def q_previous_purchase(spark, d):
+    return customers.previous_purchase(fx.purchases(spark, d))
+
+
 @query("inter_purchase_days", with_(TXL, _GAPS) + f"""
 SELECT count(mean_gap_days) AS customers_with_gap, {r('avg(mean_gap_days)')} AS avg_days_between_purchases
 FROM gp""")
@@ -817,38 +835,57 @@ def q_transaction_summary(spark, d):
 # ---------------------------------------------------------------------------
 
 def _hw_sql(src: str, keys: list[str], horizon: int = 6, m: int = 12,
-            min_len: int = 24) -> str:
+            min_len: int = labels.HOLT_WINTERS_MIN_MONTHS) -> str:
     k = ", ".join(keys)
     kc = (k + ", ") if keys else ""
     part = f"PARTITION BY {k} " if keys else ""
     grid = ", ".join(f"({a}, {b}, {g})" for a in forecast.ALPHAS for b in forecast.BETAS
                      for g in forecast.GAMMAS)
-    return f""",
-arr AS (SELECT {kc}list(CAST(transactions AS DOUBLE) ORDER BY month) AS y, max(month) AS last
-        FROM {src} {('GROUP BY ' + k) if keys else ''} HAVING count(*) >= {min_len}),
-grid AS (SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(g AS DOUBLE) AS g
-         FROM (VALUES {grid}) v(a, b, g)),
-init AS (SELECT arr.*, grid.*,
+
+    def fit(i: int, candidates: str) -> str:
+        """Run the recursion for every candidate row of a round and keep the best."""
+        return f""",
+init{i} AS (SELECT {kc}y, last, a, b, g,
                 list_reduce(y[1:{m}], lambda acc, x: acc + x) / CAST({m} AS DOUBLE) AS l0,
-                list_reduce(y[{m + 1}:{2 * m}], lambda acc, x: acc + x) / CAST({m} AS DOUBLE) AS m2
-         FROM arr, grid),
-hw AS (
-  SELECT {kc}a, b, g, last, y, len(y) AS n, 0 AS t, l0 AS l, (m2 - l0) / CAST({m} AS DOUBLE) AS tr,
+                list_reduce(y[1:least({m}, len(y) - {m})], lambda acc, x: acc + x)
+                  / CAST(least({m}, len(y) - {m}) AS DOUBLE) AS m1,
+                list_reduce(y[{m + 1}:{2 * m}], lambda acc, x: acc + x)
+                  / CAST(least({m}, len(y) - {m}) AS DOUBLE) AS m2
+         FROM ({candidates}) c),
+hw{i} AS (
+  SELECT {kc}a, b, g, last, y, len(y) AS n, 0 AS t, l0 AS l, (m2 - m1) / CAST({m} AS DOUBLE) AS tr,
          list_transform(y[1:{m}], lambda v: v - l0) AS s, CAST(0.0 AS DOUBLE) AS sse
-  FROM init
+  FROM init{i}
   UNION ALL
   SELECT {kc}a, b, g, last, y, n, t + 1, l2, b * (l2 - l) + (1.0 - b) * tr,
          list_transform(s, lambda x, i: CASE WHEN i = k + 1 THEN g * (v - l2) + (1.0 - g) * sk ELSE x END),
          sse + (v - (l + tr + sk)) * (v - (l + tr + sk))
   FROM (SELECT *, a * (v - sk) + (1.0 - a) * (l + tr) AS l2
-        FROM (SELECT *, y[t + 1] AS v, s[t % {m} + 1] AS sk, t % {m} AS k FROM hw WHERE t < n) q) q2),
-fin AS (SELECT *, row_number() OVER ({part}ORDER BY sse, a, b, g) AS rn FROM hw WHERE t = n),
-best AS (SELECT * FROM fin WHERE rn = 1),
+        FROM (SELECT *, y[t + 1] AS v, s[t % {m} + 1] AS sk, t % {m} AS k FROM hw{i} WHERE t < n) q) q2),
+fin{i} AS (SELECT *, row_number() OVER ({part}ORDER BY sse, a, b, g) AS rn FROM hw{i} WHERE t = n),
+best{i} AS MATERIALIZED (SELECT * FROM fin{i} WHERE rn = 1)"""
+
+    rounds = fit(0, "SELECT arr.*, grid.* FROM arr, grid")
+    for i, (by, share) in enumerate(forecast.REFINEMENTS, start=1):
+        rounds += fit(i, f"""
+    SELECT {kc}y, last, least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), a + mi * CAST({by} AS DOUBLE))) AS a,
+           least(CAST(1 AS DOUBLE), b * (1.0 + mj * CAST({share} AS DOUBLE))) AS b,
+           least(CAST(1 AS DOUBLE), g * (1.0 + mk * CAST({share} AS DOUBLE))) AS g
+    FROM best{i - 1}, moves""")
+    return f""",
+arr AS (SELECT {kc}list(CAST(transactions AS DOUBLE) ORDER BY month) AS y, max(month) AS last
+        FROM {src} {('GROUP BY ' + k) if keys else ''} HAVING count(*) >= {min_len}),
+grid AS (SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(g AS DOUBLE) AS g
+         FROM (VALUES {grid}) v(a, b, g)),
+moves AS (SELECT CAST(i.range AS DOUBLE) AS mi, CAST(j.range AS DOUBLE) AS mj, CAST(k.range AS DOUBLE) AS mk
+          FROM range(-1, 2) i, range(-1, 2) j, range(-1, 2) k){rounds},
+best AS (SELECT * FROM best{len(forecast.REFINEMENTS)}),
 steps AS (SELECT range AS h FROM range(1, {horizon + 1}))
 SELECT {', '.join('best.' + x for x in keys) + (', ' if keys else '')}
        CAST(best.last + to_months(CAST(steps.h AS INTEGER)) AS DATE) AS month,
        {r(f'best.l + CAST(steps.h AS DOUBLE) * best.tr + best.s[(best.n + steps.h - 1) % {m} + 1]')} AS yhat,
-       '{labels.METHOD_HOLT_WINTERS}' AS method, best.a AS alpha, best.b AS beta, best.g AS gamma,
+       '{labels.METHOD_HOLT_WINTERS}' AS method, {r('best.a')} AS alpha,
+       {r('best.b')} AS beta, {r('best.g')} AS gamma,
        {r('best.sse')} AS sse
 FROM best, steps"""
 
@@ -859,8 +896,10 @@ SQL["forecast_holt_winters_store"] = ("WITH RECURSIVE " + with_(TXL, _STORE_SERI
 
 def _auto_sql() -> str:
     short_store = ("(SELECT * FROM sf WHERE store_id IN "
-                   "(SELECT store_id FROM sf GROUP BY store_id HAVING count(*) < 24)) shs")
-    short_global = "(SELECT * FROM gf WHERE (SELECT count(*) FROM gf) < 24) shg"
+                   "(SELECT store_id FROM sf GROUP BY store_id "
+                   f"HAVING count(*) < {labels.HOLT_WINTERS_MIN_MONTHS})) shs")
+    short_global = ("(SELECT * FROM gf WHERE (SELECT count(*) FROM gf) < "
+                    f"{labels.HOLT_WINTERS_MIN_MONTHS}) shg")
     parts = [
         ("'global'", "WITH RECURSIVE " + _hw_sql("gf", [])[2:]),
         ("'global'", "WITH " + _naive_sql(short_global, [])[2:]),

@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiller.functions.columns import basket_size, is_missing
+from tiller.functions.columns import basket_size
 from tiller.functions.labels import (
     FINE_COLUMNS,
     FORECAST_HORIZON,
@@ -70,29 +70,27 @@ def transaction_summary(tx: DataFrame, items: DataFrame, files: DataFrame | None
     names are a section of their own.
 
     Distinct counts treat NULL as a value, as ``distinct().count()`` does.
-    The transactions are shuffled once: every metric but the product count
-    is read from the rows grouped on all columns (duplicates collapse there).
+    The transactions are read once and shuffled as fingerprints with the few
+    narrow values that the metrics ask for; baskets never leave their task.
     """
-    fields = tx.schema.fields
-    g = tx.groupBy(*[F.col(f"`{f.name}`") for f in fields]).agg(F.count(F.lit(1)).alias("_n"))
-    miss = None
-    for f in fields:
-        m = F.col("_n") * is_missing(f).cast("bigint")
-        miss = m if miss is None else miss + m
+    size = basket_size("products").cast("bigint")
+    g = profile.row_groups(tx, [profile.missing_cells(tx), size, F.col("store_id"),
+                                F.col("customer_id"), F.col("date")])
+    missing, size, store, customer, date = (F.col(f"_carry{i}") for i in range(5))
+    n = F.col("_n")
 
     def distinct(c):
-        return (F.count_distinct(F.col(c)) + F.max(F.when(F.col(c).isNull(), 1).otherwise(0))).cast("bigint")
-
-    size = basket_size("products").cast("bigint")
-    main = g.agg(distinct("store_id").alias("stores"),
-                 F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("transactions"),
-                 distinct("customer_id").alias("customers"),
-                 F.min("date").alias("date_start"), F.max("date").alias("date_end"),
-                 F.try_divide(F.sum(size * F.col("_n")).cast("double"),
-                              F.sum(F.when(size.isNotNull(), F.col("_n"))).cast("double"))
+        return (F.count_distinct(c) + F.max(F.when(c.isNull(), 1).otherwise(0))).cast("bigint")
+
+    main = g.agg(distinct(store).alias("stores"),
+                 F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("transactions"),
+                 distinct(customer).alias("customers"),
+                 F.min(date).alias("date_start"), F.max(date).alias("date_end"),
+                 F.try_divide(F.sum(size * n).cast("double"),
+                              F.sum(F.when(size.isNotNull(), n)).cast("double"))
                  .alias("avg_basket_size"),
-                 F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("exact_duplicates"),
-                 F.coalesce(F.sum(miss), F.lit(0)).cast("bigint").alias("nulls"))
+                 F.coalesce(F.sum(n - 1), F.lit(0)).cast("bigint").alias("exact_duplicates"),
+                 F.coalesce(F.sum(n * missing), F.lit(0)).cast("bigint").alias("nulls"))
     prods = items.agg(F.count_distinct("item").alias("unique_products"))
     cols = ["stores", "transactions", "customers", "date_start", "date_end", "avg_basket_size",
             "exact_duplicates", "nulls", "unique_products"]
