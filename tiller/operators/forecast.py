@@ -179,14 +179,13 @@ def _refined(y: Column, coarse: Column, m: int) -> Column:
     one, none = F.lit(1.0), F.lit(0.0)
 
     def around(best, step):
-        def scored(move):
-            a = F.least(one, F.greatest(none, best["a"] + move["i"] * step["by"]))
-            b = F.least(one, best["b"] * (one + move["j"] * step["part"]))
-            g = F.least(one, best["g"] * (one + move["k"] * step["part"]))
-            return F.struct(_hw_state(y, a, b, g, m)["sse"].alias("sse"), a.alias("a"),
-                            b.alias("b"), g.alias("g"))
-
-        return F.array_min(F.transform(moves, scored))
+        near = F.transform(moves, lambda move: F.struct(
+            F.least(one, F.greatest(none, best["a"] + move["i"] * step["by"])).alias("a"),
+            F.least(one, best["b"] * (one + move["j"] * step["part"])).alias("b"),
+            F.least(one, best["g"] * (one + move["k"] * step["part"])).alias("g")))
+        return F.array_min(F.transform(near, lambda w: F.struct(
+            _hw_state(y, w["a"], w["b"], w["g"], m)["sse"].alias("sse"), w["a"].alias("a"),
+            w["b"].alias("b"), w["g"].alias("g"))))
 
     return F.aggregate(steps, coarse, around)
 
@@ -219,6 +218,9 @@ def _fitted(best: DataFrame, keys: Sequence[str], season: int) -> DataFrame:
 
     Rows without weights (short series) keep none.
     """
+    if keys:  # few bytes, much work: as many tasks as for the coarse grid
+        best = best.repartition(int(best.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                                *_keys(keys))
     fit = F.when(F.col("_best.a").isNotNull(), _refined(F.col("_y"), F.col("_best"), season))
     best = best.select(*_keys(keys), "_last", "_y", fit.alias("_best"))
     state = F.when(F.col("_best").isNotNull(), _hw_state(
