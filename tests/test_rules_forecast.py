@@ -175,6 +175,19 @@ def test_empty_series(spark):
     assert forecast.seasonal_naive(s, ("store_id",)).columns == ["store_id", "month", "yhat", "method"]
 
 
+def test_one_result_is_held_and_earlier_ones_stay_readable(spark):
+    data = [(["a", "b"],), (["a", "b", "c"],), (["b"],), (["a", "c"],)] * 5
+    clean = rules.clean_baskets(spark.createDataFrame(data, "items array<string>"))
+    first = rules.frequent_itemsets(clean, 0.1)
+    want = rows(first)
+    for _ in range(3):
+        rules.association_rules(clean, 0.1).count()
+    assert len(rules._MINED) == 1
+    assert rows(first) == want
+    rules.release()
+    assert rules._MINED == []
+
+
 def test_input_is_read_once(spark):
     """Each mining query passes over its input once."""
     seen = spark.sparkContext.accumulator(0)

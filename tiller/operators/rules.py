@@ -5,8 +5,9 @@ Baskets are de-duplicated first (FP-growth rejects a basket that repeats an
 item) and blank tokens are removed.  Fitting is an action run inside the
 operators: the cleaned baskets are held while they are counted and mined, so the
 input is read once, and released after; the itemsets stay held, for rules and
-later reads take them from there, until :func:`release`.  Itemsets and rules are reported with their items sorted and
-joined by ``,`` so the output does not depend on mining order.
+later reads take them from there, until the next mining run or :func:`release`; results
+read after that mine their itemsets again.  Itemsets and rules are reported with their
+items sorted and joined by ``,`` so the output does not depend on mining order.
 """
 
 from __future__ import annotations
@@ -44,10 +45,11 @@ def fit(baskets: DataFrame, min_support: float = RULES_MIN_SUPPORT,
 
 
 class Mined:
-    """A fitted model with its baskets' count and its itemsets, held."""
+    """A fitted model with its baskets' count and its itemsets, held; the last one alone."""
 
     def __init__(self, baskets: DataFrame, min_support: float, min_confidence: float,
                  num_partitions: int | None = None):
+        release()  # one result is held at a time
         held = baskets.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             self.n = held.count()
