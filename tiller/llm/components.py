@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tiller.llm.common import staged
 
+#: Links (two numbers each) that one task works off sooner than a shuffle starts.
+ONE_TASK = 100_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """``(id, component)`` of every id in ``links`` (a, b); ``component`` is the smallest id.
@@ -16,12 +19,16 @@ def components(links: DataFrame) -> DataFrame:
     A round is two aggregations; links never grow in number.  Each round's links
     are written to the shared folder, which keeps the plan short and survives
     lost executors.  The number of rounds grows with the logarithm of the size.
+    Links counted at ``ONE_TASK`` or fewer need no shuffle.
     """
     edges = staged(links.where("a != b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = _print(edges)
+    if before[0]["edges"] <= ONE_TASK:
+        edges = edges.coalesce(1)
     while before[0]["edges"]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(
+            F.col("b").alias("a"), F.col("a").alias("b")))))
         large = both.groupBy("a").agg(F.min("b").alias("low"))
         low = F.least("low", "a")
         # larger neighbours of a node go to the smallest node it knows
@@ -30,10 +37,12 @@ def components(links: DataFrame) -> DataFrame:
         small = starred.groupBy("a").agg(F.min("b").alias("low"))
         joined = starred.join(small, "a")
         # smaller neighbours, and the node itself, go to the smallest of them
-        edges = staged(joined.select(F.col("b").alias("a"), F.col("low").alias("b"))
-                       .unionByName(joined.select("a", F.col("low").alias("b")))
-                       .where("a != b").distinct(), "links")
+        edges = staged(joined.select(F.inline(F.array(
+            F.struct(F.col("b").alias("a"), F.col("low").alias("b")),
+            F.struct("a", F.col("low").alias("b"))))).where("a != b").distinct(), "links")
         after = _print(edges)
+        if after[0]["edges"] <= ONE_TASK:
+            edges = edges.coalesce(1)
         if after == before:
             break
         before = after

@@ -42,6 +42,10 @@ MORE_PIVOTS = 64
 #: Blocks over which the partners of one pivot are spread.
 SPREAD = 256
 SHINGLE, PERCENT = 5, 80
+#: Signatures (128 bytes and a name each) that may be broadcast.
+SIGNATURES = 100_000
+#: Earlier places that a row of a list remembers, so that a pair meets in few lists.
+BEFORE = 8
 #: Bytes of text that one numpy pass handles.
 SLICE = 1 << 19
 
@@ -244,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal sets are one class, represented by its smallest id
     classes = staged(linked.groupBy("class").agg(
         F.min("id").alias("id"), F.min("signature").alias("signature")), "classes")
-    sigs = classes.select("class", "signature")
+    sigs = sized(classes.select("class", "signature"), SIGNATURES)
 
     keys = staged(classes.select("class", "signature").mapInArrow(
         _index, "key long, slot int, class long"), "index-keys")
@@ -329,22 +333,26 @@ def _shingles(batches):
 
 
 def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
-    """``(shingle, class, n, place)``: the rarest shingles of each set (class, shingles).
+    """``(shingle, class, n, place, before)``: the rarest shingles of each set (class, shingles).
 
     Sets of n that share ``percent`` of their union share at least
     ceil(percent * n / 100); ordered alike, each has one of the shared ones among
     its first n - ceil(percent * n / 100) + 1.  Those of one set only take their
-    places but need no row.
+    places but need no row.  ``before`` are the last ``BEFORE`` shingles with an
+    earlier row: sets that share one of them have met already.
     """
     each = staged(sets.mapInArrow(_shingles, "shingle long, class long, n long"), "open-shingles")
     common = staged(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"),
                     "common-shingles")
     own = Window.partitionBy("class")  # one set: bounded by its text
-    rank = F.row_number().over(own.orderBy("sets", "shingle"))
+    rising = own.orderBy("sets", "shingle")
+    rank = F.row_number().over(rising)
     alone = F.col("n") - F.count(F.lit(1)).over(own)
     most = F.floor((100 - percent) * F.col("n") / 100) + 1  # n - ceil(percent * n / 100) + 1
     return (each.join(sized(common), "shingle").withColumn("place", rank + alone)
-            .where(F.col("place") <= most).select("shingle", "class", "n", "place"))
+            .where(F.col("place") <= most)
+            .withColumn("before", F.collect_list("shingle").over(rising.rowsBetween(-BEFORE, -1)))
+            .select("shingle", "class", "n", "place", "before"))
 
 
 def _open_links(open_: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -367,12 +375,15 @@ def _open_links(open_: DataFrame, links: DataFrame, sets: DataFrame, percent: in
             "pivot", F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < bound)
         chosen = marked.where("pivot").select(
             "shingle", F.col("class").alias("b"), F.col("component").alias("own"),
-            F.col("n").alias("n_b"), F.col("place").alias("place_b"))
-        # what both sets hold from the shared shingle on, if it is their first
+            F.col("n").alias("n_b"), F.col("place").alias("place_b"),
+            F.col("before").alias("before_b"))
+        # what both sets hold from the shared shingle on, if it is their first; a row
+        # is left out only for an earlier one, which has more room, in the same lists
         room = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1
         pairs = (marked.join(sized(chosen), "shingle")
                  .where((F.col("component") != F.col("own"))
-                        & ((100 + percent) * room >= percent * (F.col("n") + F.col("n_b"))))
+                        & ((100 + percent) * room >= percent * (F.col("n") + F.col("n_b")))
+                        & ~F.arrays_overlap("before", "before_b"))
                  .select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b"))
                  .distinct())
         found = found.unionByName(_against(staged(pairs, "list-pairs"), sets, percent))
@@ -380,7 +391,7 @@ def _open_links(open_: DataFrame, links: DataFrame, sets: DataFrame, percent: in
             label = components(links.unionByName(found)).select(
                 F.col("id").alias("class"), F.col("component").alias("now"))
             lists = staged(marked.where("not pivot").join(label, "class", "left").select(
-                "shingle", "class", "n", "place", F.coalesce("now", "component").alias("component")),
+                "shingle", "class", "n", "place", "before", F.coalesce("now", "component").alias("component")),
                 "lists")
     return found
 
