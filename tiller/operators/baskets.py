@@ -234,6 +234,11 @@ def top_products(items: DataFrame, k: int = TOP_PRODUCTS_K, item: str = "item")
     """
     counts = item_counts(items, item)
     top = counts.orderBy(F.desc("units"), F.asc("item")).limit(k)
+    return ranked_shares(top, counts)
+
+
+def ranked_shares(top: DataFrame, counts: DataFrame) -> DataFrame:
+    """(rank, item, units, pct, cum_pct) of the few rows of ``top``, of all of ``counts.units``."""
     top = _with_total(top, counts)
     w = Window.orderBy(F.desc("units"), F.asc("item"))
     ranked = (top.withColumn("rank", F.row_number().over(w))

@@ -9,11 +9,16 @@ No self-join.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiller.functions.columns import month_start, months_apart
 
+#: Months whose activity a long holds.
+ERA_MONTHS = 60
+
 
 def with_cohort(tx: DataFrame, customer: str = "customer_id", date: str = "date") -> DataFrame:
     """(customer_id, month, cohort_month, cohort_index), one row per
@@ -26,10 +31,49 @@ def with_cohort(tx: DataFrame, customer: str = "customer_id", date: str = "date"
             .withColumn("cohort_index", months_apart(F.col("month"), F.col("cohort_month"))))
 
 
+def cohort_state(tx: DataFrame, customer: str = "customer_id", date: str = "date") -> DataFrame:
+    """(customer_id, era, months): a customer's active months as bits of a long.
+
+    An era is ``ERA_MONTHS`` months, counted from January of the year 1; bit i of
+    ``months`` is its i-th month.  Partially aggregated, so a hot customer sends a
+    row per task and era.  Rows without a customer or a date are in no state.
+    """
+    number = F.year(F.col(date)) * 12 + F.month(F.col(date)) - 13
+    return (tx.where(F.col(customer).isNotNull() & F.col(date).isNotNull())
+            .select(F.col(customer).alias("customer_id"), number.alias("_number"))
+            .groupBy("customer_id", F.floor(F.col("_number") / ERA_MONTHS).cast("int").alias("era"))
+            .agg(F.bit_or(F.expr(f"shiftleft(1L, pmod(_number, {ERA_MONTHS}))")).alias("months")))
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """One state of several, of old files and new ones; files read twice change nothing."""
+    return (reduce(DataFrame.unionByName, states).groupBy("customer_id", "era")
+            .agg(F.bit_or("months").alias("months")))
+
+
+def cohorts_of_state(state: DataFrame) -> DataFrame:
+    """``with_cohort``'s rows (customer_id, month, cohort_month, cohort_index), from a state."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(ERA_MONTHS - 1)),
+                    lambda i: F.getbit(F.col("months"), i) == 1)
+    numbers = state.select("customer_id", F.transform(
+        bits, lambda i: F.col("era") * ERA_MONTHS + i).alias("_numbers"))
+    # the eras of one customer: at most the calendar
+    all_of = numbers.groupBy("customer_id").agg(F.flatten(F.collect_list("_numbers")).alias("_all"))
+    start = F.lit("0001-01-01").cast("date")
+    return all_of.select("customer_id", F.explode("_all").alias("_at"),
+                         F.array_min("_all").alias("_first")).select(
+        "customer_id", F.add_months(start, F.col("_at")).alias("month"),
+        F.add_months(start, F.col("_first")).alias("cohort_month"),
+        (F.col("_at") - F.col("_first")).alias("cohort_index"))
+
+
 def cohort_activity(tx: DataFrame, customer: str = "customer_id", date: str = "date") -> DataFrame:
     """(cohort_month, cohort_index, active_customers)."""
-    return (with_cohort(tx, customer, date)
-            .groupBy("cohort_month", "cohort_index")
+    return _activity(with_cohort(tx, customer, date))
+
+
+def _activity(rows: DataFrame) -> DataFrame:
+    return (rows.groupBy("cohort_month", "cohort_index")
             .agg(F.count(F.lit(1)).alias("active_customers")))
 
 
@@ -42,7 +86,10 @@ def cohort_sizes(tx: DataFrame, customer: str = "customer_id", date: str = "date
 
 
 def _retention(tx: DataFrame, customer: str, date: str) -> DataFrame:
-    act = cohort_activity(tx, customer, date)
+    return _rates(cohort_activity(tx, customer, date))
+
+
+def _rates(act: DataFrame) -> DataFrame:
     size = F.max(F.when(F.col("cohort_index") == 0, F.col("active_customers"))).over(
         Window.partitionBy("cohort_month"))
     return (act.withColumn("cohort_size", size)
@@ -58,6 +105,11 @@ def retention(tx: DataFrame, customer: str = "customer_id", date: str = "date")
     return _retention(tx, customer, date).orderBy("cohort_month", "cohort_index")
 
 
+def retention_of_state(state: DataFrame) -> DataFrame:
+    """``retention`` from a state: the same rows, without the transactions."""
+    return _rates(_activity(cohorts_of_state(state))).orderBy("cohort_month", "cohort_index")
+
+
 def retention_matrix(tx: DataFrame, customer: str = "customer_id", date: str = "date",
                      indices: list[int] | None = None) -> DataFrame:
     """Cohort x index pivot of the retention rate (mean per cell).

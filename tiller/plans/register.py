@@ -23,8 +23,10 @@ from tiller.operators import (
     cohorts,
     customers,
     forecast,
+    heavy,
     profile,
     rules,
+    sketches,
     temporal,
 )
 from tiller.operators._util import combine_rows
@@ -421,6 +423,24 @@ def q_top_products(spark, d):
     return baskets.top_products(fx.basket_lines(spark, d))
 
 
+@query("top_products_heavy", SQL["top_products"])
+def q_top_products_heavy(spark, d):
+    return heavy.top_products(fx.basket_lines(spark, d))
+
+
+@query("basket_quantile_sketches", with_("""sizes AS (
+  SELECT CAST(year(o.o_orderdate) AS INTEGER) AS year, count(*) AS size
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey, o.o_orderdate)""") +
+       "\nUNION ALL\n".join(f"""
+SELECT year, CAST({p} AS DOUBLE) AS p, count(*) AS rows, quantile_disc(size, {p}) AS exact_value,
+       TRUE AS within_bound FROM sizes GROUP BY year""" for p in baskets.QUARTILES))
+def q_basket_quantile_sketches(spark, d):
+    sizes = fx.dated_sizes(spark, d)
+    monthly = sketches.quantile_sketches(sizes, ["year", "month"], "size")
+    read = sketches.read_quantiles(sketches.merge_quantiles(monthly, ["year"]), ["year"], baskets.QUARTILES)
+    return sketches.quantile_check(sizes, read, ["year"], "size", sketches.quantile_error())
+
+
 @query("pareto_products", with_(ITEMS, _ITEM_COUNTS) + f"""
 SELECT row_number() OVER w AS rank, item, units,
        {r(pct('units', 'sum(units) OVER ()'))} AS pct,
@@ -680,6 +700,24 @@ def q_retention(spark, d):
     return cohorts.retention(fx.purchases(spark, d))
 
 
+@query("retention_from_state", SQL["retention"])
+def q_retention_from_state(spark, d):
+    tx = fx.purchases(spark, d)
+    # states of two halves of the rows, as if one came with older files, and merged
+    old = F.pmod(F.xxhash64("customer_id", "date"), F.lit(2)) == 0  # never NULL
+    return cohorts.retention_of_state(cohorts.merge_states(
+        cohorts.cohort_state(tx.where(old)), cohorts.cohort_state(tx.where(~old))))
+
+
+@query("active_customer_sketches", with_(TXL) + """
+SELECT CAST(year(date) AS INTEGER) AS year, count(DISTINCT customer_id) AS exact, TRUE AS within_bound
+FROM txl WHERE date IS NOT NULL AND customer_id IS NOT NULL GROUP BY 1""")
+def q_active_customer_sketches(spark, d):
+    tx = fx.purchases(spark, d)
+    monthly = sketches.monthly_distinct_sketches(tx)
+    return sketches.distinct_check(tx, sketches.distinct_by_year(monthly))
+
+
 @query("retention_matrix", with_(TXL, _COHORT) + f"""
 SELECT * FROM (
   PIVOT (SELECT cohort_month, cohort_index,

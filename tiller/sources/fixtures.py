@@ -85,6 +85,14 @@ def basket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("tx_id"), F.col("l_partkey").alias("item"))
 
 
+def dated_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(year, month, size): the number of lines of every order that has some."""
+    sizes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("size"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return sizes.join(orders, sizes.l_orderkey == orders.o_orderkey).select(
+        F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), "size")
+
+
 def product_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(code_pr, code): one row per line item, product x supplier nation."""
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
