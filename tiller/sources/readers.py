@@ -92,8 +92,8 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.select(row.alias("r")).select("r.*")
 
 
-def typed_transactions(raw: DataFrame) -> DataFrame:
-    """Typed projection of the raw transaction columns.
+def typed_transactions(raw: DataFrame, *keep: str) -> DataFrame:
+    """Typed projection of the raw transaction columns, and those of ``keep``.
 
     Unparsable dates and ids become NULL (counted later as missing); ids are
     BIGINT so that identifiers beyond the INT range survive at scale.
@@ -103,6 +103,7 @@ def typed_transactions(raw: DataFrame) -> DataFrame:
         F.col("store_id").try_cast("bigint").alias("store_id"),
         F.col("customer_id").try_cast("bigint").alias("customer_id"),
         F.col("products"),
+        *keep,
     )
 
 
