@@ -7,6 +7,7 @@ test tables (``region nation customer supplier part orders lineitem ...``).
 | store purchases | orders LEFT JOIN customer: store = customer nation |
 | transactions | store purchases LEFT JOIN documents on the key: products = the text (NULL where there is none) |
 | basket lines | lineitem(l_orderkey, l_partkey) - the exploded baskets |
+| dated sizes | lines per order JOIN orders: year, month, size |
 | product-category | lineitem JOIN supplier: product = l_partkey, category = s_nationkey |
 | categories | nation: id = n_nationkey, name = n_name |
 | order facts, line orders | the keys of orders and of the orders that have lines |
