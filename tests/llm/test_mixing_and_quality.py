@@ -79,6 +79,41 @@ def test_mix_of_overlapping_sources(spark):
     assert sum(t for _, t in by.values()) <= sum(targets.values()) + 3
 
 
+def test_mix_with_a_third_of_the_rows_alike(spark):
+    """Rows without an id, many of them equal: exact sums, whole multiples but for one row a source."""
+    rnd = random.Random(8)
+    rows = [(None, 7, "hot")] * 1500 + [(None, rnd.randint(1, 9), "hot") for _ in range(500)]
+    rows += [(i, rnd.randint(1, 30), rnd.choice("abc")) for i in range(2500)] + [(5, 3, "a")] * 40
+    docs = spark.createDataFrame(rows, "i long, n int, s string")
+
+    def mixed(docs):
+        taken, targets = mixing.mix(docs, "i", F.col("n"), F.array("s"))
+        return taken.collect(), targets
+
+    got, targets = mixed(docs.repartition(7))
+    assert sorted((str(r["i"]), r["size"], r["pattern"][0]) for r in got) == sorted(
+        (str(i), n, s) for i, n, s in rows)
+    sums, parts = defaultdict(int), defaultdict(int)
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        sums[r["pattern"][0]] += r["taken"]
+        parts[r["pattern"][0]] += r["taken"] % r["size"] != 0
+    assert all(abs(sums[s] - t) <= 1 for s, t in targets.items()) and max(parts.values()) <= 1
+    again, _ = mixed(docs.repartition(3))
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+@pytest.mark.parametrize("want", [0, 1, 12, 13, 399, 401, 799, 800])
+def test_pick_ends_among_alike_rows(spark, want):
+    """Against the plain walk through the rows in order."""
+    rows = spark.createDataFrame([(["p"], 5, None, 4, i) for i in range(200)],
+                                 "pattern array<string>, hash long, id long, size long, row long")
+    got = mixing.pick(rows, spark.createDataFrame([(["p"], want)], "pattern array<string>, want long"))
+    full, part = divmod(want, 4)
+    expected = [4] * full + [part] * (part > 0)
+    assert sorted(r["extra"] for r in got.collect()) == sorted(expected + [0] * (200 - len(expected)))
+
+
 def labelled(spark, n=1200):
     rnd = random.Random(4)
     words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne") for b in ("ra", "sen", "tor", "vi", "x")]

@@ -115,9 +115,13 @@ def _seeded(seed: int, *cols):
 def pick(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Adds ``extra``: size of the rows picked, about ``want`` tokens of each pattern.
 
-    ``rows`` has pattern, hash, id, size; ``wanted`` has pattern and want.  Rows
-    are picked in order of the hash up to ``want``, the last one in part.  Sums over 4096 bins of the hash find the bin where that ends, sums
-    over its 4096 bins the next; only the rows of that last bin are sorted.
+    ``rows`` has pattern, hash, id, size and row, a number of its own; ``wanted``
+    has pattern and want.  Rows are picked in order of the hash, id and size up to
+    ``want``, the last one in part.  Sums over 4096 bins of the hash find the bin
+    where that ends, sums over its 4096 bins the next; only the rows of that last
+    bin are sorted, those that are alike as one with their count.  If the end falls
+    among alike rows, they are picked the same way in order of a hash of their
+    number, which decides nothing, for they are alike.
     Tables with a row for each pattern, at most MOST_PATTERNS, are broadcast, so
     that a pattern with most rows stays where its rows are.
     """
@@ -143,16 +147,35 @@ def pick(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     marked = rows.join(F.broadcast(limits), "pattern", "left")
     inside = (F.col("b1") == F.col("c1")) & (F.col("b2") == F.col("c2"))
     below = (F.col("b1") < F.col("c1")) | (F.col("b1") == F.col("c1")) & (F.col("b2") < F.col("c2"))
-    w = Window.partitionBy("pattern", "edge").orderBy("hash", "id", "size")
-    last = (marked.where(inside).withColumn("edge", F.lit(True))
-            .withColumn("at", F.col("base") + F.sum("size").over(w.rowsBetween(
-                Window.unboundedPreceding, 0)) - F.col("size"))
-            .withColumn("extra", F.greatest(F.lit(0), F.least(
-                F.col("size"), F.col("want") - F.col("at")))))
+    names = [c for c in rows.columns if c not in ("b1", "b2")] + ["extra"]
     rest = marked.where(F.coalesce(~inside, F.lit(True))).withColumn(
         "extra", F.when(F.coalesce(below, F.lit(False)), F.col("size")).otherwise(0))
-    names = [c for c in rows.columns if c not in ("b1", "b2")] + ["extra"]
-    return rest.select(*names).unionByName(last.select(*names))
+    # rows that are alike in all that orders them are one group, however many they are
+    w = Window.partitionBy("pattern").orderBy("hash", "id", "size")
+    groups = (marked.where(inside).groupBy("pattern", "want", "base", "hash", "id", "size")
+              .agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("at", F.col("base") + F.sum(F.col("n") * F.col("size")).over(
+                  w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") * F.col("size")))
+    left = F.greatest(F.lit(0), F.least(F.col("n") * F.col("size"), F.col("want") - F.col("at")))
+    cut = (F.col("n") > 1) & (left > 0) & (left < F.col("n") * F.col("size"))
+    groups = staged(groups.select(
+        F.col("pattern").alias("of_pattern"), F.col("hash").alias("of"), F.col("id").alias("of_id"),
+        F.col("size").alias("of_size"), left.alias("left"), cut.alias("cut")), "mix-edge")
+    last = marked.where(inside).join(groups, (
+        F.col("pattern") == F.col("of_pattern")) & (F.col("hash") == F.col("of"))
+        & F.col("id").eqNullSafe(F.col("of_id")) & (F.col("size") == F.col("of_size")))
+    out = rest.select(*names).unionByName(last.where("not cut").withColumn(
+        "extra", F.least("size", "left")).select(*names))
+    split = groups.where("cut")
+    if split.isEmpty():
+        return out
+    # the one group of a pattern that is taken in part: alike rows, ordered by their number
+    alike = (last.where("cut").select(*names[:-1]).withColumnRenamed("hash", "_hash")
+             .withColumn("hash", F.xxhash64("row")).withColumnRenamed("id", "_id")
+             .withColumn("id", F.col("row")))
+    again = pick(alike, split.select(F.col("of_pattern").alias("pattern"), F.col("left").alias("want")))
+    again = again.drop("hash", "id").withColumnsRenamed({"_hash": "hash", "_id": "id"})
+    return out.unionByName(again.select(*names))
 
 
 def mix(docs: DataFrame, id_col: str, size_col, sources_col, seed: int = 7,
@@ -162,12 +185,14 @@ def mix(docs: DataFrame, id_col: str, size_col, sources_col, seed: int = 7,
     ``size_col`` gives a row's tokens and ``sources_col`` the array of sources it
     belongs to.  ``taken`` counts repetitions: a whole number of times the size,
     but for one document of a pattern, of which the first words fill the rest.
-    Repeated rows are documents of their own; rows of size 0 take 0; a NULL
-    source is a source; an empty table gives no rows.  Reruns agree.
+    Repeated rows are documents of their own; rows of size 0 or NULL
+    take 0; a NULL source is a source; an empty table gives no rows.  Reruns agree.
     """
-    rows = staged(docs.select(F.col(id_col).alias("id"), size_col.cast("long").alias("size"),
-                              F.array_sort(F.array_distinct(sources_col)).alias("pattern")),
-                  "mix-sizes").withColumn("hash", _seeded(seed, F.col("id")))
+    rows = staged(docs.select(F.col(id_col).alias("id"), F.coalesce(
+                                  size_col.cast("long"), F.lit(0)).alias("size"),
+                              F.array_sort(F.array_distinct(sources_col)).alias("pattern"),
+                              F.monotonically_increasing_id().alias("row")),
+                  "mix-sizes").withColumn("hash", _seeded(seed, F.col("id"), F.col("size")))
     sums = rows.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
