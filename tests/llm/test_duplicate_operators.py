@@ -214,6 +214,25 @@ def brute_repeats(rows, length):
     return sorted(out)
 
 
+def test_lines_of_rows_without_an_id(spark):
+    """A third of all rows is the one document without an id; each loses its own lines only."""
+    lines = [f"line number {n:04} of the one document" for n in range(400)]
+    rows = [(None, f"{lines[n]}\nkept {n}") for n in range(400)]
+    rows += [(i, f"{lines[i % 400]}\n{lines[(7 * i) % 400]}\nown {i}") for i in range(800)]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    holders = {}
+    for i, text in rows:
+        for line in set(text.split("\n")):
+            if len(line) >= 20:
+                holders.setdefault(line, set()).add(-1 if i is None else i)
+    want = []
+    for i, text in rows:
+        stay = [x for x in text.split("\n") if len(holders.get(x, ())) < 3
+                or max(holders[x]) == (-1 if i is None else i)]
+        want.append((str(i), "\n".join(stay)))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted(want)
+
+
 def test_repeats(spark, corpus):
     for length, gram, block in ((40, 9, 8), (400, 49, 32)):
         got = remove_repeats(corpus.frame(spark), length=length, gram=gram, block=block).drop("kept")

@@ -33,19 +33,20 @@ def line_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
 def _keys(min_chars: int):
     def emit(batches):
         for batch in batches:
-            ids = batch.column("id").to_pylist()
-            for a in range(0, len(ids), 500):
-                owners, high = [], []
-                for i, text in zip(ids[a : a + 500],
-                                   batch.column("text")[a : a + 500].to_pylist(), strict=True):
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                counts, high = [], []
+                for text in part.column("text").to_pylist():
                     own = {line_key(line, min_chars) for line in text.split("\n")}
                     own.discard(None)
                     high += own
-                    owners += [i] * len(own)
+                    counts.append(len(own))
+                owners = pa.array(np.repeat(np.arange(len(counts)), counts))
                 pair = np.frombuffer(b"".join(high), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(owners, batch.schema.field("id").type),
-                     pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["id", "k1", "k2"])
+                    [part.column("id").take(owners), part.column("text_key").take(owners),
+                     pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())],
+                    ["id", "text_key", "k1", "k2"])
 
     return emit
 
@@ -85,18 +86,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all of them stay.  A NULL text is an empty one, with one empty line.  Rows
     that share an id are one document (each still gives a row); a NULL id
     counts as one document, below all others.  Other columns are ignored.
+
+    The keys that a text loses are gathered by id and text, so a list is never
+    longer than the text it belongs to, however many rows share an id.
     """
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text"))
+    text = text_or_empty(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"),
+                       F.xxhash64(text).alias("text_key"))
     kind = rows.schema["id"].dataType.simpleString()
-    held = staged(rows.mapInArrow(_keys(min_chars), f"id {kind}, k1 long, k2 long"), "line-keys")
+    held = staged(rows.mapInArrow(
+        _keys(min_chars), f"id {kind}, text_key long, k1 long, k2 long"), "line-keys")
     # a read table, so that the rows of a hot line can be split in the join
-    shared = staged(held.distinct().groupBy("k1", "k2")
+    shared = staged(held.select("id", "k1", "k2").distinct().groupBy("k1", "k2")
                     .agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("keeper"))
                     .where(F.col("n_docs") >= min_docs), "shared-lines")
     dropped = (held.join(shared, ["k1", "k2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
-               .groupBy("id").agg(F.collect_set(F.struct("k1", "k2")).alias("dropped"))
-               .withColumnRenamed("id", "of"))
-    joined = rows.join(dropped, F.col("id").eqNullSafe(F.col("of")), "left")
+               .groupBy(F.col("id").alias("of"), F.col("text_key").alias("of_text"))
+               .agg(F.collect_set(F.struct("k1", "k2")).alias("dropped")))
+    joined = rows.join(dropped, F.col("id").eqNullSafe(F.col("of"))
+                       & (F.col("text_key") == F.col("of_text")), "left")
     return (joined.select("id", "text", "dropped")
             .mapInArrow(_rebuild(min_chars), f"id {kind}, n_lines long, n_dropped long, text string")
             .withColumnRenamed("id", id_col))
