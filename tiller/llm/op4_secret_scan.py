@@ -28,22 +28,38 @@ MIN_VALUE = 8
 MOST_OWNERS, MOST_REPOSITORIES = 2, 4
 #: A live-looking value has at least so many distinct characters, and digits.
 MIN_DISTINCT = 8
+#: Matches of one text whose positions are added up at a time.
+BLOCK = 512
 
 _SPAN = "struct<start:int,no:int,kind:string,stop:int,value:string>"
 
 
-def _spans(no: int, kind: str, pattern: str, group: int, possible: Column) -> Column:
-    """Spans of all matches, leftmost and without overlap.
-
-    The texts between the matches and the matches themselves, in turn, add up to
-    the positions.
-    """
+def _matches(pattern: str, group: int, possible: Column) -> Column:
+    """Lengths of all matches, leftmost and without overlap, of the gaps before them, and values."""
     found = F.when(possible, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
     parts = F.arrays_zip(
         F.transform(F.split("text", pattern, -1), F.char_length).alias("gap"),
         F.transform(found, F.char_length).alias("own"),
         F.regexp_extract_all("text", F.lit(pattern), F.lit(group)).alias("value"))
+    # the last gap has no match
+    return F.when(F.size(found) > 0, F.filter(parts, lambda x: x["own"].isNotNull()))
+
+
+def _blocks(matches: str) -> Column:
+    """A column of matches in blocks of BLOCK."""
+    last = F.greatest(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int"))
+    return F.when(F.size(matches) > 0, F.transform(
+        F.sequence(F.lit(0), last),
+        lambda b: F.slice(matches, b * BLOCK + 1, BLOCK)))
 
+
+def _spans(no: int, kind: str, blocks: str) -> Column:
+    """Spans of all matches in a column of blocks.
+
+    The texts between the matches and the matches themselves, in turn, add up to
+    the positions: first block by block, then within each, so that no list grows
+    by one match at a time beyond a block.
+    """
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + x["gap"]
         stop = start + x["own"]
@@ -52,10 +68,18 @@ def _spans(no: int, kind: str, pattern: str, group: int, possible: Column) -> Co
         return F.struct(stop.alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))
 
     none = F.array().cast(f"array<{_SPAN}>")
-    begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    whole = F.filter(parts, lambda x: x["own"].isNotNull())  # the last gap has no match
-    return F.when(F.size(found) > 0,
-                  F.aggregate(whole, begin, step, lambda a: a["spans"])).otherwise(none)
+    sums = F.transform(blocks, lambda m: F.aggregate(
+        m, F.lit(0), lambda a, x: a + x["gap"] + x["own"]))
+    starts = F.aggregate(
+        sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda a, n: F.struct((a["at"] + n).alias("at"),
+                              F.concat(a["starts"], F.array(a["at"])).alias("starts")),
+        lambda a: a["starts"])
+    each = F.transform(
+        F.arrays_zip(F.col(blocks).alias("matches"), starts.alias("start")),
+        lambda b: F.aggregate(b["matches"], F.struct(b["start"].alias("at"), none.alias("spans")),
+                              step, lambda a: a["spans"]))
+    return F.coalesce(F.flatten(each), none)
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, owner: Column, repository: Column
@@ -67,17 +91,26 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner: Column, repos
         names = names | lowered.contains(name)
     base = docs.select(F.col(id_col).alias("id"), owner.alias("owner"),
                        repository.alias("repository"), text_or_empty(F.col(text_col)).alias("text"))
+    found = {
+        "assign": _matches(ASSIGN, 2, names),
+        "access": _matches(ACCESS, 0, F.col("text").contains("AKIA")),
+        "hex": _matches(HEX, 0, F.lit(True)),
+        "token": _matches(TOKEN, 0, F.lit(True)),
+    }
+    kept = ["id", "owner", "repository"]
+    # a lambda evaluates what it closes over for each element, so every array it
+    # looks into is a column of the step before
+    matches = base.select(*kept, *(c.alias(kind) for kind, c in found.items()))
+    blocks = matches.select(*kept, *(_blocks(kind).alias(kind) for kind in found))
+    spans = {kind: _spans(no, kind, kind) for no, kind in enumerate(found)}
     kinds = [
-        F.filter(_spans(0, "assign", ASSIGN, 2, names),
-                 lambda s: F.char_length(s["value"]) >= MIN_VALUE),
-        _spans(1, "access", ACCESS, 0, F.col("text").contains("AKIA")),
-        _spans(2, "hex", HEX, 0, F.lit(True)),
-        F.filter(_spans(3, "token", TOKEN, 0, F.lit(True)),
-                 lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]")
+        F.filter(spans["assign"], lambda s: F.char_length(s["value"]) >= MIN_VALUE),
+        spans["access"], spans["hex"],
+        F.filter(spans["token"], lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]")
                  & s["value"].rlike("[A-Z]")),
     ]
-    return base.select(F.monotonically_increasing_id().alias("row"), "id", "owner", "repository",
-                       F.concat(*kinds).alias("spans"))
+    return blocks.select(F.monotonically_increasing_id().alias("row"), *kept,
+                         F.concat(*kinds).alias("spans"))
 
 
 def live_looking(value: Column) -> Column:

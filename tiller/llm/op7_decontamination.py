@@ -105,10 +105,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     for k in short:
         item_windows = item_windows.unionByName(
             _windows(item_words.where(F.size("words") == k), ["item"], [k]))
-    item_windows = item_windows.groupBy("width", "hash").agg(
-        F.collect_set("item").alias("items"))
+    # rows of a few numbers only: a window's items are joined to its hits, never listed by window
+    item_windows = staged(item_windows.select("width", "hash", "item").distinct(), "item-windows")
+    windows = staged(item_windows.select("width", "hash").distinct(), "windows")
     hits = staged(_windows(suspect_words, ["key"], lengths)
-                  .join(sized(staged(item_windows, "item-windows")), ["width", "hash"]).select("key", "at", "width", "items"),
+                  .join(sized(windows), ["width", "hash"]).select("key", "at", "width", "hash"),
                   "window-hits")
     spans = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(
         "at", (F.col("at") + F.col("width")).alias("stop")))).alias("spans"))
@@ -118,8 +119,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
             (a["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(a["end"], s["at"]))).alias("n"),
             F.greatest(a["end"], s["stop"]).alias("end")),
         lambda a: a["n"])
-    found = hits.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(
-        F.array_sort(F.collect_list("item")).alias("items"))
+    found = (hits.select("key", "width", "hash").distinct()
+             .join(item_windows.where("item is not null"), ["width", "hash"])
+             .select("key", "item").distinct()
+             .groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items")))
     # a read table, so that the rows of many copies of one text can be split
     marked = staged(spans.select("key", n_hit.alias("n_hit")).join(found, "key", "left"), "marked")
     return prints.select("id", "key", "n_words").join(marked, "key", "left").select(
