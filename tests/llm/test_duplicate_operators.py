@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -307,3 +308,62 @@ def test_anchors_refuse_more_than_positions_can_name():
     data = np.zeros((1 << 22) + 1, np.uint8)
     with pytest.raises(ValueError):
         anchors(data, np.zeros(len(data), bool))
+
+
+def brute_repeat_words(texts, size):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = Counter(tuple(w[i:i + size]) for w in words for i in range(len(w) - size + 1))
+    return [len({j for i in range(len(w) - size + 1) if seen[tuple(w[i:i + size])] > 1
+                 for j in range(i, i + size)}) for w in words]
+
+
+def test_passages_of_words_are_counted_where_too_short_to_be_removed(spark):
+    """Passages of over 50 words under 400 bytes, behind other spaces, in part, and twice in a text."""
+    import random
+
+    rnd = random.Random(4)
+
+    def junk(n):
+        return " ".join("".join(rnd.choice("abcdé") for _ in range(rnd.randrange(3, 7)))
+                        for _ in range(n))
+
+    passage = junk(60)
+    assert len(passage.encode()) < 400
+    words = passage.split(" ")
+    texts = [f"{junk(30)} {passage} {junk(9)}", f"{passage}\n{junk(70)}", "\t\n ".join(words),
+             f"{junk(5)} {' '.join(words[4:55])} {junk(80)}",  # 51 words
+             f"{junk(5)} {' '.join(words[4:54])} {junk(80)}",  # 50 words
+             f"{junk(200)}", f"{junk(51)}", "", None, "a " * 51, "b " * 52, "c " * 50]
+    twice = junk(55)
+    texts += [f"{twice} {junk(3)} {twice}", junk(90)] + [junk(120)] * 2
+    got = {r["doc_id"]: r for r in remove_repeats(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+        passages=(51, 12, 8)).collect()}
+    assert [got[i]["n_repeat_words"] for i in range(len(texts))] == brute_repeat_words(texts, 51)
+    assert [got[i]["n_repeat_words"] for i in range(5)] == [60, 60, 60, 51, 0]
+    assert [got[i]["n_removed"] for i in range(5)] == [0] * 5
+    assert brute_repeats(list(enumerate(texts)), 400) == sorted(
+        (str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
+        for r in got.values())
+
+
+def test_passages_of_parts_of_runs(spark, corpus):
+    import random
+
+    rnd = random.Random(9)
+    run = [rnd.choice(["x", "yy", "zzz"]) for _ in range(90)]
+    rows = []
+    for i in range(40):
+        a = rnd.randrange(70)
+        own = [f"{i}_{j}" for j in range(rnd.randrange(12))]
+        rows.append((i, " ".join(own + run[a:a + rnd.randrange(8, 50)] + own[::-1])))
+    rows += [(90, "u " * 60), (91, "v " * 12), (92, "w " * 13)]
+    got = dict(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"),
+                              passages=(12, 5, 4)).select("doc_id", "n_repeat_words").collect())
+    assert [got[d] for d, _ in rows] == brute_repeat_words([t for _, t in rows], 12)
+    for size in ((12, 5, 4), (51, 12, 8)):
+        more = remove_repeats(corpus.frame(spark), length=40, gram=9, block=8, passages=size)
+        expected = brute_repeat_words([r[1] for r in corpus.rows], size[0])
+        assert sorted((str(r["doc_id"]), r["n_repeat_words"]) for r in more.collect()) == sorted(
+            (str(r[0]), n) for r, n in zip(corpus.rows, expected))
+    assert remove_repeats(corpus.empty(spark), passages=(51, 12, 8)).count() == 0

@@ -153,10 +153,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which :func:`span_hash` gets any span's hash."""
+    """Prefix sums from which :func:`span_hash` gets any span's hash (of bytes, or of hashes)."""
     out = np.zeros(len(data) + 1, np.uint64)
     up, _ = powers(max(1, len(data)))
-    np.cumsum(_BYTE[data] * up[: len(data)], out=out[1:])
+    values = _BYTE[data] if data.dtype == np.uint8 else data
+    np.cumsum(values * up[: len(data)], out=out[1:])
     return out
 
 

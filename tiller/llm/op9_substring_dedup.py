@@ -13,6 +13,9 @@ nobody shares are settled too.  The rest go on with a range cut into blocks, the
 into single strings, always within the buckets found so far; one member of each
 settled class goes with them, for others may share a part of it.  Buckets are
 aggregations and joins on identifiers, so no bucket is ever gathered in a task.
+
+Strings are of bytes, or of words: the same refinement on the words' hashes finds
+passages of many words that are too short in bytes to be removed.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +36,15 @@ from tiller.llm.common import (
     span_hash,
     staged,
     text_or_empty,
+    word_hashes,
 )
 
 LENGTH = 400
 GRAM = 49
 BLOCK = 32
-#: Window starts of one text that are handled at once.
+#: Words, grams and blocks of the passages that are counted: over 50 words.
+PASSAGE, PASSAGE_GRAM, PASSAGE_BLOCK = 51, 12, 8
+#: Window starts that are handled at once.
 SEGMENT = 1 << 20
 _POSITION = np.uint64((1 << 22) - 1)
 _NODE = "text_key long, pos long, lo int, hi int, core long, hull long, weight long"
@@ -80,44 +87,33 @@ def _with_range(hashes, lo, hi):
     return mix(hashes ^ (lo * 1024 + hi + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _laid(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    ends = np.cumsum([len(r) for r in raw])
-    return np.frombuffer(b"".join(raw), np.uint8), ends - [len(r) for r in raw]
-
+def byte_units(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts, one after another, and each text's first (one entry more)."""
+    ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], ends))
 
-def _pieces(raw: list[bytes], length: int):
-    """Texts long enough, in slices; a huge one in overlapping segments of its own.
 
-    Yields lists of (index, offset in the text, bytes).
-    """
-    fits = []
-    for i, text in enumerate(raw):
-        if len(text) > SEGMENT + length:
-            for at in range(0, len(text) - length + 1, SEGMENT):
-                yield [(i, at, text[at : at + SEGMENT + length - 1])]
-        elif len(text) >= length:
-            fits.append(i)
-    for a, b in slices([raw[i] for i in fits]):
-        yield [(i, 0, raw[i]) for i in fits[a:b]]
-
-
-def _first_nodes(length: int, gram: int):
+def _first_nodes(length: int, gram: int, units):
     def emit(batches):
         for batch in batches:
+            # a text has as many bytes as units, or more
+            batch = batch.filter(pc.greater_equal(pc.binary_length(batch.column("text")), length))
             keys = batch.column("text_key").to_numpy()
             raw = [t.encode() for t in batch.column("text").to_pylist()]
-            for piece in _pieces(raw, length):
-                data, begin = _laid([p[2] for p in piece])
-                sizes = np.asarray([len(p[2]) for p in piece])
+            for a, b in slices(raw):
+                data, bounds = units(raw[a:b])
                 valid = np.zeros(len(data), bool)
-                for s, n in zip(begin.tolist(), sizes.tolist(), strict=True):
-                    valid[s : s + n - length + 1] = True
-                anchor, low, high, core, hull = anchors(data, valid, length, gram)
-                owner = np.searchsorted(begin, low, "right") - 1
-                offset = np.asarray([p[1] for p in piece]) - begin
-                index = np.asarray([p[0] for p in piece])
-                yield _batch(keys[index[owner]], anchor + offset[owner], anchor - high,
-                             anchor - low, core, hull, np.ones(len(anchor), np.int64))
+                for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    valid[s : max(s, e - length + 1)] = True
+                for at in range(0, len(data) - length + 1, SEGMENT):
+                    end = at + SEGMENT
+                    if not valid[at:end].any():
+                        continue
+                    anchor, low, high, core, hull = anchors(
+                        data[at : end + length - 1], valid[at:end], length, gram)
+                    owner = np.searchsorted(bounds, low + at, "right") - 1
+                    yield _batch(keys[a:b][owner], anchor + at - bounds[owner], anchor - high,
+                                 anchor - low, core, hull, np.ones(len(anchor), np.int64))
 
     return emit
 
@@ -130,7 +126,7 @@ def _batch(key, pos, lo, hi, core, hull, weight) -> pa.RecordBatch:
         ["text_key", "pos", "lo", "hi", "core", "hull", "weight"])
 
 
-def _finer(step: int, length: int):
+def _finer(step: int, length: int, units):
     """Cuts nodes' ranges at multiples of ``step`` and names the cores and hulls of the parts."""
     def emit(batches):
         for batch in batches:
@@ -138,7 +134,7 @@ def _finer(step: int, length: int):
             raw = [t.encode() for t in batch.column("text").to_pylist()]
             nodes = batch.column("nodes")
             for a, b in slices(raw, most=1 << 19):
-                data, begin = _laid(raw[a:b])
+                data, begin = units(raw[a:b])
                 prefix = prefix_hash(data)
                 own = nodes[a:b]
                 flat = own.flatten()
@@ -185,16 +181,17 @@ def refine(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return repeats, on
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK
-                   ) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK,
+                   units=byte_units) -> DataFrame:
     """``(text_key, spans)`` of the texts with repeats in ``docs`` (text_key, text).
 
     ``spans`` lists (start, stop) of runs of bytes in strings of ``length`` bytes
     that occur at two positions or more; they may overlap.  Every row counts.
+    With ``word_hashes`` as ``units``, all these are words instead.
     """
     if (length - gram + 1) % block:
         raise ValueError("the blocks must divide the offsets")
-    nodes = staged(docs.mapInArrow(_first_nodes(length, gram), _NODE), "anchors")
+    nodes = staged(docs.mapInArrow(_first_nodes(length, gram, units), _NODE), "anchors")
     found, on = refine(nodes)
     texts = None
     for step in (block, 1):
@@ -206,7 +203,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
         by_text = on.groupBy("text_key").agg(
             F.collect_list(F.struct("pos", "lo", "hi", "weight")).alias("nodes"))
         nodes = staged(texts.join(by_text, "text_key").select("text_key", "text", "nodes")
-                       .mapInArrow(_finer(step, length), _NODE), "finer-nodes")
+                       .mapInArrow(_finer(step, length, units), _NODE), "finer-nodes")
         more, on = refine(nodes)
         found = found.unionByName(more)
     span = F.struct((F.col("pos") - F.col("hi")).alias("start"),
@@ -217,6 +214,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
 
 def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs that spans (n, 2) cover."""
+    if not len(spans):
+        return []
     spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
     reach = np.maximum.accumulate(spans[:, 1])
     new = np.ones(len(spans), bool)
@@ -226,26 +225,43 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(spans[first, 0].tolist(), reach[last].tolist(), strict=True))
 
 
-def _cut(batches):
-    for batch in batches:
-        lists = batch.column("spans")
-        out = []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            raw, own = text.encode(), lists[i].values
-            runs = merged(np.stack([own.field(0).to_numpy(), own.field(1).to_numpy()], 1))
-            edges = [0, *(x for run in runs for x in run), len(raw)]
-            kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append((len(raw), len(raw) - len(kept), len(runs), kept,
-                        hashlib.sha256(kept).hexdigest()))
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), *(pa.array(c, pa.int64()) for c in columns[:3]),
-             pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.string())],
-            ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+def covered(spans):
+    """Column: how many positions an array of spans covers."""
+    zero = F.lit(0).cast("long")
+    return F.aggregate(
+        F.array_sort(spans), F.struct(zero.alias("reach"), zero.alias("n")),
+        lambda acc, span: F.struct(
+            F.greatest(acc["reach"], span["stop"]).alias("reach"),
+            (acc["n"] + F.greatest(zero, span["stop"] - F.greatest(acc["reach"], span["start"])))
+            .alias("n")),
+        lambda acc: acc["n"])
+
+
+def _cut(carried: list[str]):
+    def emit(batches):
+        for batch in batches:
+            lists = batch.column("spans")
+            out = []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                raw, own = text.encode(), lists[i].values
+                runs = merged(np.stack([own.field(0).to_numpy(), own.field(1).to_numpy()], 1))
+                edges = [0, *(x for run in runs for x in run), len(raw)]
+                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                out.append((len(raw), len(raw) - len(kept), len(runs), kept,
+                            hashlib.sha256(kept).hexdigest()))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), *(pa.array(c, pa.int64()) for c in columns[:3]),
+                 pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.string()),
+                 *(batch.column(c) for c in carried)],
+                ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", *carried])
+
+    return emit
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+                   length: int = LENGTH, gram: int = GRAM, block: int = BLOCK,
+                   passages: tuple[int, int, int] | None = None) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept, kept_sha256)`` of every row of ``docs``.
 
     Every byte in a string of ``length`` bytes that starts at another position
@@ -253,20 +269,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     not be UTF-8) and ``n_spans`` counts the runs removed.  NULL texts are empty;
     shorter texts stay whole.  Repeated rows repeat all their strings.  Ids are
     only carried, so they may be NULL or repeated; other columns are ignored.
+
+    With ``passages`` (words, gram, block in words), ``n_repeat_words`` follows:
+    the words in strings of so many words that start at another position too, in
+    whichever row.  These may be shorter than ``length`` and are only counted.
     """
     text = text_or_empty(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"),
                        text.alias("text"))
-    spans = staged(repeated_spans(rows.select("text_key", "text"), length, gram, block), "spans")
-    kind = rows.schema["id"].dataType.simpleString()
-    keys = sized(spans.select("text_key"))
-    cut = (rows.join(keys, "text_key", "left_semi").join(spans, "text_key")
-           .select("id", "text", "spans")
-           .mapInArrow(_cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, "
-                             "kept binary, kept_sha256 string"))
+    texts = rows.select("text_key", "text")
+    marks = staged(repeated_spans(texts, length, gram, block), "spans")
+    carried = []
     zero = F.lit(0).cast("long")
+    if passages:
+        carried = ["n_repeat_words"]
+        none = F.array().cast(marks.schema["spans"].dataType)
+        words = repeated_spans(texts, *passages, units=word_hashes).select(
+            "text_key", covered(F.col("spans")).alias("n_repeat_words"))
+        marks = staged(marks.join(words, "text_key", "full").select(
+            "text_key", F.coalesce("spans", none).alias("spans"),
+            F.coalesce("n_repeat_words", zero).alias("n_repeat_words")), "marks")
+    kind = rows.schema["id"].dataType.simpleString()
+    keys = sized(marks.select("text_key"))
+    cut = (rows.join(keys, "text_key", "left_semi").join(marks, "text_key")
+           .select("id", "text", "spans", *carried)
+           .mapInArrow(_cut(carried), ", ".join(
+               [f"id {kind}, n_bytes long, n_removed long, n_spans long, "
+                "kept binary, kept_sha256 string", *(f"{c} long" for c in carried)])))
     whole = rows.join(keys, "text_key", "left_anti").select(
         "id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"),
         zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"),
-        F.sha2("text", 256).alias("kept_sha256"))
+        F.sha2("text", 256).alias("kept_sha256"), *(zero.alias(c) for c in carried))
     return cut.unionByName(whole).withColumnRenamed("id", id_col)

@@ -121,8 +121,14 @@ def op8_quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every document keeps without 400-byte strings that occur elsewhere."""
-    return op9_substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    """What every document keeps without 400-byte strings that occur elsewhere.
+
+    ``n_repeat_words`` counts its words in passages of over 50 words that do.
+    """
+    op = op9_substring_dedup
+    return op.remove_repeats(
+        table(spark, sf_dir, "documents"),
+        passages=(op.PASSAGE, op.PASSAGE_GRAM, op.PASSAGE_BLOCK)).drop("kept")
 
 
 def op10_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
